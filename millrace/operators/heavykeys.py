@@ -67,9 +67,9 @@ def callee_chunks(calls: DataFrame, chunk_rows: int | None = None) -> DataFrame:
 def key_sizes(chunks: DataFrame, key: str) -> DataFrame:
     """(key, n_rows, n_chunks, share): each chunk leaves its count, the key's states are merged."""
     states = chunks.groupBy(key, "chunk").agg(F.count("*").alias("n"))
-    sizes = states.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_chunks"))
-    total = sizes.agg(F.sum("n_rows").alias("total"))
-    return sizes.crossJoin(F.broadcast(total)).select(key, "n_rows", "n_chunks", (F.col("n_rows") / F.col("total")).alias("share"))
+    sizes = stored(states.groupBy(key).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_chunks")), "sizes")
+    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
+    return sizes.select(key, "n_rows", "n_chunks", (F.col("n_rows") / F.lit(float(max(total, 1)))).alias("share"))
 
 
 def callee_sets(chunks: DataFrame) -> DataFrame:
