@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, tokens
+from . import handwritten, langid, mixing, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_by_hand(handwritten.judged(_table(spark, d, "sources"))).select("file").distinct()
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.judged(_table(spark, d, "sources")).select("file", "generated", "minified", "vendored", "data")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_table(spark, d, "documents"), "doc_id", "text")
 
@@ -40,5 +48,5 @@ def p8_documents(spark: SparkSession, d: str) -> DataFrame:
     return langid.document_languages(_table(spark, d, "documents"), p8_segments(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_files, p6_ids, p7_mix, p7_shares, p8_found, p8_segments, p8_documents)}
 ORACLES: dict[str, str] = {}
