@@ -120,7 +120,7 @@ def infer(hashes: np.ndarray, owner: np.ndarray, sequences: int, widest: int = W
                 break
             if by_count:
                 stands = h[chosen] * powers[n[chosen + 1]] + h[chosen + 1]
-                _, one, inv, freq = np.unique(scrambled(stands + own[chosen].astype(np.uint64) * _BASE), return_index=True, return_inverse=True, return_counts=True)
+                _, one, inv, freq = np.unique(scrambled(scrambled(stands) ^ own[chosen].astype(np.uint64) * _BASE), return_index=True, return_inverse=True, return_counts=True)
                 again = one[freq >= 2]
                 found.append((own[chosen[again]], scrambled(stands[again]), n[chosen[again]] + n[chosen[again] + 1], freq[freq >= 2]))
                 used = freq[inv]
