@@ -51,11 +51,11 @@ def merged_classes(declarations: DataFrame, merge: str) -> DataFrame:
     return rows.where("rn = 1").select("name", "base_class", "is_abstract", "is_sealed", "is_static", "file")
 
 
-def from_tables(spark: SparkSession, folder: str, merge: str = "first") -> Facts:
+def from_tables(spark: SparkSession, folder: str, merge: str = "first", calls_where: str = "true") -> Facts:
     """Facts of the code tables. Rows that came again count once; references are reduced to simple names.
 
     ``merge`` is the policy for a class declared more than once, see ``merged_classes``; methods and interface lists of
-    all declarations are kept.
+    all declarations are kept. ``calls_where``: a condition on the rows of calls, as for one version of a program.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     declared = table(spark, folder, "classes").select(
@@ -67,7 +67,7 @@ def from_tables(spark: SparkSession, folder: str, merge: str = "first") -> Facts
         named(F.col("owner")).alias("owner"), text("owner_kind").alias("owner_kind"), "ord", text("method").alias("method"), text("signature").alias("signature"), text("ret").alias("ret"),
         F.coalesce("params", F.array().cast("array<string>")).alias("params"), "is_static", "is_virtual", "is_abstract", text("file").alias("file"), "line_start", "line_end",
     ).where(F.col("owner").isNotNull()).distinct()
-    calls = table(spark, folder, "calls").select(
+    calls = table(spark, folder, "calls").where(calls_where).select(
         "site_id", text("file").alias("file"), F.coalesce(simple_name(F.col("caller_class")), F.lit("")).alias("caller_class"), text("caller_method").alias("caller_method"), text("callee").alias("callee"),
         F.coalesce(simple_name(F.col("callee_class")), F.lit("")).alias("callee_class"), text("target_expr").alias("target_expr"), "is_self_call", "is_creation", named(F.col("created_type")).alias("created_type"), "line",
         F.coalesce("delegates", F.array().cast("array<string>")).alias("delegates"),

@@ -28,26 +28,22 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seen
 
 
-def walk_counts(edges: DataFrame, target: str, max_length: int = 100) -> DataFrame:
-    """(node, walks DECIMAL(38,0), longest): for each node that reaches ``target``, the walks that end in it.
+def walk_counts(edges: DataFrame, target: str) -> DataFrame:
+    """(node, walks DECIMAL(38,0)): for each node that reaches ``target``, the walks that end in it.
 
     ``edges``: (src, dst, n) with n parallel edges. T(node) is the sum over edges into the node of n * (1 + T(src)),
-    which is the number of walks by length, added up. On cycles walks are endless; they count up to ``max_length``
-    edges.
+    worked out from the nodes without edges into them; nodes that a cycle leads to have endless walks and get null.
     """
     spark = edges.sparkSession
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     within = cut(reach(back, spark.createDataFrame([(target,)], "node string")).select("node"))
     inner = cut(edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n")))
-    step = cut(inner.groupBy(F.col("dst").alias("node")).agg(F.sum("n").cast("decimal(38,0)").alias("w")).withColumn("k", F.lit(1)))
-    total, k = step, 1
-    while k < max_length and step.limit(1).count():
-        k += 1
-        nxt = inner.join(step.select(F.col("node").alias("src"), "w"), "src")
-        step = cut(nxt.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("n") * F.col("w")).cast("decimal(38,0)").alias("w")).withColumn("k", F.lit(k)))
-        total = total.unionByName(step)
-        if k % 8 == 0:
-            total = cut(total.groupBy("node").agg(F.sum("w").cast("decimal(38,0)").alias("w"), F.max("k").alias("k")))
-    return within.join(total.groupBy("node").agg(F.sum("w").cast("decimal(38,0)").alias("walks"), F.max("k").alias("longest")), "node", "left").select(
-        "node", F.coalesce("walks", F.lit(0).cast("decimal(38,0)")).alias("walks"), F.coalesce("longest", F.lit(0)).alias("longest")
-    )
+    fresh = cut(within.join(inner.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("walks", F.lit(0).cast("decimal(38,0)")))
+    known, open_ = fresh, inner
+    while fresh.limit(1).count():
+        met = open_.join(known.select(F.col("node").alias("src"), "walks"), "src", "left")
+        sums = met.groupBy(F.col("dst").alias("node")).agg(F.count_if(F.col("walks").isNull()).alias("missing"), F.sum((F.col("n") * (1 + F.col("walks"))).cast("decimal(38,0)")).cast("decimal(38,0)").alias("walks"))
+        fresh = cut(sums.where("missing = 0").select("node", "walks"))
+        known = cut(known.unionByName(fresh))
+        open_ = cut(open_.join(fresh.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    return within.join(known, "node", "left")
