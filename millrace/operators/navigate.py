@@ -188,3 +188,26 @@ def parse_action(text: str) -> tuple[str, tuple]:
     if m := re.fullmatch(r"(u?)(\d+)([a-z]?)", text):
         return ("up" if m[1] else "down"), (int(m[2]), m[3])
     return "unknown", ()
+
+
+def bare_targets(facts: Facts) -> DataFrame:
+    """(caller_class, callee, target_class): where a call that names no class leads: the first class by name with the method.
+
+    The caller's own class counts for calls without a target only.
+    """
+    defined = facts.methods.where("owner_kind = 'class'").select("owner", F.col("method").alias("callee")).distinct()
+    loose = facts.calls.where("callee_class = ''").select("caller_class", "callee", (F.col("target_expr") != "").alias("targeted")).distinct()
+    met = loose.join(defined, "callee").where(~F.col("targeted") | (F.col("owner") != F.col("caller_class")))
+    return met.groupBy("caller_class", "callee", "targeted").agg(F.min("owner").alias("target_class"))
+
+
+def method_files(facts: Facts) -> DataFrame:
+    """(owner, method, file): the file of a method, the first by name if it has several."""
+    return facts.methods.where("file <> ''").groupBy("owner", "method").agg(F.min("file").alias("file"))
+
+
+def contexts(facts: Facts, conditions: DataFrame) -> DataFrame:
+    """(site_id, context): 'ctrl: [...]' of each call, from ``graphs.control_context`` by file and line; '' where there is none."""
+    known = conditions.groupBy("file", "line").agg(F.first("conditions").alias("conditions"))
+    text = F.when(F.size("conditions") > 0, F.concat(F.lit("ctrl: ["), F.array_join("conditions", "; "), F.lit("]"))).otherwise("")
+    return facts.calls.select("site_id", "file", "line").join(known, ["file", "line"], "left").select("site_id", F.coalesce(text, F.lit("")).alias("context"))

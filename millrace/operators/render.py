@@ -99,3 +99,20 @@ def type_graph_json(classes: DataFrame, methods: DataFrame) -> DataFrame:
 
 def label_column(block_id: Column, kind: Column, start: Column, end: Column) -> Column:
     return F.format_string("[%d] %s (L%d-L%d)", block_id, kind, start, end)
+
+
+def cfg_dots(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, dot): the drawing of every file's graph, distributed; blocks by id, edges in the order they were made."""
+    node = F.format_string('    %d [ label = "%s" ]', "id", label_column(F.col("id"), F.col("kind"), F.col("start_line"), F.col("end_line")))
+    arrow = F.format_string('    %d -> %d [ label = "%s" ]', "src", "dst", "kind")
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n")
+    nodes = blocks.groupBy(F.col("file").alias("file")).agg(text(F.struct("id", node.alias("t"))).alias("nodes"))
+    arrows = edges.groupBy(F.col("file").alias("file")).agg(text(F.struct("method_ord", "edge_ord", arrow.alias("t"))).alias("arrows"))
+    return nodes.join(arrows, "file", "left").select("file", F.concat_ws("\n", F.lit("digraph {"), "nodes", "arrows", F.lit("}")).alias("dot"))
+
+
+def route_report(routes: DataFrame) -> DataFrame:
+    """(source, class, routes, listing): routes per class, each as 'VERB path handler' in the order of the file."""
+    line = F.format_string("%6s  %-30s  %s", "http_method", "path", "handler")
+    rows = routes.groupBy("source", "class").agg(F.count("*").alias("routes"), F.array_sort(F.collect_list(F.struct("file", "ord", line.alias("t")))).alias("rows"))
+    return rows.select("source", "class", "routes", F.array_join(F.transform("rows", lambda x: x["t"]), "\n").alias("listing"))

@@ -166,3 +166,29 @@ def top_callees(facts: Facts, n: int = 15) -> DataFrame:
 def creation_counts(facts: Facts) -> DataFrame:
     """(class, created_type, n): how often a class creates a type."""
     return facts.creations.groupBy("class", "created_type").agg(F.count("*").alias("n"))
+
+
+def _type_argument(callee: Column) -> Column:
+    """The first type argument of a callee's text, '' without any."""
+    inside = F.regexp_extract(callee, r"^\w+<(.+)>$", 1)
+    return F.btrim(F.regexp_extract(inside, r"^((?:[^,<>]|<[^<>]*>)*)", 1))
+
+
+def di_calls(facts: Facts) -> DataFrame:
+    """(site_id, kind, type, method): registrations (Static, on the first type argument) and lookups (DiResolved) of a container."""
+    name = F.regexp_extract("callee", r"^(\w+)<", 1)
+    rows = facts.calls.select("site_id", name.alias("method"), _type_argument(F.col("callee")).alias("type")).where("type <> ''")
+    kind = F.when(F.col("method").isin(DI_ADD), "Static").when(F.col("method").isin(DI_GET), "DiResolved")
+    return rows.withColumn("kind", kind).where("kind is not null").select("site_id", "kind", "type", "method")
+
+
+def register(registrations: DataFrame, interface_type: str, implementation_type: str, lifetime: str = "Scoped", confidence: str = "DiRegistration") -> DataFrame:
+    """The registrations with one more; the table of registrations is the container."""
+    one = registrations.sparkSession.createDataFrame([(interface_type, implementation_type, lifetime, confidence)], "interface_type string, implementation_type string, lifetime string, confidence string")
+    return registrations.select(*one.columns).unionByName(one)
+
+
+def reflection_patterns(facts: Facts) -> DataFrame:
+    """(site_id, type, method): calls of reflection on ``typeof(T)``."""
+    kind = F.regexp_extract("target_expr", r"^typeof\(\s*([\w.<>, ]+?)\s*\)$", 1)
+    return facts.calls.select("site_id", kind.alias("type"), F.col("callee").alias("method")).where((F.col("type") != "") & F.col("method").isin(REFLECTION_METHODS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import callgraph, fixpoint, graphs, impact, navigate, render
+from ..operators import callgraph, fixpoint, graphs, impact, navigate, patterns, render, resolve
 from ..operators.facts import from_tables
 from ..sources.csharp import frontend
 from ..sources.tables import table
@@ -372,6 +372,83 @@ def _(spark, d):
     return graphs.data_dependences(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), table(spark, d, "sources"))
 
 
+# ---- the rest of the inventory
+
+
+@query("OP-R8_di_registrations", r"""SELECT DISTINCT trim(a[1]) AS interface_type, trim(coalesce(a[2], a[1])) AS implementation_type, regexp_extract(callee, '^Add(Scoped|Singleton|Transient)<', 1) AS lifetime, 'DiRegistration' AS confidence
+    FROM (SELECT callee, string_split(regexp_extract(callee, '^Add(?:Scoped|Singleton|Transient)<(.+)>$', 1), ',') AS a FROM call WHERE regexp_matches(callee, '^Add(Scoped|Singleton|Transient)<.+>$'))""")
+def _(spark, d):
+    return resolve.di_registrations(_facts(spark, d))
+
+
+@query("OP-R10_di_calls", r"""SELECT site_id, CASE WHEN m IN ('AddScoped', 'AddSingleton', 'AddTransient') THEN 'Static' ELSE 'DiResolved' END AS kind, t AS type, m AS method
+    FROM (SELECT site_id, regexp_extract(callee, '^(\w+)<', 1) AS m, trim(regexp_extract(callee, '^\w+<((?:[^,<>]|<[^<>]*>)*)', 1)) AS t FROM call WHERE suffix(callee, '>'))
+    WHERE t <> '' AND m IN ('AddScoped', 'AddSingleton', 'AddTransient', 'GetService', 'GetRequiredService', 'GetKeyedService')""")
+def _(spark, d):
+    return resolve.di_calls(_facts(spark, d))
+
+
+@query("OP-R15_reflection_patterns", r"SELECT site_id, regexp_extract(target_expr, '^typeof\(\s*([\w.<>, ]+?)\s*\)$', 1) AS type, callee AS method FROM call WHERE regexp_matches(target_expr, '^typeof\(.+\)$') AND callee IN ('GetMethod', 'GetProperty', 'GetField', 'CreateInstance')")
+def _(spark, d):
+    return resolve.reflection_patterns(_facts(spark, d))
+
+
+@query("OP-R10_parsed_di_calls")
+def _(spark, d):
+    return resolve.di_calls(frontend.facts_of(_parsed(spark, d)))
+
+
+@query(
+    "OP-N5_bare_targets",
+    """SELECT c.caller_class, c.callee, c.targeted, min(o.owner) AS target_class FROM (SELECT DISTINCT caller_class, callee, target_expr <> '' AS targeted FROM call WHERE callee_class = '') c
+    JOIN defs o ON o.method = c.callee WHERE NOT targeted OR o.owner <> c.caller_class GROUP BY ALL""",
+)
+def _(spark, d):
+    return navigate.bare_targets(_facts(spark, d))
+
+
+@query("OP-G14_method_files", "SELECT owner, method, min(file) AS file FROM met WHERE file <> '' GROUP BY owner, method")
+def _(spark, d):
+    return navigate.method_files(_facts(spark, d))
+
+
+@query("OP-N10_contexts")
+def _(spark, d):
+    p = _parsed(spark, d)
+    f = frontend.facts_of(p)
+    lines = f.calls.select("file", "line").distinct()
+    return navigate.contexts(f, graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines)).where("context <> ''")
+
+
+@query("OP-S7_type_graph")
+def _(spark, d):
+    f = _facts(spark, d)
+    return render.type_graph_json(f.classes, f.methods)
+
+
+@query("OP-S10_cfg_dot")
+def _(spark, d):
+    p = _parsed(spark, d)
+    return render.cfg_dots(frontend.relation(p, "blocks"), frontend.relation(p, "edges"))
+
+
+@query("OP-U8_route_report")
+def _(spark, d):
+    return render.route_report(frontend.relation(_parsed(spark, d), "routes"))
+
+
+@query("OP-S5_parsed_project")
+def _(spark, d):
+    f = frontend.facts_of(_parsed(spark, d))
+    counted = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("relation"), "n") for k, df in (("classes", f.classes), ("interfaces", f.interfaces), ("methods", f.methods), ("calls", f.calls), ("fields", f.fields))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3]).unionByName(counted[4])
+
+
+@query("OP-D0_parsed")
+def _(spark, d):
+    return patterns.hits(patterns.detect(frontend.facts_of(_parsed(spark, d), "first").settled()))
+
+
 # the checks are registered with the program's; this module names its own share of them
 QUERIES = {k: v for k, v in _program_queries.items() if k not in _before}
 ORACLES = {k: v for k, v in _program_oracles.items() if k in QUERIES}

@@ -32,10 +32,14 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and remembered in the session.
+    Only where that is unset on a single machine (``local[...]``, as in tests) a temporary folder is made and remembered
+    in the session; a cluster must name its folder, a machine's own would not be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"millrace-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

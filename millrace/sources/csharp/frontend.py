@@ -152,10 +152,10 @@ def relation(parsed: DataFrame, name: str) -> DataFrame:
 
 def read_tree(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of all ``*.cs`` below a folder, or of a single file whatever its extension."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if not (path.endswith(".cs") or os.path.isfile(path)):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.cs")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def facts_of(parsed: DataFrame, merge: str = "append") -> Facts:

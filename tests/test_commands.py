@@ -4,8 +4,8 @@ from millrace import cli
 from millrace.sources.csharp import frontend
 from millrace.streaming import facts as stream
 
-A = "class Shop { public void Sell() { Note(); if (1 > 0) { Note(); } else Done(); } void Note() { Done(); } void Done() { } }\n"
-B = "class ShopController { [HttpGet(\"x\")] public int Get() { return 1; } }\nclass One { public static One Make() { return null; } }\n"
+A = "class Shop {\n public void Sell() { Note(); if (1 > 0) { Note(); } else Done(); }\n void Note() { Done(); }\n void Done() { }\n}\n"
+B = "class ShopController {\n [HttpGet(\"x\")]\n public int Get() { return 1; }\n}\nclass One { public static One Make() { return null; } }\n"
 
 
 @pytest.fixture(scope="module")
