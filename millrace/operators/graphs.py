@@ -275,3 +275,14 @@ def control_context(blocks: DataFrame, edges: DataFrame, lines: DataFrame) -> Da
         return out
 
     return _grouped(rows, edges, ["start_line", "line"], kernel, f"{_KEY}, line int, id int, conditions array<string>")
+
+
+def data_context(arguments: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file, call_ord, name, defined): for each identifier handed to a call the earliest line before it that assigns the name.
+
+    ``arguments``: (file, call_ord, line, name) from the frontend; names that no line before assigns have no row.
+    """
+    lines = sources.select("file", F.posexplode(F.split("text", "\r?\n")).alias("pos", "code"))
+    assigned = lines.select("file", (F.col("pos") + 1).alias("at"), F.explode(F.regexp_extract_all("code", F.lit(r"([A-Za-z_]\w*)\s*=(?![=>])"), F.lit(1))).alias("name"))
+    earliest = assigned.groupBy("file", "name").agg(F.min("at").alias("defined"))
+    return arguments.join(earliest, ["file", "name"]).where(F.col("defined") < F.col("line")).select("file", "call_ord", "name", "defined").distinct()

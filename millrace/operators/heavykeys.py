@@ -13,13 +13,11 @@ other keys are never moved.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import simple_name
-from ..session import shared_dir, stored
+from ..session import new_path, stored
 
 #: Offsets are broadcast up to this many rows (each a file, a key and two numbers); beyond, they are joined.
 BROADCAST_OFFSETS = 50_000
@@ -30,10 +28,10 @@ def chunked(rows: DataFrame, key: str, chunk_rows: int | None = None) -> DataFra
 
     A null key is a key like any other; repeated rows are numbered apart. ``chunk_rows`` defaults to a quarter of an
     even share of the rows over the session's shuffle partitions, at least 1,000. Empty input gives no rows. The column
-    names ``_file`` and ``_place`` are taken by the operator and must not be in ``rows``.
+    names ``_file``, ``_place``, ``row_no`` and ``chunk`` are taken by the operator and must not be in ``rows``.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/chunked-{uuid.uuid4().hex}"
+    path = new_path(spark, "chunked")
     rows.sortWithinPartitions(key).write.parquet(path)
     placed = spark.read.schema(rows.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     counts = stored(placed.groupBy("_file", F.col(key).alias("_k")).agg(F.count("*").alias("n")), "counts")

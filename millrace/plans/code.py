@@ -420,6 +420,16 @@ def _(spark, d):
     return navigate.contexts(f, graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines)).where("context <> ''")
 
 
+@query("OP-F2_statements")
+def _(spark, d):
+    return frontend.relation(_parsed(spark, d), "statements")
+
+
+@query("OP-G13_data_context")
+def _(spark, d):
+    return graphs.data_context(frontend.relation(_parsed(spark, d), "arguments"), table(spark, d, "sources").select("file", "text"))
+
+
 @query("OP-S7_type_graph")
 def _(spark, d):
     f = _facts(spark, d)

@@ -29,6 +29,10 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Intermediate tables this process wrote.
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -47,6 +51,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for an intermediate table in the shared folder."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process wrote; results that still read them must have been saved."""
+    jvm = spark.sparkContext._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -55,7 +73,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` written once as parquet in the shared folder and read back: a stable, columnar intermediate table."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -21,6 +21,8 @@ _STRUCTS = {
     "creations": "class string, created_type string",
     "blocks": "method_ord int, owner string, method string, id int, kind string, start_line int, end_line int",
     "edges": "method_ord int, edge_ord int, src int, dst int, kind string",
+    "statements": "method_ord int, ord int, depth int, kind string, start_line int, end_line int",
+    "arguments": "call_ord int, line int, name string",
     "routes": "ord int, http_method string, path string, class string, handler string, source string",
 }
 SCHEMA = "file string, error string, " + ", ".join(f"{k} array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _split)}>>" for k, v in _STRUCTS.items() for _split in [v.split(", ")])
@@ -81,6 +83,15 @@ def _callable(file: File, m: Method, types: dict[str, list[Type]]) -> bool:
     return owner is not None and owner.kind == "class" and not any(i.kind == "class" and i.tokens[1] <= m.rest[0] for i in owner.types)
 
 
+def _flat(statements: list, depth: int = 0) -> Iterator[tuple]:
+    """(depth, statement) of statements and those inside them, in the order of the text."""
+    for s in statements:
+        yield depth, s
+        for part in s.parts.values():
+            inner = [x for p in part for x in (p if isinstance(p, list) else [p])] if isinstance(part, list) else [part]
+            yield from _flat([x for x in inner if x is not None], depth + 1)
+
+
 def parse_text(text: str, compat: bool = True) -> dict:
     """All facts of one text."""
     file = File(text)
@@ -118,8 +129,14 @@ def parse_text(text: str, compat: bool = True) -> dict:
     for k, (m, g) in enumerate(cfg.graphs(file, strict=not compat)):
         blocks += [{"method_ord": k, "owner": m.owner, "method": m.name, "id": i, "kind": kind, "start_line": a, "end_line": b} for i, kind, a, b in g.blocks]
         edges += [{"method_ord": k, "edge_ord": n, "src": a, "dst": b, "kind": kind} for n, (a, b, kind) in enumerate(g.edges)]
+    statements = [
+        {"method_ord": k, "ord": n, "depth": depth, "kind": x.kind, "start_line": x.start, "end_line": x.end}
+        for k, m in enumerate(m for m in file.methods if m.body)
+        for n, (depth, x) in enumerate(_flat(file.statements(m)))
+    ]
+    arguments = [{"call_ord": c["ord"], "line": c["line"], "name": a} for c in calls for a in c["delegates"]]
     creations = [{"class": c, "created_type": t} for c, t in dict.fromkeys(file.creations)]
-    return {"types": types, "methods": methods, "fields": fields, "calls": calls, "creations": creations, "blocks": blocks, "edges": edges, "routes": _routes(file)}
+    return {"types": types, "methods": methods, "fields": fields, "calls": calls, "creations": creations, "blocks": blocks, "edges": edges, "statements": statements, "arguments": arguments, "routes": _routes(file)}
 
 
 def parse(sources: DataFrame, compat: bool = True, file: str = "file", text: str = "text") -> DataFrame:

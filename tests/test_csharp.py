@@ -144,3 +144,26 @@ def test_relations_and_facts(spark):
     assert bound["Check", "this"] == "ThingsController" and bound["WriteLine", "Console"] == "" and bound["Find", ""] == "ThingsController"
     assert append.calls.where("callee = 'Load<Thing>'").first().delegates == ["Check"]
     assert frontend.parse(df.limit(0)).count() == 0
+
+
+def test_statements_and_arguments(spark):
+    from millrace.operators import graphs
+
+    code = "class A {\n void M(int n) {\n  var x = 1;\n  if (n > 0) { Put(x); } else while (n < 3) n++;\n }\n}"
+    p = frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"))
+    got = [(r.depth, r.kind, r.start_line) for r in frontend.relation(p, "statements").orderBy("ord").collect()]
+    assert got == [(0, "simple", 3), (0, "if", 4), (1, "block", 4), (2, "simple", 4), (1, "while", 4), (2, "simple", 4)]
+    sources = spark.createDataFrame([("a.cs", code)], "file string, text string")
+    assert [(r.name, r.defined) for r in graphs.data_context(frontend.relation(p, "arguments"), sources).collect()] == [("x", 3)]
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from millrace import session
+
+    kept = session._WRITTEN[:]
+    session._WRITTEN.clear()
+    df = session.stored(spark.range(3), "probe")
+    assert df.count() == 3 and len(session._WRITTEN) == 1
+    session.clear(spark)
+    assert not session._WRITTEN
+    session._WRITTEN.extend(kept)
