@@ -32,18 +32,23 @@ def walk_counts(edges: DataFrame, target: str) -> DataFrame:
     """(node, walks DECIMAL(38,0)): for each node that reaches ``target``, the walks that end in it.
 
     ``edges``: (src, dst, n) with n parallel edges. T(node) is the sum over edges into the node of n * (1 + T(src)),
-    worked out from the nodes without edges into them; nodes that a cycle leads to have endless walks and get null.
+    worked out from the nodes without edges into them; nodes that a cycle leads to have endless walks and get null, and
+    so do nodes with more walks than 38 digits hold.
     """
     spark = edges.sparkSession
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     within = cut(reach(back, spark.createDataFrame([(target,)], "node string")).select("node"))
     inner = cut(edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n")))
-    fresh = cut(within.join(inner.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("walks", F.lit(0).cast("decimal(38,0)")))
+    fresh = cut(within.join(inner.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(0).cast("decimal(38,0)").alias("walks"), F.lit(True).alias("done")))
     known, open_ = fresh, inner
     while fresh.limit(1).count():
-        met = open_.join(known.select(F.col("node").alias("src"), "walks"), "src", "left")
-        sums = met.groupBy(F.col("dst").alias("node")).agg(F.count_if(F.col("walks").isNull()).alias("missing"), F.sum((F.col("n") * (1 + F.col("walks"))).cast("decimal(38,0)")).cast("decimal(38,0)").alias("walks"))
-        fresh = cut(sums.where("missing = 0").select("node", "walks"))
+        met = open_.join(known.select(F.col("node").alias("src"), "walks", "done"), "src", "left")
+        term = F.try_multiply(F.col("n").cast("decimal(20,0)"), F.try_add("walks", F.lit(1).cast("decimal(1,0)")))
+        met = met.select("dst", "done", term.alias("term"))
+        sums = met.groupBy(F.col("dst").alias("node")).agg(
+            F.count_if(F.col("done").isNull()).alias("missing"), F.count_if(F.col("done") & F.col("term").isNull()).alias("big"), F.try_sum("term").alias("walks")
+        )
+        fresh = cut(sums.where("missing = 0").select("node", F.when(F.col("big") == 0, F.expr("try_cast(walks as decimal(38,0))")).alias("walks"), F.lit(True).alias("done")))
         known = cut(known.unionByName(fresh))
         open_ = cut(open_.join(fresh.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return within.join(known, "node", "left")
+    return within.join(known.select("node", "walks"), "node", "left")

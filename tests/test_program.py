@@ -51,6 +51,12 @@ def test_reach_and_walks(spark, rows):
     assert {r.node: r.walks for r in fixpoint.walk_counts(edges.where("src is not null"), "c").collect()}["c"] is None  # walks round x and y never end
 
 
+def test_too_many_walks_are_null(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 10**9) for i in range(6)], "src string, dst string, n long")
+    got = {r.node: r.walks for r in fixpoint.walk_counts(chain, "n6").collect()}
+    assert int(got["n1"]) == 10**9 and int(got["n4"]) > 10**36 and got["n5"] is None and got["n6"] is None
+
+
 def test_actions():
     parse = navigate.parse_action
     assert [parse(x) for x in ("q", "h", "d", "c p", "c  u", "3", "2b", "u1", "u12a", "c x", "", "u")] == [
