@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, stored
 from .facts import Facts
 from .types import compatible_methods, concrete_subtypes, direct_implementors, unique_methods
 
@@ -76,7 +77,54 @@ def matching_interfaces(facts: Facts) -> DataFrame:
 
 
 def up(facts: Facts) -> DataFrame:
-    """(class, method, tier, caller_class, caller_method, sites): who calls each method, by the first tier that has anyone.
+    """(class, method, tier, delegate, caller_class, caller_method, sites): who calls each method, by the first tier that has anyone.
+
+    Tiers: 0, for methods of interfaces, calls bound to the interface and, where just one class has the name, unresolved
+    calls of it from elsewhere; 1 calls bound to the class, together with unresolved calls of the name where no other
+    class has it; 2 for classes without interfaces, who hands the method over as a delegate; 3 calls through one of the
+    class's interfaces, together with unresolved calls of the name from other classes, which leaves none for a tier 4;
+    5 the class's first interface itself, without a site. Who hands the method over follows tiers 3 and 5 too, marked ``delegate``.
+    A name that an interface has, or that a class lists among its interfaces, is an interface's.
+    """
+    node = ["class", "method"]
+    listed = facts.class_iface.select(F.col("iface").alias("class"))
+    faces = facts.interfaces.select(F.col("name").alias("class")).unionByName(listed).unionByName(facts.methods.where("owner_kind = 'interface'").select(F.col("owner").alias("class"))).distinct()
+    nodes = facts.methods.where("owner_kind in ('class', 'interface')").select(F.col("owner").alias("class"), "method").distinct()
+    declared, own = nodes.join(faces, "class", "left_semi"), nodes.join(faces, "class", "left_anti")
+    c = facts.calls.select("caller_class", "caller_method", F.col("callee").alias("method"), "callee_class", "target_expr", F.coalesce("is_self_call", F.lit(False)).alias("self"), "delegates")
+    calls = stored(c, "calls")
+    c = calls.groupBy("caller_class", "caller_method", "method", "callee_class", "target_expr", "self").agg(F.count("*").alias("sites"))
+    bound = c.where("callee_class <> ''").withColumnRenamed("callee_class", "class")
+    free = c.where("callee_class = ''")
+    loose = free.where("not self").join(facts.classes.select(F.col("name").alias("target_expr")), "target_expr", "left_anti")
+    alone = unique_methods(facts)
+    tier = lambda df, k: df.select(*node, F.lit(k).alias("tier"), F.lit(False).alias("delegate"), "caller_class", "caller_method", "sites")
+    whole = lambda df: df.groupBy(*node, "tier", "delegate", "caller_class", "caller_method").agg(F.sum("sites").alias("sites"))
+
+    guessed = declared.join(alone.select("method"), "method", "left_semi").join(free.where("not self"), "method").where("caller_class <> class")
+    zero = whole(tier(declared.join(bound, node), 0).unionByName(tier(guessed, 0)))
+    unique = own.join(alone.withColumnRenamed("owner", "class"), node, "left_semi").join(loose, "method")
+    first = stored(whole(tier(own.join(bound, node), 1).unionByName(tier(unique, 1))), "first")
+    rest = cut(own.join(first.select(*node).distinct(), node, "left_anti"))
+
+    first_face = facts.class_iface.groupBy("class").agg(F.min_by("iface", F.struct(F.col("ord").isNull(), "ord", "iface")).alias("iface"))
+    linked = rest.join(first_face, "class")
+    through = rest.join(facts.class_iface.select("class", "iface").distinct(), "class").join(bound.withColumnRenamed("class", "iface"), ["iface", "method"])
+    third = stored(whole(tier(through, 3).unionByName(tier(linked.join(free, "method").where("caller_class <> class"), 3))), "third")
+    lonely = linked.join(third.select(*node).distinct(), node, "left_anti")
+    fifth = tier(lonely.select(*node, F.col("iface").alias("caller_class"), F.col("method").alias("caller_method"), F.lit(0).cast("long").alias("sites")), 5)
+
+    handed = calls.select("caller_class", "caller_method", F.explode(F.array_distinct("delegates")).alias("method")).where("caller_method <> method")
+    handed = handed.groupBy("caller_class", "caller_method", "method").agg(F.count("*").alias("sites"))
+    at = rest.join(linked.select(*node, F.lit(True).alias("linked")), node, "left").join(lonely.select(*node, F.lit(True).alias("lonely")), node, "left")
+    at = at.select(*node, F.when(F.col("linked").isNull(), 2).when(F.col("lonely"), 5).otherwise(3).alias("tier"))
+    given = at.join(handed, "method").select(*node, "tier", F.lit(True).alias("delegate"), "caller_class", "caller_method", "sites")
+
+    return zero.unionByName(first).unionByName(third).unionByName(fifth).unionByName(given)
+
+
+def up_of_classes(facts: Facts) -> DataFrame:
+    """(class, method, tier, caller_class, caller_method, sites): the part of ``up`` that the SQL of OP-N6_up covers, for methods of classes only.
 
     Tiers: 1 calls bound to the class, together with unresolved calls of the name where no other class has it; 2 for
     classes without interfaces, who hands the method over as a delegate; 3 calls through one of the class's interfaces;
@@ -102,7 +150,7 @@ def up(facts: Facts) -> DataFrame:
 
 def up_by_class(edges: DataFrame) -> DataFrame:
     """(class, method, caller_class, first_method, methods): the edges up, one per calling class."""
-    return edges.groupBy("class", "method", "caller_class").agg(F.min("caller_method").alias("first_method"), F.count("*").alias("methods"))
+    return edges.groupBy("class", "method", "caller_class").agg(F.min("caller_method").alias("first_method"), F.count_distinct("caller_method").alias("methods"))
 
 
 def dispatch_sources(facts: Facts) -> DataFrame:
@@ -132,7 +180,7 @@ class Session:
         return [] if self.current is None else down(self.facts).where((F.col("class") == self.current[0]) & (F.col("method") == self.current[1])).orderBy("callee", "target_class").collect()
 
     def above(self) -> list:
-        return [] if self.current is None else up(self.facts).where((F.col("class") == self.current[0]) & (F.col("method") == self.current[1])).orderBy("caller_class", "caller_method").collect()
+        return [] if self.current is None else up(self.facts).where((F.col("class") == self.current[0]) & (F.col("method") == self.current[1])).orderBy("delegate", "caller_class", "caller_method").collect()
 
     def _go(self, how: str, node: tuple[str, str]) -> None:
         self.history.append((how, self.current))

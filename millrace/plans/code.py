@@ -196,13 +196,41 @@ tiers AS (SELECT o.owner AS class, o.method, 1 AS tier, c.caller_class, c.caller
 
 @query("OP-N6_up", _inner(_UP, "SELECT class, method, tier, caller_class, caller_method, count(*) AS sites FROM (SELECT * FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY class, method)) GROUP BY ALL"))
 def _(spark, d):
-    return navigate.up(_facts(spark, d))
+    return navigate.up_of_classes(_facts(spark, d))
 
 
 @query(
     "OP-N7_up_by_class",
     _inner(_UP, "SELECT class, method, caller_class, min(caller_method) AS first_method, count(DISTINCT caller_method) AS methods FROM (SELECT * FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY class, method)) GROUP BY ALL"),
 )
+def _(spark, d):
+    return navigate.up_by_class(navigate.up_of_classes(_facts(spark, d)))
+
+
+_UP_WHOLE = """free AS (SELECT * FROM call WHERE callee_class = ''), single AS (SELECT method FROM defs GROUP BY method HAVING count(*) = 1),
+faced AS (SELECT name FROM ifc UNION SELECT iface FROM ci UNION SELECT owner FROM met WHERE owner_kind = 'interface'), node AS (SELECT DISTINCT owner, method FROM met WHERE owner_kind IN ('class', 'interface')),
+face AS (SELECT * FROM node WHERE owner IN (SELECT name FROM faced)), own AS (SELECT * FROM node WHERE owner NOT IN (SELECT name FROM faced)),
+given AS (SELECT caller_class, caller_method, x FROM (SELECT caller_class, caller_method, unnest(list_distinct(delegates)) AS x FROM call) WHERE caller_method <> x),
+zero AS (SELECT f.owner AS class, f.method, c.caller_class, c.caller_method FROM face f JOIN call c ON c.callee = f.method
+  WHERE c.callee_class = f.owner OR (c.callee_class = '' AND NOT coalesce(c.is_self_call, false) AND c.caller_class <> f.owner AND f.method IN (SELECT method FROM single))),
+one AS (SELECT o.owner AS class, o.method, c.caller_class, c.caller_method FROM own o JOIN call c ON c.callee = o.method
+  WHERE c.callee_class = o.owner OR (c.callee_class = '' AND NOT coalesce(c.is_self_call, false) AND c.target_expr NOT IN (SELECT name FROM cls) AND o.method IN (SELECT method FROM single))),
+rest AS (SELECT owner AS class, method, owner IN (SELECT class FROM ci) AS linked FROM own o WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.class = o.owner AND one.method = o.method)),
+three AS (SELECT r.class, r.method, c.caller_class, c.caller_method FROM rest r JOIN ci ON ci.class = r.class JOIN call c ON c.callee_class = ci.iface AND c.callee = r.method
+  UNION ALL SELECT r.class, r.method, c.caller_class, c.caller_method FROM rest r JOIN free c ON c.callee = r.method WHERE r.linked AND c.caller_class <> r.class),
+placed AS (SELECT r.*, CASE WHEN NOT linked THEN 2 WHEN EXISTS (SELECT 1 FROM three t WHERE t.class = r.class AND t.method = r.method) THEN 3 ELSE 5 END AS tier FROM rest r),
+whole AS (SELECT class, method, 0 AS tier, false AS delegate, caller_class, caller_method, 1 AS n FROM zero UNION ALL SELECT class, method, 1, false, caller_class, caller_method, 1 FROM one
+  UNION ALL SELECT class, method, 3, false, caller_class, caller_method, 1 FROM three
+  UNION ALL SELECT class, method, 5, false, (SELECT iface FROM ci WHERE ci.class = p.class ORDER BY ord NULLS LAST, iface LIMIT 1), method, 0 FROM placed p WHERE tier = 5
+  UNION ALL SELECT p.class, p.method, p.tier, true, g.caller_class, g.caller_method, 1 FROM placed p JOIN given g ON g.x = p.method)"""
+
+
+@query("OP-N6_up_whole", _inner(_UP_WHOLE, "SELECT class, method, tier, delegate, caller_class, caller_method, CAST(sum(n) AS BIGINT) AS sites FROM whole GROUP BY ALL"))
+def _(spark, d):
+    return navigate.up(_facts(spark, d))
+
+
+@query("OP-N7_up_by_class_whole", _inner(_UP_WHOLE, "SELECT class, method, caller_class, min(caller_method) AS first_method, count(DISTINCT caller_method) AS methods FROM whole GROUP BY ALL"))
 def _(spark, d):
     return navigate.up_by_class(navigate.up(_facts(spark, d)))
 
