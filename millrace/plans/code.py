@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import callgraph, fixpoint, graphs, impact, navigate, patterns, render, resolve
 from ..operators.facts import from_tables
+from ..session import cut
 from ..sources.csharp import frontend
 from ..sources.tables import table
 from .program import _facts, query
@@ -86,6 +87,13 @@ def _(spark, d):
     return impact.impact(f, _most_called(impact.call_edges(f)))[0].select("id", "direct", "distinct_callers")
 
 
+@query("OP-A8_impact_nodes_whole")
+def _(spark, d):
+    """With the walks that end in each node, null below a cycle, which SQL cannot follow."""
+    f = _facts(spark, d)
+    return impact.impact(f, _most_called(impact.call_edges(f)))[0].select("id", "direct", "distinct_callers", F.col("transitive").cast("string").alias("transitive"))
+
+
 @query("OP-A10_impact_edges", _inner(_REACH, "SELECT e.src AS caller, e.dst AS callee FROM edge e WHERE e.dst IN (SELECT id FROM above)"))
 def _(spark, d):
     f = _facts(spark, d)
@@ -114,6 +122,13 @@ def _(spark, d):
     return fixpoint.walk_counts(edges, target).where(F.col("node") == target).select("node", F.col("walks").cast("string").alias("walks"))
 
 
+@query("OP-A9_walk_counts_whole")
+def _(spark, d):
+    """Walks over all edges for every node above the target, null below a cycle, which SQL cannot follow."""
+    edges = cut(impact.call_edges(_facts(spark, d)))
+    return fixpoint.walk_counts(edges, _most_called(edges)).select("node", F.col("walks").cast("string").alias("walks"))
+
+
 @query("OP-A11_method_keys", _inner(_EDGES, "SELECT src AS key FROM edge UNION SELECT dst FROM edge"))
 def _(spark, d):
     return impact.method_keys(_facts(spark, d))

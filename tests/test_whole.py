@@ -5,7 +5,8 @@ import os
 import pytest
 
 import __spark_entry__
-from millrace.operators import navigate
+from millrace.operators import impact, navigate
+from millrace.operators.facts import from_tables
 from millrace.sources.csharp import frontend
 
 from .test_program import DATA, duck, plain  # noqa: F401
@@ -36,3 +37,33 @@ def test_up_tiers(spark):
     assert ("User", "Flush", 2, True, "User", "Go", 1) in got
     assert ("Lone", "Quiet", 5, False, "IOther", "Quiet", 0) in got
     assert {r[:2] for r in got if r[2] == 1} == {("Lone", "Rare")}
+
+
+def walks_above(edges):
+    """The most called node, and for each node above it the walks that end there; None where a cycle leads to it."""
+    into, called = {}, {}
+    for a, b, n in edges:
+        into.setdefault(b, []).append((a, n))
+        called[b] = called.get(b, 0) + n
+    above, stack = set(), [min(called, key=lambda x: (-called[x], x))]
+    while stack:
+        x = stack.pop()
+        if x not in above:
+            above.add(x)
+            stack += [a for a, _ in into.get(x, [])]
+    counts, changed = {}, True
+    while changed:
+        ready = [x for x in above - set(counts) if all(a in counts for a, _ in into.get(x, []))]
+        counts |= {x: sum(n * (1 + counts[a]) for a, n in into.get(x, [])) for x in ready}
+        changed = bool(ready)
+    return {x: str(counts[x]) if x in counts else None for x in above}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_walks_over_all_edges(spark):
+    edges = [tuple(r) for r in impact.call_edges(from_tables(spark, DATA)).collect()]
+    want = walks_above(edges)
+    assert len(want) > 1
+    queries = __spark_entry__.queries()
+    assert {r.node: r.walks for r in queries["OP-A9_walk_counts_whole"](spark, DATA).collect()} == want
+    assert {r.id: r.transitive for r in queries["OP-A8_impact_nodes_whole"](spark, DATA).collect()} == want
