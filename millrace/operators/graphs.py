@@ -219,18 +219,13 @@ def dependence_graph(blocks: DataFrame, edges: DataFrame, compat: bool = True) -
 
 
 def data_dependences(blocks: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(file, method_ord, src, dst, name): reaching definitions of local names, read from the lines of each block.
+    """(file, method_ord, src, dst, name): reaching definitions of local names.
 
-    A name is defined by ``name =``, ``++``/``--`` or a declaration, and used wherever else it stands. Entry and exit
-    blocks, and blocks over several lines (conditions, loop heads), count by their first line only.
+    ``sources``: the relation names of ``frontend.parse(compat=False)``, the names that each block defines and uses in the
+    whole of a simple statement, or in the whole head of a condition or loop. Where there are only texts (file, text), each
+    block is read by its first line alone: a name is defined by ``name =`` or ``++``/``--``, and used wherever it stands.
     """
-    define = r"([A-Za-z_]\w*)\s*(?:[-+*/%&|^]|<<|>>|\?\?)?=(?![=>])|([A-Za-z_]\w*)\s*(?:\+\+|--)"
-    lines = F.get(F.split("text", "\r?\n"), F.col("start_line") - 1)
-    texts = blocks.where(~F.col("kind").isin("Entry", "Exit", "LoopExit")).join(sources.select("file", "text"), "file").select("file", "method_ord", "id", lines.alias("line"))
-    named = texts.select(
-        "file", "method_ord", "id",
-        F.array_union(F.regexp_extract_all("line", F.lit(define), F.lit(1)), F.regexp_extract_all("line", F.lit(define), F.lit(2))).alias("defs"), F.regexp_extract_all("line", F.lit(r"([A-Za-z_]\w*)"), F.lit(1)).alias("uses"),
-    )
+    named = sources.select("file", "method_ord", "id", "defs", "uses") if "defs" in sources.columns else _first_lines(blocks, sources)
     all_ = blocks.select("file", "method_ord", "id", "kind").join(named, ["file", "method_ord", "id"], "left")
 
     def kernel(rows: list, pairs: list) -> list:
@@ -240,6 +235,17 @@ def data_dependences(blocks: DataFrame, edges: DataFrame, sources: DataFrame) ->
     return _grouped(all_, edges, ["defs", "uses"], kernel, f"{_KEY}, src int, dst int, name string")
 
 
+def _first_lines(blocks: DataFrame, sources: DataFrame) -> DataFrame:
+    """(file, method_ord, id, defs, uses) by the first line of each block."""
+    define = r"([A-Za-z_]\w*)\s*(?:[-+*/%&|^]|<<|>>|\?\?)?=(?![=>])|([A-Za-z_]\w*)\s*(?:\+\+|--)"
+    lines = F.get(F.split("text", "\r?\n"), F.col("start_line") - 1)
+    texts = blocks.where(~F.col("kind").isin("Entry", "Exit", "LoopExit")).join(sources.select("file", "text"), "file").select("file", "method_ord", "id", lines.alias("line"))
+    return texts.select(
+        "file", "method_ord", "id",
+        F.array_union(F.regexp_extract_all("line", F.lit(define), F.lit(1)), F.regexp_extract_all("line", F.lit(define), F.lit(2))).alias("defs"), F.regexp_extract_all("line", F.lit(r"([A-Za-z_]\w*)"), F.lit(1)).alias("uses"),
+    )
+
+
 def control_context(blocks: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
     """(file, line, method_ord, id, conditions): the conditions and loop heads that lead to the block of a line, nearest last.
 

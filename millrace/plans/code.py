@@ -411,8 +411,8 @@ def _(spark, d):
 
 @query("OP-G10_data_dependence")
 def _(spark, d):
-    p = _parsed(spark, d)
-    return graphs.data_dependences(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), table(spark, d, "sources"))
+    p = frontend.parse(table(spark, d, "sources"), compat=False)
+    return graphs.data_dependences(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), frontend.relation(p, "names"))
 
 
 # ---- the rest of the inventory

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +22,7 @@ _STRUCTS = {
     "creations": "class string, created_type string",
     "blocks": "method_ord int, owner string, method string, id int, kind string, start_line int, end_line int",
     "edges": "method_ord int, edge_ord int, src int, dst int, kind string",
+    "names": "method_ord int, id int, defs array<string>, uses array<string>",
     "statements": "method_ord int, ord int, depth int, kind string, start_line int, end_line int",
     "arguments": "call_ord int, line int, name string",
     "routes": "ord int, http_method string, path string, class string, handler string, source string",
@@ -92,6 +94,42 @@ def _flat(statements: list, depth: int = 0) -> Iterator[tuple]:
             yield from _flat([x for x in inner if x is not None], depth + 1)
 
 
+def _names(tokens: list, first: int, last: int, loop: bool = False) -> tuple[list[str], list[str]]:
+    """(defined, used) names of tokens first..last; ``loop`` for the head of a foreach, which defines what stands before 'in'.
+
+    Members behind a dot are no names, except after ``this``. Compound assignments, ++, -- and ref define and use.
+    """
+    text = lambda k: tokens[k].text if first <= k <= last else ""
+    defs, uses = {}, {}
+    listed: set[int] = set()
+    stop = next((k for k in range(first, last + 1) if text(k) == "in"), first) if loop else first
+    for k in range(first, last + 1):  # (a, b) = ... and var (a, b) in ...
+        if text(k) == ")" and (text(k + 1) == "=" or (loop and k + 1 == stop)):
+            depth, j = 1, k - 1
+            while j >= first and depth:
+                depth += (text(j) == ")") - (text(j) == "(")
+                if tokens[j].kind == "id" and text(j + 1) in (",", ")"):
+                    listed.add(j)
+                j -= 1
+    for k in range(first, last + 1):
+        t = tokens[k]
+        if t.kind == "str" and "$" in t.text[:2]:
+            for hole in re.findall(r"\{([^{}]+)\}", t.text):
+                uses |= dict.fromkeys(re.findall(r"(?<![\w.])[^\W\d]\w*", hole))
+        if t.kind != "id" or (text(k - 1) in (".", "?.", "::", "->") and text(k - 2) != "this"):
+            continue
+        after, then = text(k + 1), text(k + 2)
+        both = after in ("+=", "-=", "*=", "/=", "??=", "++", "--") or (after in "%|&^" and after and then == "=") or (after, then) in (("<", "<="), (">", ">="))
+        both = both or text(k - 1) in ("++", "--", "ref")
+        typed = k - 2 >= first and tokens[k - 1].kind == "id" and text(k - 2) in ("out", "is")
+        plain = after == "=" or k in listed or (typed and text(k - 1) != "not") or (text(k - 1) == "out" and after in (",", ")")) or (loop and k + 1 == stop)
+        if both or plain:
+            defs[t.text] = None
+        if not plain:
+            uses[t.text] = None
+    return list(defs), list(uses)
+
+
 def parse_text(text: str, compat: bool = True) -> dict:
     """All facts of one text."""
     file = File(text)
@@ -125,10 +163,14 @@ def parse_text(text: str, compat: bool = True) -> dict:
         {"ord": k, "caller_class": c.caller_class, "caller_method": c.caller_method, "callee": c.callee, "target_expr": c.target, "is_self_call": c.target == "this", "line": c.line, "delegates": c.arguments}
         for k, c in enumerate(c for c in file.calls if (c.caller_class, c.caller_method) in ok)
     ]
-    blocks, edges = [], []
+    blocks, edges, names = [], [], []
     for k, (m, g) in enumerate(cfg.graphs(file, strict=not compat)):
         blocks += [{"method_ord": k, "owner": m.owner, "method": m.name, "id": i, "kind": kind, "start_line": a, "end_line": b} for i, kind, a, b in g.blocks]
         edges += [{"method_ord": k, "edge_ord": n, "src": a, "dst": b, "kind": kind} for n, (a, b, kind) in enumerate(g.edges)]
+        if not compat:
+            for i, (first, last, loop) in g.spans.items():
+                defs, uses = _names(file.tokens, first, last, loop)
+                names.append({"method_ord": k, "id": i, "defs": defs, "uses": uses})
     statements = [
         {"method_ord": k, "ord": n, "depth": depth, "kind": x.kind, "start_line": x.start, "end_line": x.end}
         for k, m in enumerate(m for m in file.methods if m.body)
@@ -136,7 +178,7 @@ def parse_text(text: str, compat: bool = True) -> dict:
     ]
     arguments = [{"call_ord": c["ord"], "line": c["line"], "name": a} for c in calls for a in c["delegates"]]
     creations = [{"class": c, "created_type": t} for c, t in dict.fromkeys(file.creations)]
-    return {"types": types, "methods": methods, "fields": fields, "calls": calls, "creations": creations, "blocks": blocks, "edges": edges, "statements": statements, "arguments": arguments, "routes": _routes(file)}
+    return {"types": types, "methods": methods, "fields": fields, "calls": calls, "creations": creations, "blocks": blocks, "edges": edges, "names": names, "statements": statements, "arguments": arguments, "routes": _routes(file)}
 
 
 def parse(sources: DataFrame, compat: bool = True, file: str = "file", text: str = "text") -> DataFrame:

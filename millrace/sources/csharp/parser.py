@@ -85,6 +85,9 @@ class Statement:
     start: int
     end: int
     parts: dict = field(default_factory=dict)
+    span: tuple[int, int] = (0, -1)
+    head: tuple[int, int] = (0, -1)
+    step: tuple[int, int] = (0, -1)
 
 
 def literal(text: str) -> str | None:
@@ -452,7 +455,7 @@ class File:
 
     def _make(self, kind: str, first: int, last: int, **parts) -> tuple[Statement, int]:
         t = self.tokens
-        return Statement(kind, t[first].line, self.source.line(t[last].end - 1), parts), last + 1
+        return Statement(kind, t[first].line, self.source.line(t[last].end - 1), parts, (first, last), (first, self._paren(first, last + 1) - 1)), last + 1
 
     def _paren(self, i: int, end: int) -> int:
         """Index after the parentheses that follow token ``i``."""
@@ -491,11 +494,16 @@ class File:
             semi = self._until(opened + 1, close, (";",))
             init = self._make("simple", opened + 1, semi - 1)[0] if semi > opened + 1 else None
             body, j = self._inner(close + 1, end)
-            return self._make("for", i, j - 1, init=init, body=body)
+            made, j = self._make("for", i, j - 1, init=init, body=body)
+            again = self._until(semi + 1, close, (";",))
+            made.head, made.step = (semi + 1, again - 1), (again + 1, close - 1)
+            return made, j
         if word == "do":
             body, j = self._inner(i + 1, end)
             stop = min(self._until(j, end, (";",)), end - 1)
-            return self._make("do", i, stop, body=body)
+            made, nxt = self._make("do", i, stop, body=body)
+            made.head = (j, stop)
+            return made, nxt
         if word == "switch" and i + 1 < end and t[i + 1].text == "(":
             j = self._paren(i, end)
             if j < end and t[j].text == "{":

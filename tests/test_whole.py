@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
-from millrace.operators import impact, navigate
+from millrace.operators import graphs, impact, navigate
 from millrace.operators.facts import from_tables
 from millrace.sources.csharp import frontend
 
@@ -67,3 +67,27 @@ def test_walks_over_all_edges(spark):
     queries = __spark_entry__.queries()
     assert {r.node: r.walks for r in queries["OP-A9_walk_counts_whole"](spark, DATA).collect()} == want
     assert {r.id: r.transitive for r in queries["OP-A8_impact_nodes_whole"](spark, DATA).collect()} == want
+
+
+def test_data_dependence_of_bodies(spark):
+    code = """class K { int Go(List<Item> items, int n) {
+    int total = 0;
+    foreach (var x in items)
+    {
+        total += x.Weight;
+    }
+    lock (this) { n =
+        total; }
+    if (n > 1 &&
+        total > 2) { n++; }
+    do { total = n; } while (total < 9);
+    switch (n) { case 1: int y = 1; Use(y); break; }
+    try { n = 3; } catch (E e) { n = 4; }
+    return Sum(n,
+        total); } }"""
+    p = frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"), compat=False)
+    blocks = frontend.relation(p, "blocks")
+    line = {r.id: (r.start_line, r.kind) for r in blocks.collect()}
+    flow = {(line[r.src][0], line[r.dst][0], r.name) for r in graphs.data_dependences(blocks, frontend.relation(p, "edges"), frontend.relation(p, "names")).collect()}
+    assert flow >= {(2, 5, "total"), (5, 5, "total"), (3, 5, "x"), (2, 7, "total"), (5, 7, "total"), (5, 9, "total"), (7, 9, "n"), (7, 10, "n"), (11, 11, "total"), (12, 12, "y"), (13, 14, "n"), (11, 14, "total")}
+    assert (2, 14, "total") not in flow and (7, 14, "n") not in flow and not any(n == "Weight" for *_, n in flow)
