@@ -40,8 +40,9 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _table(df, n: int = 1000) -> str:
-    rows = df.limit(n).collect()
+def _table(df) -> str:
+    """All rows, fetched a partition at a time."""
+    rows = df.toLocalIterator()
     return "\n".join("  ".join("" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v) for v in r) for r in rows)
 
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
+from millrace import cli
 from millrace.operators import graphs, impact, navigate
 from millrace.operators.facts import from_tables
 from millrace.sources.csharp import frontend
@@ -91,3 +92,9 @@ def test_data_dependence_of_bodies(spark):
     flow = {(line[r.src][0], line[r.dst][0], r.name) for r in graphs.data_dependences(blocks, frontend.relation(p, "edges"), frontend.relation(p, "names")).collect()}
     assert flow >= {(2, 5, "total"), (5, 5, "total"), (3, 5, "x"), (2, 7, "total"), (5, 7, "total"), (5, 9, "total"), (7, 9, "n"), (7, 10, "n"), (11, 11, "total"), (12, 12, "y"), (13, 14, "n"), (11, 14, "total")}
     assert (2, 14, "total") not in flow and (7, 14, "n") not in flow and not any(n == "Weight" for *_, n in flow)
+
+
+def test_listings_are_whole(spark, tmp_path):
+    (tmp_path / "many.cs").write_text("\n".join(f"class C{i:04} {{ }}" for i in range(1203)))
+    out = cli.run(spark, cli._parser().parse_args(["parse", str(tmp_path)]))
+    assert len(out.splitlines()) == 1203 and '"name":"C1202"' in out
