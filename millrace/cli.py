@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import functions as F
 
 from .operators import callgraph, graphs, impact, navigate, patterns, render, resolve
+from .operators.facts import is_accessor
 from .session import local_session, ship
 from .sources.csharp import frontend
 
@@ -46,6 +47,31 @@ def _table(df) -> str:
     return "\n".join("  ".join("" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else str(v) for v in r) for r in rows)
 
 
+def _class_calls(facts, args) -> str:
+    """Calls of every class that contains ``--class``: what it calls (as trees with --trace) and who calls its methods' names.
+
+    Both directions unless one is asked for; where no class matches, a notice with the names there are.
+    """
+    names = facts.classes.where(F.contains(F.lower("name"), F.lit(args.cls.lower()))).select("name").distinct().cache()
+    found = [r[0] for r in names.orderBy("name").collect()]
+    if not found:
+        return f"No class found matching '{args.cls}'\n" + _table(facts.classes.select(F.concat(F.lit("  "), "name")).orderBy("name"))
+    own = facts.methods.where((F.col("owner_kind") == "class") & ~is_accessor(F.col("method"))).join(names.select(F.col("name").alias("owner")), "owner", "left_semi").select("owner", "method").distinct()
+    out = []
+    if args.outbound or not args.inbound:
+        out.append("Outbound calls:")
+        if args.trace:
+            starts = facts.calls.select(F.col("caller_class").alias("owner"), F.col("caller_method").alias("method")).distinct().join(own, ["owner", "method"], "left_semi")
+            out += [_table(callgraph.call_tree(facts, *node, depth=args.depth).orderBy("path")) for node in starts.orderBy("owner", "method").collect()]
+        else:
+            view = callgraph.outbound(facts).join(names.select(F.col("name").alias("caller_class")), "caller_class", "left_semi")
+            out.append(_table(view.orderBy("caller_class", "caller_method", "callee")))
+    if args.inbound or not args.outbound:
+        view = callgraph.inbound(facts).join(own.withColumnRenamed("method", "callee"), "callee").select("owner", "callee", "caller_class", "calls", "via")
+        out += ["Inbound calls:", _table(view.orderBy("owner", "callee", "caller_class"))]
+    return "\n".join(x for x in out if x)
+
+
 def run(spark, args) -> str:
     """The text a command prints."""
     load = lambda path: frontend.parse(frontend.read_tree(spark, path)).cache()
@@ -78,13 +104,9 @@ def run(spark, args) -> str:
         found = patterns.detect(facts)
         return _table(patterns.hits(found)) + "\n" + _table(found.orderBy("pattern", "class").select("pattern", "class", F.format_string("c=%.2f", "confidence"), "participants"))
     if args.command == "callgraph":
-        if args.cls and args.trace:
-            names = [r[0] for r in callgraph.match_class(facts, args.cls).collect()]
-            starts = navigate.start(facts, names[0]) if names else []
-            return "\n".join(_table(callgraph.call_tree(facts, *node, depth=args.depth).orderBy("path")) for node in starts)
-        view = callgraph.inbound(facts) if args.inbound else callgraph.outbound(facts) if args.outbound or args.cls else callgraph.summary(facts)
-        if args.cls and not args.inbound:
-            view = view.where(F.contains(F.lower("caller_class"), F.lit(args.cls.lower())))
+        if args.cls:
+            return _class_calls(facts, args)
+        view = callgraph.inbound(facts) if args.inbound else callgraph.outbound(facts) if args.outbound else callgraph.summary(facts)
         return _table(view.orderBy(*view.columns[:2]))
     if args.command == "impact":
         target = f"{args.cls}.{args.method}"

@@ -98,3 +98,14 @@ def test_listings_are_whole(spark, tmp_path):
     (tmp_path / "many.cs").write_text("\n".join(f"class C{i:04} {{ }}" for i in range(1203)))
     out = cli.run(spark, cli._parser().parse_args(["parse", str(tmp_path)]))
     assert len(out.splitlines()) == 1203 and '"name":"C1202"' in out
+
+
+def test_callgraph_of_all_matching_classes(spark, tmp_path):
+    (tmp_path / "a.cs").write_text("class ShopA { void Go() { Left(); } void Left() { } }\nclass ShopB { void Run() { Right(); } void Right() { } }\nclass Other { void Do() { ShopB.Right(); Stray(); } void Stray() { } }\n")
+    run = lambda *argv: cli.run(spark, cli._parser().parse_args(["callgraph", str(tmp_path), "--class", *argv])).splitlines()
+    both = run("shop")
+    assert both == ["Outbound calls:", "ShopA  Go  Left  1  ", "ShopB  Run  Right  1  ", "Inbound calls:", "ShopA  Left  ShopA  1  ", "ShopB  Right  Other  1  ShopB", "ShopB  Right  ShopB  1  "]
+    assert run("shop", "--outbound") == both[:3] and run("shop", "--inbound") == both[3:]
+    traced = run("shop", "--trace", "--outbound")
+    assert any("ShopA.Left" in x for x in traced) and any("ShopB.Right" in x for x in traced)
+    assert run("nothing") == ["No class found matching 'nothing'", "  Other", "  ShopA", "  ShopB"]
