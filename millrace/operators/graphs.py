@@ -246,17 +246,27 @@ def _first_lines(blocks: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def control_context(blocks: DataFrame, edges: DataFrame, lines: DataFrame) -> DataFrame:
+def control_context(blocks: DataFrame, edges: DataFrame, lines: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(file, line, method_ord, id, conditions): the conditions and loop heads that lead to the block of a line, nearest last.
 
     ``lines``: (file, line). The block is the first of the file that holds the line; predecessors are followed until a
-    condition, loop head or handler.
+    condition, loop head or handler. With ``sources`` (file, text) they read 'when: if (TEXT) [Ln]' for a condition and
+    'when: TEXT [Ln]' for the others, TEXT being the lines of the block; without, 'Kind [Ln]'.
     """
+    stop = ("Condition", "LoopHeader", "Handler")
+    at = F.concat(F.lit(" [L"), "start_line", F.lit("]"))
+    if sources is None:
+        blocks = blocks.withColumn("label", F.concat("kind", at))
+    else:
+        code = sources.select("file", F.split("text", "\r?\n").alias("code")).dropDuplicates(["file"])
+        text = F.trim(F.array_join(F.slice("code", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), " "))
+        label = F.concat(F.when(F.col("kind") == "Condition", F.concat(F.lit("when: if ("), text, F.lit(")"))).otherwise(F.concat(F.lit("when: "), text)), at)
+        heads = blocks.where(F.col("kind").isin(*stop)).join(code, "file").select("file", "method_ord", "id", label.alias("label"))
+        blocks = blocks.join(heads, ["file", "method_ord", "id"], "left")
     held = blocks.join(lines, "file").where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")) & ~F.col("kind").isin("Entry", "Exit"))
     spot = held.groupBy("file", "line").agg(F.min_by(F.struct("method_ord", "id"), "id").alias("b")).select("file", "line", "b.method_ord", "b.id")
     keys = ["file", "method_ord"]
-    stop = ("Condition", "LoopHeader", "Handler")
-    rows = blocks.select(*keys, "id", "kind", "start_line", F.lit(None).cast("int").alias("line")).unionByName(spot.select(*keys, "id", F.lit("?").alias("kind"), F.lit(0).alias("start_line"), "line"))
+    rows = blocks.select(*keys, "id", "kind", "label", F.lit(None).cast("int").alias("line")).unionByName(spot.select(*keys, "id", F.lit("?").alias("kind"), F.lit("").alias("label"), "line"))
 
     def kernel(all_rows: list, pairs: list) -> list:
         kind = {r[0]: (r[1], r[2]) for r in all_rows if r[1] != "?"}
@@ -274,13 +284,13 @@ def control_context(blocks: DataFrame, edges: DataFrame, lines: DataFrame) -> Da
                     continue
                 seen.add(x)
                 if kind[x][0] in stop:
-                    found.append(f"{kind[x][0]} [L{int(kind[x][1])}]")
+                    found.append(kind[x][1])
                 else:
                     stack += pred[x]
             out.append((int(line), start, found[::-1]))
         return out
 
-    return _grouped(rows, edges, ["start_line", "line"], kernel, f"{_KEY}, line int, id int, conditions array<string>")
+    return _grouped(rows, edges, ["label", "line"], kernel, f"{_KEY}, line int, id int, conditions array<string>")
 
 
 def data_context(arguments: DataFrame, sources: DataFrame) -> DataFrame:

@@ -254,8 +254,17 @@ def method_files(facts: Facts) -> DataFrame:
     return facts.methods.where("file <> ''").groupBy("owner", "method").agg(F.min("file").alias("file"))
 
 
-def contexts(facts: Facts, conditions: DataFrame) -> DataFrame:
-    """(site_id, context): 'ctrl: [...]' of each call, from ``graphs.control_context`` by file and line; '' where there is none."""
+def contexts(facts: Facts, conditions: DataFrame, data: DataFrame | None = None) -> DataFrame:
+    """(site_id, context): 'ctrl: [...]; data: [...]' of each call, halves without anything left out; '' where there is none.
+
+    ``conditions`` from ``graphs.control_context`` by file and line, ``data`` from ``graphs.data_context`` by file and call,
+    as 'name from Ln' in the order of the lines.
+    """
     known = conditions.groupBy("file", "line").agg(F.first("conditions").alias("conditions"))
-    text = F.when(F.size("conditions") > 0, F.concat(F.lit("ctrl: ["), F.array_join("conditions", "; "), F.lit("]"))).otherwise("")
-    return facts.calls.select("site_id", "file", "line").join(known, ["file", "line"], "left").select("site_id", F.coalesce(text, F.lit("")).alias("context"))
+    text = F.when(F.size("conditions") > 0, F.concat(F.lit("ctrl: ["), F.array_join("conditions", ", "), F.lit("]")))
+    rows = facts.calls.select("site_id", "file", "line").join(known, ["file", "line"], "left").select("site_id", text.alias("ctrl"))
+    if data is None:
+        return rows.select("site_id", F.coalesce("ctrl", F.lit("")).alias("context"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("defined", "name"))), lambda x: F.concat(x["name"], F.lit(" from L"), x["defined"])), ", ")
+    half = data.groupBy(F.xxhash64("file", "call_ord").alias("site_id")).agg(F.concat(F.lit("data: ["), names, F.lit("]")).alias("data"))
+    return rows.join(half, "site_id", "left").select("site_id", F.concat_ws("; ", "ctrl", "data").alias("context"))

@@ -406,7 +406,7 @@ def _(spark, d):
 def _(spark, d):
     p = _parsed(spark, d)
     lines = frontend.relation(p, "calls").select("file", "line").distinct()
-    return graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines).select("file", "line", F.array_join("conditions", "; ").alias("conditions"))
+    return graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines, table(spark, d, "sources")).select("file", "line", F.array_join("conditions", "; ").alias("conditions"))
 
 
 @query("OP-G10_data_dependence")
@@ -460,7 +460,9 @@ def _(spark, d):
     p = _parsed(spark, d)
     f = frontend.facts_of(p)
     lines = f.calls.select("file", "line").distinct()
-    return navigate.contexts(f, graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines)).where("context <> ''")
+    sources = table(spark, d, "sources").select("file", "text")
+    conditions = graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines, sources)
+    return navigate.contexts(f, conditions, graphs.data_context(frontend.relation(p, "arguments"), sources)).where("context <> ''")
 
 
 @query("OP-F2_statements")

@@ -109,3 +109,18 @@ def test_callgraph_of_all_matching_classes(spark, tmp_path):
     traced = run("shop", "--trace", "--outbound")
     assert any("ShopA.Left" in x for x in traced) and any("ShopB.Right" in x for x in traced)
     assert run("nothing") == ["No class found matching 'nothing'", "  Other", "  ShopA", "  ShopB"]
+
+
+def test_contexts_have_both_halves(spark):
+    code = "class K { void Go(int n) {\n int size = n;\n Plain(size);\n if (n > 1) {\n  Inner(size);\n }\n Last();\n }\n void Plain(int a) { } void Inner(int a) { } void Last() { } }"
+    sources = spark.createDataFrame([("a.cs", code)], "file string, text string")
+    p = frontend.parse(sources)
+    f = frontend.facts_of(p)
+    conditions = graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), f.calls.select("file", "line").distinct(), sources)
+    got = navigate.contexts(f, conditions, graphs.data_context(frontend.relation(p, "arguments"), sources)).join(f.calls.select("site_id", "callee"), "site_id")
+    got = {r.callee: r.context for r in got.collect()}
+    assert got["Plain"] == "data: [size from L2]"
+    assert got["Inner"].endswith("; data: [size from L2]") or got["Inner"] == "data: [size from L2]"
+    texts = [c for r in conditions.collect() for c in r.conditions]
+    assert any(c.startswith("when: if (if (n > 1) {") and c.endswith(" [L4]") for c in texts)
+    assert not any(c.startswith("Condition") for c in texts)
