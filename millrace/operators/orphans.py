@@ -26,6 +26,9 @@ def lifetimes(declarations: DataFrame) -> DataFrame:
     """
     far = F.lit(_NEVER).cast("timestamp")
     rows = declarations.where(F.col("name").isNotNull()).select("name", F.col("from_ts").alias("s"), F.coalesce("to_ts", far).alias("e"))
+    # null starts open no span: they would come first in the windows and swallow all later ones
+    never = rows.where(F.col("s").isNull()).select("name", "s", "e").distinct()
+    rows = rows.where(F.col("s").isNotNull())
     # equal starts need only the latest end: a partial aggregate before any shuffle of spans
     rows = rows.groupBy("name", "s").agg(F.max("e").alias("e"))
     for keys in (["name", F.date_trunc("month", "s")], ["name"]):
@@ -35,6 +38,7 @@ def lifetimes(declarations: DataFrame) -> DataFrame:
         rows = rows.withColumn("opens", opens).withColumn("k", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         group = [F.date_trunc("month", "s").alias("m")] if len(keys) > 1 else []
         rows = rows.groupBy("name", "k", *group).agg(F.min("s").alias("s"), F.max("e").alias("e")).select("name", "s", "e")
+    rows = rows.unionByName(never)
     live = F.when(F.col("s").isNotNull() & (F.col("s") < F.col("e")), F.struct("s", "e"))
     return rows.groupBy("name").agg(F.min("s").alias("first_seen"), F.array_sort(F.collect_list(live)).alias("spans"))
 

@@ -8,6 +8,7 @@ import __spark_entry__
 from millrace import cli
 from millrace.operators import graphs, impact, navigate
 from millrace.operators.facts import from_tables
+from millrace.operators.orphans import lifetimes
 from millrace.sources.csharp import frontend
 
 from .test_program import DATA, duck, plain  # noqa: F401
@@ -124,3 +125,10 @@ def test_contexts_have_both_halves(spark):
     texts = [c for r in conditions.collect() for c in r.conditions]
     assert any(c.startswith("when: if (if (n > 1) {") and c.endswith(" [L4]") for c in texts)
     assert not any(c.startswith("Condition") for c in texts)
+
+
+def test_null_start_leaves_spans_apart(spark):
+    df = spark.createDataFrame([("A", None, None), ("A", "2024-01-01", "2024-01-10"), ("A", "2024-03-01", "2024-03-05"), ("B", None, None)], "name string, f string, t string")
+    got = {r.name: r for r in lifetimes(df.selectExpr("name", "timestamp(f) from_ts", "timestamp(t) to_ts")).collect()}
+    assert [(str(s.s)[:10], str(s.e)[:10]) for s in got["A"].spans] == [("2024-01-01", "2024-01-10"), ("2024-03-01", "2024-03-05")]
+    assert str(got["A"].first_seen)[:10] == "2024-01-01" and got["B"].spans == [] and got["B"].first_seen is None
