@@ -87,7 +87,8 @@ def run(spark, args) -> str:
         if args.command == "hammock":
             return _table(graphs.regions(blocks, edges).orderBy("file", "method_ord", F.size("body"), "header"))
         if args.command == "pdg":
-            return render.pdg_dot(nodes, [(r.src, r.dst, r.kind) for r in graphs.dependence_graph(blocks, edges).orderBy("file", "method_ord", "src", "dst").collect()])
+            pairs = [(r.src, r.dst, r.kind) for r in graphs.dependence_graph(blocks, edges).orderBy("file", "method_ord", "src", "dst").collect()]
+            return (render.cfg_json if args.format == "json" else render.pdg_dot)(nodes, pairs)
         pairs = [(r.src, r.dst, r.kind) for r in edges.orderBy("file", "method_ord", "edge_ord").collect()]
         return (render.cfg_json if args.format == "json" else render.cfg_dot)(nodes, pairs)
     if args.command == "route":
@@ -118,6 +119,9 @@ def run(spark, args) -> str:
         out.append(session.step(line))
         if out[-1] in ("quit", "done"):
             break
+        out += [render.nav_down(session.below()), render.nav_up(session.above())]
+    if session.judged:
+        out.append(render.judgments(session.judged))
     return "\n".join(out)
 
 

@@ -30,6 +30,30 @@ def cfg_json(blocks: Iterable[tuple], edges: Iterable[tuple]) -> str:
     return json.dumps({"nodes": nodes, "edges": [{"from": a, "to": b, "kind": k} for a, b, k in edges]}, indent=2)
 
 
+def nav_down(rows: Iterable) -> str:
+    """The edges down of ``Session.below`` with their numbers, and the options of an interface by letters."""
+    out = []
+    for n, r in enumerate(rows, 1):
+        external = r.kind == "External"
+        out.append(f"    [-] {r.callee} via {r.via}  (external)" if external else f"    [{n}] {r.callee} via {r.via} {r.target_class}".rstrip())
+        if r.kind == "Interface":
+            out.append(f"       INTERFACE: {r.iface}")
+            out += [f"       [{n}{chr(ord('a') + k)}] {x}.{r.callee}  (c=0.70)" for k, x in enumerate(r.options)]
+        elif r.kind == "Delegate":
+            out.append("       DELEGATE HANDLER")
+    return "\n".join(["  Down", *out]) if out else "  Down (none)"
+
+
+def nav_up(rows: Iterable) -> str:
+    """The edges up of ``Session.above`` with their numbers."""
+    out = [f"    [u{n}] {r.caller_class}.{r.caller_method}{' (delegate)' if r.delegate else ''}" for n, r in enumerate(rows, 1)]
+    return "\n".join(["  Up", *out]) if out else "  Up (none)"
+
+
+def judgments(judged: dict[str, str]) -> str:
+    return "\n".join(["  JUDGMENTS:", *(f"    {c} -> {j}" for c, j in sorted(judged.items()))])
+
+
 def pdg_dot(blocks: Iterable[tuple], edges: Iterable[tuple], indent: str = "    ") -> str:
     """A dependence graph in colours: control dashed red, data dotted blue, flow black."""
     out = ["digraph PDG {"]

@@ -1,5 +1,7 @@
 """Operators that did less than the whole job once."""
 
+import io
+import json
 import os
 
 import pytest
@@ -132,3 +134,13 @@ def test_null_start_leaves_spans_apart(spark):
     got = {r.name: r for r in lifetimes(df.selectExpr("name", "timestamp(f) from_ts", "timestamp(t) to_ts")).collect()}
     assert [(str(s.s)[:10], str(s.e)[:10]) for s in got["A"].spans] == [("2024-01-01", "2024-01-10"), ("2024-03-01", "2024-03-05")]
     assert str(got["A"].first_seen)[:10] == "2024-01-01" and got["B"].spans == [] and got["B"].first_seen is None
+
+
+def test_dependence_json_and_nav_lists(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.cs").write_text("class Shop { IStore s; void Sell() { s.Put(); Note(); } void Note() { } }\ninterface IStore { void Put(); } class Disk : IStore { public void Put() { } }\n")
+    run = lambda *argv: cli.run(spark, cli._parser().parse_args([*argv]))
+    graph = json.loads(run("pdg", str(tmp_path), "--format", "json"))
+    assert {n["kind"] for n in graph["nodes"]} >= {"Entry", "Exit"} and any(e["kind"] == "cfg(Seq)" for e in graph["edges"])
+    monkeypatch.setattr("sys.stdin", io.StringIO("9\nc p\nq\n"))
+    out = run("traverse", str(tmp_path), "--class", "Shop")
+    assert "[2] Put via s" in out and "[2a] Disk.Put  (c=0.70)" in out and "[u1] Shop.Sell" in out and "Shop -> pattern" in out
