@@ -1,10 +1,12 @@
-"""Generated, minified and vendored files and data saved as code, told apart by Re-Pair grammars of their tokens.
-
-Every file's code (without comments) gets a grammar. Three things are read from the grammars: long rules that files of
-different repositories share (copies of outside libraries); reused rules that are typical of files which a tool is known
-to have written, which carries that verdict over to files without a banner; and literals that hardly any rule absorbs
-(blobs). Rule reuse alone does not set generated code apart from hand-written code that follows a pattern, so what files
-say about themselves (banner, attribute, file name) also counts, read from comments and code but not from strings.
+"""Generated, minified and vendored source files and data saved as code, told apart by Re-Pair grammars of their tokens.
+
+Every file gets two grammars. That of its code (without comments and line breaks), inferred in the file itself and
+carried on by hashes to a single symbol, has rules that are equal wherever the tokens are equal: long rules used in two
+repositories show a copy of an outside library, as far as they reach. That of its whole text (path, comments, line
+breaks, code), inferred over many files together, holds what files have in common: rules that the corpus uses mostly in
+files which declare that a tool wrote them are typical of tools and flag every file that uses them, declared or not,
+while a declaration alone flags nothing; and code whose rules hold no line breaks is minified. A third grammar, of the
+literals only, finds blobs: literals that no rule absorbs. Nothing but these grammars gives a verdict.
 """
 
 from __future__ import annotations
@@ -21,48 +23,48 @@ from pyspark.sql import functions as F
 from ..session import stored
 from . import repair
 
-#: Tokens of a rule that is long enough to show a copy.
+#: Tokens of a rule that is long enough to count as copied.
 LONG_RULE = 24
-#: Share of a file's tokens in rules shared across repositories that makes it a copy.
-COPIED = 0.5
-#: Repositories that share such a rule.
-REPOSITORIES = 2
-#: Tokens of a reused rule that may be typical of a generator.
+#: Share of a file's tokens in rules shared by two repositories that makes it a copy, and tokens the longest of them must have:
+#: short ones are shared by chance where there are many files.
+COPIED, COPIED_RULE = 0.5, 48
+#: Tokens of a rule that may be typical of a tool.
 TYPICAL_RULE = 4
-#: A rule is typical if, by the lower bound (95 %), the odds that a file with it is known to be generated are so many times those of any file.
+#: A rule is typical if, by the lower bound (95 %), the odds that a file with it is declared are so many times those of any file.
 TYPICAL = 3.0
-#: Weight of typical rules among a file's reused rules that makes it generated.
-GENERATED = 0.1
+#: Weight of typical rules among a file's rules that makes it generated.
+GENERATED = 0.25
+#: Lower bound (95 %) of the share of declared files among those with a rule, from which the rule alone makes a file generated.
+STRONG = 0.6
 #: Share of characters in literals other than words, and of literals no rule absorbs, that makes a file data.
 LITERAL, INCOMPRESSIBLE = 0.4, 0.5
-#: Share of blanks below which code outside literals is minified, and the length of its longest line at least.
-BLANK, LONG_LINE = 0.1, 200
+#: Share of tokens in rules with a line break below which a file is minified, and the tokens it must have to tell.
+LAID, MINIFIED_TOKENS = 0.1, 100
 #: Rows of a broadcast table of rules at most; beyond, it is joined.
 BROADCAST_RULES = 100_000
-#: Files per grammar batch and tokens in them, about.
-BATCH_FILES, BATCH_TOKENS = 400, 200_000
+#: Files per grammar batch and tokens in them at least, unless a task has fewer; at most twice as many and one file more.
+BATCH_FILES, BATCH_TOKENS = 500, 250_000
 
 _PARTS = re.compile(r"""(//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""", re.S)
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+_LINES = re.compile(r"\n\s*|\w+|[^\w\s]")
 
-# What tools write about files they wrote, in comments at the head of the file.
+# What tools write about files they wrote, in comments before the first or after the last line of code.
 _BANNER = re.compile(
     r"<auto-?generated|@generated\b|\b(?:auto|machine|automatically)[- ]?generated\b"
     r"|\b(?:generated|produced|emitted|created|erzeugt|generiert|généré|generado|generato|gerado)\s+(?:automatically\s+)?(?:by|with|from|using|mit|von|aus|par|por|da)\b"
-    r"|\bdo(?: not|n't) (?:edit|modify|change)(?: (?:this file|by hand|manually))?\s*(?:[.!;*/-]|$)|\b(?:changes|edits)(?: \w+){0,6} lost\b",
+    r"|\bdo(?: not|n't) (?:edit|modify|change)(?: (?:this file|by hand|manually))?\s*(?:[.!;*/-]|$)|\b(?:changes|edits)(?: \w+){0,6} lost\b"
+    r"|\b(?:start|begin|beginning|end) of (?:the )?(?:generated |tool )?output\b",
     re.I | re.M,
 )
 # What people write about files that a tool wrote once or that speak of tools.
 _BY_HAND = re.compile(r"\b(?:maintained|written|edited|kept|changed) by (?:hand|us)\b|\bedit freely\b|\bhand-?written\b|\bgenerated (?:\w+ )?(?:once|originally)\b", re.I)
 _ATTRIBUTE = re.compile(r"\[\s*(?:assembly:\s*)?(?:[\w.]+\.)?(?:GeneratedCode|CompilerGenerated)(?:Attribute)?\s*[(\]]|^\s*#\s*(?:pragma checksum|line hidden)", re.M)
 _TOOL_PATH = re.compile(r"\.g(?:\.i)?\.cs$|\.generated\.\w+$|\.designer\.cs$|(?:^|/)obj/", re.I)
-_OUTSIDE_PATH = re.compile(r"(?:^|/)(?:vendor|vendored|third[_-]?party|packages|node_modules|bower_components)/", re.I)
-_NOTICE = re.compile(r"\b(?:contributors|authors)\b|\bfree to use\b|\blicen[sc]ed?\b|\b(?:public|permissive|open \w+) terms\b", re.I)
-_OWN_NOTICE = re.compile(r"\binternal use\b|\bconfidential\b", re.I)
 
 _SCHEMA = (
-    "file string, repo_id bigint, tokens int, reuse double, left double, literal double, open_literals double, blank double, longest int, "
-    "tool boolean, outside boolean, chunk array<bigint>, chunk_n array<int>, rule array<bigint>, rule_w array<int>"
+    "row bigint, file string, repo_id bigint, tokens int, literal double, open_literals double, laid double, declared boolean, "
+    "part array<bigint>, part_n array<int>, part_up array<bigint>, rule array<bigint>, rule_w array<int>"
 )
 
 
@@ -90,106 +92,124 @@ class _Reader:
             out.append(h)
         return out
 
-    def read(self, file: str | None, text: str) -> tuple[list[int], list[int], tuple]:
-        """(hashes of the code's tokens, hashes of its literals, plain facts)."""
+    def read(self, key: int, file: str | None, text: str) -> tuple[list[int], list[int], list[int], float, bool]:
+        """(hashes of the code's tokens, of its literals, of the whole text's tokens; share of data; whether the file declares a tool)."""
         text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
         code: list[str] = []
         literals: list[str] = []
-        bare: list[str] = []
-        head = True
-        banner = notice = own = by_hand = False
+        # the same word is another token in a path, in a comment, in a string and in code; numbers are one token
+        whole = ["p" + w for w in _TOKEN.findall(file or "")]
+        names = len(whole)
+        notes: list[tuple[int, str]] = []
+        last_code = -1
         literal_chars = 0
         parts = _PARTS.split(text)
         for k, part in enumerate(parts):
             if k % 2 == 0:
-                words = _TOKEN.findall(part)
-                if words:
-                    head = False
-                    code += words
-                    bare.append(part)
-                    for w in words:
-                        if w[0].isdigit():
-                            literals.append(w)
-                            literal_chars += len(w)
+                words = _LINES.findall(part)
+                for w in words:
+                    if w[0] == "\n":
+                        whole.append("\n")
+                        continue
+                    last_code = k
+                    code.append(w)
+                    if w[0].isdigit():
+                        literals.append(w)
+                        literal_chars += len(w)
+                        whole.append("0")
+                    else:
+                        whole.append(w)
             elif part.startswith(("//", "/*")):
-                if head:
-                    banner |= bool(_BANNER.search(part))
-                    by_hand |= bool(_BY_HAND.search(part))
-                    notice |= bool(_NOTICE.search(part))
-                    own |= bool(_OWN_NOTICE.search(part))
+                notes.append((k, part))
+                whole += ["c0" if w[0].isdigit() else "c" + w for w in _TOKEN.findall(part)]
             else:
-                head = False
+                last_code = k
                 words = _TOKEN.findall(part)
                 code += words
                 literals += [w for w in words if w[0].isalnum()]
                 literal_chars += sum(len(w) for w in words if not _wordlike(w))
-        name = file or ""
-        tool = bool(code) and ((banner and not by_hand) or bool(_ATTRIBUTE.search("".join(bare))) or bool(_TOOL_PATH.search(name)))
-        outside = bool(code) and (bool(_OUTSIDE_PATH.search(name)) or (notice and not own and not banner))
-        solid = sum(map(len, code))
-        outer = "".join(parts[::2])
-        blank = sum(map(outer.count, " \t\n")) / max(1, len(outer))
-        longest = max(map(len, outer.split("\n")))
-        return self.hashes(code), self.hashes(literals), (literal_chars / max(1, solid), blank, longest, tool, outside)
+                whole += ["s0" if w[0].isdigit() else "s" + w for w in words]
+        first_code = next((k for k, p in enumerate(parts) if (k % 2 == 0 and p.strip()) or (k % 2 and not p.startswith(("//", "/*")))), len(parts))
+        outer = [p for k, p in notes if k < first_code or k > last_code]
+        banner = any(map(_BANNER.search, outer)) and not any(map(_BY_HAND.search, outer))
+        declared = bool(code) and (banner or bool(_ATTRIBUTE.search("".join(parts[::2]))) or bool(_TOOL_PATH.search(file or "")))
+        known = self.hashes(whole)
+        # a token of its own ends the path: no rule goes from there into the text
+        known.insert(names, xxhash.xxh64_intdigest(f"{key} {file}"))
+        return self.hashes(code), self.hashes(literals), known, literal_chars / max(1, sum(map(len, code))), declared
+
+
+_BREAK = xxhash.xxh64_intdigest("\n")
+
 
+def first_folder(file: Column) -> Column:
+    """The repository of a path where nothing else is known: its first folder, below ``src`` the second."""
+    return F.regexp_extract(F.coalesce(file, F.lit("")), r"^(?:src/)?[^/]+", 0)
 
-def _repository(file: str | None) -> int:
-    match = re.match(r"(?:src/)?[^/]+", file or "")
-    return xxhash.xxh64_intdigest(match[0] if match else "") >> 1
 
+def _lists(owner: np.ndarray, n: int, *columns: tuple[np.ndarray, pa.DataType]) -> list[pa.ListArray]:
+    order = np.argsort(owner, kind="stable")
+    bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32), pa.int32())
+    return [pa.ListArray.from_arrays(bounds, pa.array(values[order], kind)) for values, kind in columns]
 
-def features(sources: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """One row per file with text: facts of its tokens, and the rules of its grammar as hashes."""
+
+def _grammar(sequences: list[list[int]], **how) -> repair.Grammars:
+    sizes = np.array([len(s) for s in sequences], np.int64)
+    return repair.infer(np.array([h for s in sequences for h in s], np.uint64), np.repeat(np.arange(len(sequences)), sizes), len(sequences), **how)
+
+
+def features(sources: DataFrame, file: str = "file", text: str = "text", repository: str | None = None) -> DataFrame:
+    """One row per row with text: its rules as hashes of the tokens they stand for, and shares of its tokens.
+
+    ``part``: the long rules of the code with their tokens and the rule they went into (0: none); ``rule``: the distinct
+    rules of the whole text that other places of the batch use too, weighted by the tokens they cover in the file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()
 
-        def flush(names: list, codes: list, lits: list, facts: list) -> pa.RecordBatch:
-            n = len(names)
-            sizes = np.array([len(c) for c in codes], np.int64)
-            g = repair.infer(np.array([h for c in codes for h in c], np.uint64), np.repeat(np.arange(n), sizes), n)
-            lit_sizes = np.array([len(c) for c in lits], np.int64)
-            lg = repair.infer(np.array([h for c in lits for h in c], np.uint64), np.repeat(np.arange(n), lit_sizes), n)
-
-            def lists(owner: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-                order = np.argsort(owner, kind="stable")
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values[order], kind))
-
-            c = g.chunk_len >= LONG_RULE
-            r = g.rule_len >= TYPICAL_RULE
-            whole = np.maximum(g.tokens, 1)
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            keys, names, repos, codes, lits, wholes, literal, declared = map(list, zip(*rows))
+            n = len(rows)
+            g = _grammar(codes, finish=True)
+            long = g.size >= LONG_RULE
+            up = np.where(g.above >= 0, g.hash[g.above], np.uint64(0))[long] if len(g.hash) else g.hash
+            parts = _lists(g.of[long], n, (g.hash[long].view(np.int64), pa.int64()), (g.size[long].astype(np.int32), pa.int32()), (up.view(np.int64), pa.int64()))
+            lg = _grammar(lits)
+            w = _grammar(wholes, together=True, mark=_BREAK)
+            good = w.size >= TYPICAL_RULE
+            key, at, times = np.unique(repair.scrambled(w.hash[good] ^ repair.scrambled(w.of[good].astype(np.uint64))), return_index=True, return_counts=True)
+            of, hash_, weight = w.of[good][at], w.hash[good][at], (w.size[good][at] * times).astype(np.int32)
+            rules = _lists(of, n, (hash_.view(np.int64), pa.int64()), (weight, pa.int32()))
             open_literals = np.where(lg.tokens > 0, 1 - lg.covered / np.maximum(lg.tokens, 1), 0.0)
-            cols = list(zip(*facts))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names, pa.string()), pa.array([_repository(f) for f in names], pa.int64()), pa.array(g.tokens.astype(np.int32)),
-                    pa.array(g.covered / whole), pa.array((g.left + 2 * g.rules) / whole), pa.array(cols[0], pa.float64()), pa.array(open_literals),
-                    pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.bool_()),
-                    lists(g.chunk_of[c], g.chunk_hash[c].view(np.int64), pa.int64()), lists(g.chunk_of[c], g.chunk_len[c].astype(np.int32), pa.int32()),
-                    lists(g.rule_of[r], g.rule_hash[r].view(np.int64), pa.int64()), lists(g.rule_of[r], (g.rule_len[r] * g.rule_uses[r]).astype(np.int32), pa.int32()),
+                    pa.array(keys, pa.int64()), pa.array(names, pa.string()), pa.array([xxhash.xxh64_intdigest(r or "") >> 1 for r in repos], pa.int64()), pa.array(g.tokens.astype(np.int32)),
+                    pa.array(literal, pa.float64()), pa.array(open_literals), pa.array(w.marked / np.maximum(w.tokens, 1)), pa.array(declared, pa.bool_()), *parts, *rules,
                 ],
                 names=[c.split()[0] for c in _SCHEMA.split(", ")],
             )
 
-        for b in batches:
-            names, codes, lits, facts, size = [], [], [], [], 0
-            for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not t:
-                    continue
-                code, literals, fact = reader.read(f, t)
-                names.append(f)
-                codes.append(code)
-                lits.append(literals)
-                facts.append(fact)
-                size += len(code)
-                if len(names) >= BATCH_FILES or size >= BATCH_TOKENS:
-                    yield flush(names, codes, lits, facts)
-                    names, codes, lits, facts, size = [], [], [], [], 0
-            if names:
-                yield flush(names, codes, lits, facts)
-
-    return sources.select(F.col(file).alias("file"), F.col(text).alias("text")).where(F.length("text") > 0).mapInArrow(run, _SCHEMA)
+        # the last batch of a task joins the one before: a grammar of few files has few rules
+        held: list[tuple] = []
+        rows: list[tuple] = []
+        size = 0
+        with np.errstate(over="ignore"):
+            for b in batches:
+                for key, name, repo, t in zip(*(b.column(i).to_pylist() for i in range(4))):
+                    code, literals, whole, data, declared = reader.read(key, name, t)
+                    rows.append((key, name, repo, code, literals, whole, data, declared))
+                    size += len(whole)
+                    if len(rows) >= BATCH_FILES or size >= BATCH_TOKENS:
+                        if held:
+                            yield flush(held)
+                        held, rows, size = rows, [], 0
+            if held or rows:
+                yield flush(held + rows)
+
+    repo = F.col(repository) if repository else first_folder(F.col(file))
+    picked = sources.select(F.monotonically_increasing_id().alias("row"), F.col(file).alias("file"), repo.cast("string").alias("repo"), F.col(text).alias("text"))
+    return picked.where(F.length("text") > 0).mapInArrow(run, _SCHEMA)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -205,42 +225,45 @@ def _bound(hits: Column, n: Column) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def judged(sources: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, generated, minified, vendored, data, shared, typical, tokens, reuse): a verdict on each file with text.
+def judged(sources: DataFrame, file: str = "file", text: str = "text", repository: str | None = None) -> DataFrame:
+    """(file, generated, minified, vendored, data, ...): a verdict on each row with text, and the measures it rests on.
 
-    ``shared``: share of the file's tokens in long rules that another repository has too; ``typical``: weight of its
-    reused rules that are typical of known generated files. Null and empty texts have no row; a text of blanks and
-    comments only is hand-written. Files with a null name are judged; equal names are judged apart only in their own
-    facts, their shares are summed. A repository is the first folder of the path, below ``src`` the second.
+    ``shared``: share of the code's tokens in long rules that another repository uses too, ``longest``: tokens of the longest;
+    ``typical``: weight of typical
+    rules among the rules of the whole text, ``strong``: the highest lower bound of declared files among those with one of
+    the file's rules; ``laid``: share of tokens in rules with a line break; ``literal``, ``open_literals``: share of
+    characters that are data, and of literals no rule absorbs. ``declared`` only trains and is no verdict: the banner of a
+    single file is no rule. Null and empty texts have no row; a text of blanks and comments only is hand-written. Rows with
+    a null or a repeated name are judged one by one. ``repository``: a column; else the first folder of the path, below
+    ``src`` the second. What a file's rules tell depends on the other files, so its verdict may change with the table.
     """
-    facts = stored(features(sources, file, text), "features")
-    chunks = facts.select("file", "repo_id", F.explode(F.arrays_zip("chunk", "chunk_n")).alias("c")).select("file", "repo_id", F.col("c.chunk").alias("h"), F.col("c.chunk_n").alias("n"))
-    spread = chunks.groupBy("h").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"))
-    if REPOSITORIES > 2:
-        spread = chunks.select("h", "repo_id").distinct().groupBy("h").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b"), F.count("*").alias("k")).where(F.col("k") >= REPOSITORIES)
-    shared = chunks.join(_small(spread.where("a <> b").select("h")), "h", "left_semi").groupBy("file").agg(F.sum("n").alias("shared_n"))
-
-    rules = facts.select("file", "tool", F.explode(F.arrays_zip("rule", "rule_w")).alias("r")).select("file", "tool", F.col("r.rule").alias("h"), F.col("r.rule_w").alias("w"))
-    seen = rules.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("tool").cast("long")).alias("hits"))
-    known = facts.agg(F.avg(F.col("tool").cast("double"))).first()[0] or 0.0
+    facts = stored(features(sources, file, text, repository), "features")
+    parts = facts.select("row", "repo_id", F.explode(F.arrays_zip("part", "part_n", "part_up")).alias("p")).select("row", "repo_id", F.col("p.part").alias("h"), F.col("p.part_n").alias("n"), F.col("p.part_up").alias("up"))
+    spread = _small(parts.groupBy("h").agg(F.min("repo_id").alias("a"), F.max("repo_id").alias("b")).where("a <> b").select("h"))
+    # of nested rules the outermost counts: one that went into no shared rule
+    outermost = parts.join(spread, "h", "left_semi").join(spread.select(F.col("h").alias("up")), "up", "left_anti")
+    shared = outermost.groupBy("row").agg(F.sum("n").alias("shared_n"), F.max("n").alias("longest"))
+
+    rules = facts.select("row", "declared", F.explode(F.arrays_zip("rule", "rule_w")).alias("r")).select("row", "declared", F.col("r.rule").alias("h"), F.col("r.rule_w").alias("w"))
+    seen = rules.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("declared").cast("long")).alias("hits"))
+    known = facts.agg(F.avg(F.col("declared").cast("double"))).first()[0] or 0.0
     odds = TYPICAL * known / (1 - known) if known < 1 else float("inf")
     low = _bound(F.col("hits"), F.col("n"))
-    marks = _small(seen.where((F.col("hits") >= 2) & (low >= F.lit(odds) * (1 - low))).select("h"))
-    typical = rules.join(marks, "h", "left_semi").groupBy("file").agg(F.sum("w").alias("typical_w"))
+    marks = _small(seen.where(F.col("hits") >= 2).withColumn("low", low).where((F.col("low") >= F.lit(odds) * (1 - F.col("low"))) | (F.col("low") >= STRONG)).select("h", "low"))
+    typical = rules.join(marks, "h").groupBy("row").agg(F.sum("w").alias("typical_w"), F.max("low").alias("strong"))
 
     weight = F.aggregate("rule_w", F.lit(0).cast("long"), lambda a, x: a + x)
     part = lambda c, whole: F.coalesce(F.col(c), F.lit(0)) / F.greatest(whole, F.lit(1))
-    rows = facts.drop("chunk", "chunk_n", "rule").join(shared, "file", "left").join(typical, "file", "left")
-    rows = rows.withColumn("shared", part("shared_n", F.col("tokens"))).withColumn("typical", part("typical_w", weight))
+    rows = facts.drop("part", "part_n", "part_up", "rule").join(shared, "row", "left").join(typical, "row", "left")
+    rows = rows.withColumn("shared", part("shared_n", F.col("tokens"))).withColumn("typical", part("typical_w", weight)).withColumn("strong", F.coalesce("strong", F.lit(0.0)))
     data = (F.col("literal") >= LITERAL) & (F.col("open_literals") >= INCOMPRESSIBLE)
-    minified = ~data & (F.col("blank") < BLANK) & (F.col("longest") >= LONG_LINE)
     return rows.select(
         "file",
-        (F.col("tool") | (F.col("typical") >= GENERATED)).alias("generated"),
-        minified.alias("minified"),
-        (F.col("outside") | (F.col("shared") >= COPIED)).alias("vendored"),
+        ((F.col("strong") >= STRONG) | (F.col("typical") >= GENERATED)).alias("generated"),
+        (~data & (F.col("laid") < LAID) & (F.col("tokens") >= MINIFIED_TOKENS)).alias("minified"),
+        ((F.col("shared") >= COPIED) & (F.coalesce("longest", F.lit(0)) >= COPIED_RULE)).alias("vendored"),
         data.alias("data"),
-        "shared", "typical", "tokens", "reuse", "literal", "open_literals", "blank", "longest", "tool", "outside",
+        "shared", "longest", "typical", "strong", "laid", "tokens", "literal", "open_literals", "declared",
     )
 
 

@@ -1,11 +1,11 @@
 """Re-Pair grammars of many token sequences at once, in numpy.
 
-Re-Pair replaces the most frequent pair of neighbouring symbols by a new symbol, again and again. Here every round
-replaces, in all sequences together, each pair that is more frequent within its sequence than both neighbouring pairs
-(ties by a hash of what the pairs stand for), so that a grammar of n tokens takes some log n rounds. While pairs repeat,
-frequency decides; afterwards all pairs occur once and the hashes alone decide, which goes on up to rules of ``widest``
-tokens. A rule's hash depends only on the tokens it stands for: equal stretches get equal rules in any sequence, apart
-from their edges.
+Re-Pair replaces the most frequent pair of neighbouring symbols by a new symbol, a rule, again and again. Here every
+round replaces each pair that is more frequent than both neighbouring pairs (ties by a hash of what the pairs stand
+for), so that a grammar of n tokens takes some log n rounds. Pairs are counted within each sequence, or over all
+sequences of the call. Where pairs occur once, frequency has no say any more; ``finish`` goes on by the hashes alone, up
+to one symbol a sequence. A rule's hash depends only on the tokens it stands for: equal stretches get equal rules in any
+sequence and any call, apart from their edges, so that uses of a rule can be counted over a whole corpus.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Tokens a rule stands for at most.
-WIDEST = 64
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_WORD = (1 << 64) - 1
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -27,110 +26,113 @@ def scrambled(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Grammars:
-    """Per sequence: tokens, symbols left while frequency decided, rules and their uses, tokens in reused rules.
+    """Rules in the order they were made, and the symbols that were left when frequency had no say any more.
 
-    ``chunk_*``: the symbols left in the end (sequence, hash of their tokens, number of tokens). ``rule_*``: the rules
-    used at least twice in a sequence (sequence, hash of their tokens, number of tokens, uses).
+    Per use of a rule: ``of`` its sequence, ``hash`` and ``size`` of the tokens it stands for, ``uses`` its frequency when
+    it was made (1 where hashes decided), ``above`` the use it went into (-1: none). Per sequence: ``tokens``; tokens
+    ``covered`` by symbols of at least two tokens while frequency decided; those ``marked``: in such symbols that hold
+    one of the marked tokens.
     """
 
     tokens: np.ndarray
-    left: np.ndarray
-    rules: np.ndarray
-    uses: np.ndarray
     covered: np.ndarray
-    chunk_of: np.ndarray
-    chunk_hash: np.ndarray
-    chunk_len: np.ndarray
-    rule_of: np.ndarray
-    rule_hash: np.ndarray
-    rule_len: np.ndarray
-    rule_uses: np.ndarray
+    marked: np.ndarray
+    of: np.ndarray
+    hash: np.ndarray
+    size: np.ndarray
+    uses: np.ndarray
+    above: np.ndarray
+
+
+def _counts(key: np.ndarray) -> np.ndarray:
+    """How often each key occurs, at each of its places."""
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    group = np.cumsum(new) - 1
+    out = np.empty(len(key), np.int64)
+    out[order] = np.bincount(group)[group]
+    return out
+
+
+def _chosen(at: np.ndarray, count: np.ndarray, value: np.ndarray, m: int) -> np.ndarray:
+    """First places of the pairs to replace: stronger than both neighbours; of a run of one pair every second, from the left."""
+    f, v = np.full(m + 1, -1, np.int64), np.zeros(m + 1, np.uint64)
+    f[at], v[at] = count, value
+    before = at - 1
+    fb, vb = np.where(before >= 0, f[before], -1), np.where(before >= 0, v[before], 0)
+    fa, va = f[at + 1], v[at + 1]
+    over_before, over_after = (count > fb) | ((count == fb) & (value > vb)), (count > fa) | ((count == fa) & (value > va))
+    like_before, like_after = (count == fb) & (value == vb), (count == fa) & (value == va)
+    chosen = at[over_before & over_after]
+    inside = like_before | like_after
+    run = at[inside]
+    if len(run):
+        first, last = ~like_before[inside], ~like_after[inside]
+        start = np.maximum.accumulate(np.where(first, run, 0))
+        block = np.cumsum(first) - 1
+        good = np.ones(block[-1] + 1, bool)
+        np.logical_and.at(good, block, (~first | over_before[inside]) & (~last | over_after[inside]))
+        chosen = np.union1d(chosen, run[good[block] & ((run - start) % 2 == 0)])
+        chosen = chosen[np.concatenate([[True], np.diff(chosen) > 1])]
+    return chosen
+
 
+def _powers(sizes: np.ndarray) -> np.ndarray:
+    """The base to the power of each size, modulo 2^64."""
+    distinct, place = np.unique(sizes, return_inverse=True)
+    return np.array([pow(_BASE, int(k), _WORD + 1) for k in distinct], np.uint64)[place]
 
-def infer(hashes: np.ndarray, owner: np.ndarray, sequences: int, widest: int = WIDEST) -> Grammars:
-    """Grammars of ``sequences`` sequences; ``hashes``: the tokens as 64-bit words, ``owner``: the sequence of each, ascending."""
+
+def infer(hashes: np.ndarray, owner: np.ndarray, sequences: int, together: bool = False, finish: bool = False, mark: int | None = None) -> Grammars:
+    """Grammars of ``sequences`` sequences; ``hashes``: the tokens as 64-bit words, ``owner``: the sequence of each, ascending.
+
+    ``together``: pairs are counted over all sequences, else in each. ``finish``: see above. ``mark``: the marked token.
+    No rule goes over the end of a sequence; empty sequences and no sequences at all are fine.
+    """
     tokens = np.bincount(owner, minlength=sequences)
-    rules, uses, left = (np.zeros(sequences, np.int64) for _ in range(3))
     h, n, own = hashes.astype(np.uint64), np.ones(len(hashes), np.int64), owner.astype(np.int64)
-    reuse = np.zeros(len(h), np.int64)  # uses of the rule a symbol came from; 0 for tokens
-    powers = np.ones(widest + 1, np.uint64)
+    holds = h == np.uint64(mark) if mark is not None else np.zeros(len(h), bool)
+    use = np.full(len(h), -1, np.int64)
+    made: list[tuple[np.ndarray, ...]] = []
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    total, by_count = 0, True
+    covered = marked = np.zeros(sequences, np.int64)
     with np.errstate(over="ignore"):
-        for k in range(1, widest + 1):
-            powers[k] = powers[k - 1] * _BASE
-        found: list[tuple[np.ndarray, ...]] = []
-        by_count = True
-        covered = np.zeros(sequences, np.int64)
         while True:
             m = len(h)
-            same = (own[1:] == own[:-1]) & (n[1:] + n[:-1] <= widest) if m > 1 else np.zeros(0, bool)
-            at = np.flatnonzero(same)
-            value = scrambled(h[at] * powers[np.minimum(n[at + 1], widest)] + h[at + 1]) if len(at) else np.zeros(0, np.uint64)
-            if by_count:
-                key = scrambled(value ^ (own[at].astype(np.uint64) * _BASE))
-                order = np.argsort(key, kind="stable")
-                sorted_ = key[order]
-                new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]]) if len(at) else np.zeros(0, bool)
-                group = np.cumsum(new) - 1
-                count = np.zeros(len(at), np.int64)
-                if len(at):
-                    count[order] = np.bincount(group)[group]
-                keep = count >= 2
-                if not keep.any():
-                    by_count = False
-                    left += np.bincount(own, minlength=sequences)
-                    covered += np.bincount(own, np.where(reuse >= 2, n, 0), sequences).astype(np.int64)
-                    continue
-            else:
-                if not len(at):
-                    break
-                count, keep = np.ones(len(at), np.int64), np.ones(len(at), bool)
-            # strength of the pair at each position; -1 where there is none
-            f = np.full(m + 1, -1, np.int64)
-            v = np.zeros(m + 1, np.uint64)
-            f[at[keep]], v[at[keep]] = count[keep], value[keep]
-            p = at[keep]
-            before, after = p - 1, p + 1
-            fb = np.where(before >= 0, f[before], -1)
-            vb = np.where(before >= 0, v[before], 0)
-            over_before = (f[p] > fb) | ((f[p] == fb) & (v[p] > vb))
-            over_after = (f[p] > f[after]) | ((f[p] == f[after]) & (v[p] > v[after]))
-            like_before = (f[p] == fb) & (v[p] == vb)
-            like_after = (f[p] == f[after]) & (v[p] == v[after])
-            chosen = p[over_before & over_after]
-            # runs of one pair (x x x ...): every second place, from the left, where the run beats its surroundings
-            run = p[like_before | like_after]
-            if len(run):
-                first = ~like_before[like_before | like_after]
-                start = np.maximum.accumulate(np.where(first, run, 0))
-                odd = (run - start) % 2 == 1
-                ends = ~like_after[like_before | like_after]
-                ok_left = np.where(first, over_before[like_before | like_after], True)
-                ok_right = np.where(ends, over_after[like_before | like_after], True)
-                block = np.cumsum(first) - 1
-                good = np.ones(block[-1] + 1, bool)
-                np.logical_and.at(good, block, ok_left & ok_right)
-                chosen = np.union1d(chosen, run[good[block] & ~odd])
-                chosen = chosen[np.concatenate([[True], np.diff(chosen) > 1])]
+            at = np.flatnonzero(own[1:] == own[:-1]) if m > 1 else np.zeros(0, np.int64)
+            whole = h[at] * _powers(n[at + 1]) + h[at + 1]
+            value = scrambled(whole)
+            count = np.ones(len(at), np.int64)
+            if by_count and len(at):
+                count = _counts(value if together else scrambled(value ^ own[at].astype(np.uint64) * np.uint64(_BASE)))
+                again = count >= 2
+                at, value, whole, count = at[again], value[again], whole[again], count[again]
+            chosen = _chosen(at, count, value, m) if len(at) else at
             if not len(chosen):
-                if by_count:
-                    by_count = False
-                    left += np.bincount(own, minlength=sequences)
-                    covered += np.bincount(own, np.where(reuse >= 2, n, 0), sequences).astype(np.int64)
-                    continue
-                break
-            if by_count:
-                stands = h[chosen] * powers[n[chosen + 1]] + h[chosen + 1]
-                _, one, inv, freq = np.unique(scrambled(scrambled(stands) ^ own[chosen].astype(np.uint64) * _BASE), return_index=True, return_inverse=True, return_counts=True)
-                again = one[freq >= 2]
-                found.append((own[chosen[again]], scrambled(stands[again]), n[chosen[again]] + n[chosen[again] + 1], freq[freq >= 2]))
-                used = freq[inv]
-                rules += np.round(np.bincount(own[chosen], 1.0 / used, sequences)).astype(np.int64)
-                uses += np.bincount(own[chosen], minlength=sequences)
-                reuse[chosen] = np.maximum(used, 1)
-            h[chosen] = h[chosen] * powers[n[chosen + 1]] + h[chosen + 1]
-            n[chosen] += n[chosen + 1]
+                if not by_count:
+                    break
+                by_count = False
+                covered = np.bincount(own, np.where(n >= 2, n, 0), sequences).astype(np.int64)
+                marked = np.bincount(own, np.where((n >= 2) & holds, n, 0), sequences).astype(np.int64)
+                if not finish:
+                    break
+                continue
+            k = np.searchsorted(at, chosen)
+            ids = total + np.arange(len(chosen))
+            total += len(chosen)
+            size = n[chosen] + n[chosen + 1]
+            made.append((own[chosen], value[k], size, count[k]))
+            for child in (use[chosen], use[chosen + 1]):
+                links.append((child[child >= 0], ids[child >= 0]))
+            h[chosen], n[chosen], use[chosen] = whole[k], size, ids
+            holds[chosen] |= holds[chosen + 1]
             stay = np.ones(m, bool)
             stay[chosen + 1] = False
-            h, n, own, reuse = h[stay], n[stay], own[stay], reuse[stay]
+            h, n, own, use, holds = h[stay], n[stay], own[stay], use[stay], holds[stay]
+    above = np.full(total, -1, np.int64)
+    for child, parent in links:
+        above[child] = parent
     empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return Grammars(tokens, left, rules, uses, covered, own, scrambled(h), n, *(np.concatenate(c) for c in zip(empty, *found)))
+    of, hash_, size, uses = (np.concatenate(c) for c in zip(empty, *made))
+    return Grammars(tokens, covered, marked, of, hash_, size, uses, above)
