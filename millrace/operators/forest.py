@@ -1,12 +1,13 @@
 """Parent-child links to full hierarchies.
 
-Links are resolved by weighted disjoint-set forests. Each input partition first builds its own forest: every node gets
-the top of its local tree, the number of links up to it (its offset) and the names passed on the way. Only tops that
-another partition knows the parent of must be looked at again; these boundary nodes are merged level by level. Up to
-``MERGE_ROWS`` of them are merged in one task (a bound, not a sample); while there are more, each level merges boundary
-trees by a join on the top, which at least doubles the length covered. In the end every node's offset is added to that
-of its top, and paths are the concatenation of the stored segments. Nodes whose chain never ends run into a cycle; the
-nodes on the cycle itself are those that stay in the image of the repeated parent function.
+Links are resolved by weighted disjoint-set forests. Each input partition first builds its own forests: every node gets
+the top of its local tree and its weight, the number of links up to it. Only tops that another partition knows the
+parent of must be looked at again. These boundary trees are merged level by level: while there are more than
+``MERGE_ROWS``, a level takes out a random quarter of them, trees whose own top stays, and hangs what was below them
+straight under that top, the weights added up; so each level is a join of three quarters as many rows, no chain and no
+cycle makes a row longer, and trees that have run into themselves are taken out as loops. The rest is one task's forest.
+Then the levels are gone back: what a level took out looks up the root of its top. Paths are made last, and only for
+nodes with a root: each open path looks up its top's path in the index of boundary nodes, which at least doubles it.
 """
 
 from __future__ import annotations
@@ -19,81 +20,106 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Boundary links that one task may merge; each is two names and its segment, so about 100 MB at most.
+#: Boundary links that one task may merge; each is two names and a number, so about 100 MB at most.
 MERGE_ROWS = 200_000
+#: Links of one local forest at most; a partition with more builds several.
+LOCAL_LINKS = 500_000
 
-_FOREST = "node string, top string, off bigint, seg array<string>, looped boolean"
+_TREE = "node string, top string, off bigint, looped boolean"
 
 
-def local_forest(nodes: list[str], tops: list[str], offs: list[int], segs: list[list[str]]) -> list[tuple]:
-    """Compress one batch of weighted links: (node, top, offset, names passed, runs into a cycle)."""
-    link = {n: (t, o, s) for n, t, o, s in zip(nodes, tops, offs, segs)}
-    done: dict[str, tuple] = {}
+def local_forest(nodes: list[str], tops: list[str], offs: list[int]) -> list[tuple[str, str, int, bool]]:
+    """One forest of weighted links: (node, top, offset, runs into a cycle)."""
+    link = {n: (t, o) for n, t, o in zip(nodes, tops, offs)}
+    done: dict[str, tuple[str, int, bool]] = {}
     for start in nodes:
         trail, seen, at = [], set(), start
         while at in link and at not in done and at not in seen:
             seen.add(at)
             trail.append(at)
             at = link[at][0]
-        if at in done:
-            top, off, seg, looped = done[at]
-        else:
-            top, off, seg, looped = at, 0, [], at in seen
+        top, off, looped = done[at] if at in done else (at, 0, at in seen)
         for node in reversed(trail):
-            _, weight, own = link[node]
-            off, seg = off + weight, ([] if looped else list(own) + seg)
-            done[node] = (top, off, seg, looped)
+            off += link[node][1]
+            done[node] = (top, off, looped)
     return [(n, *done[n]) for n in nodes]
 
 
-def _compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One forest for all rows of the partition."""
-    parts = [b for b in batches if len(b)]
-    if parts:
-        rows = pd.concat(parts, ignore_index=True)
-        out = local_forest(rows["node"].tolist(), rows["top"].tolist(), rows["off"].tolist(), [list(s) for s in rows["seg"]])
-        yield pd.DataFrame(out, columns=["node", "top", "off", "seg", "looped"])
-
-
-def _boundary(trees: DataFrame) -> DataFrame:
-    """The trees that another tree hangs on: their node is the top of some other tree."""
-    tops = trees.where(~F.col("looped")).select(F.col("top").alias("node")).distinct()
-    return trees.join(tops, "node", "left_semi")
+def _segments(nodes: list[str], tops: list[str], forest: list[tuple]) -> list[list[str]]:
+    """The names from each node of a local forest up to below its top; none for loops."""
+    parent = dict(zip(nodes, tops))
+    out = []
+    for node, top, off, looped in forest:
+        seg = []
+        while not looped and node != top:
+            seg.append(node)
+            node = parent[node]
+        out.append(seg)
+    return out
+
+
+def _forests(paths: bool) -> object:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def flush(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts, ignore_index=True)
+            nodes, tops = rows["node"].tolist(), rows["top"].tolist()
+            forest = local_forest(nodes, tops, rows["off"].tolist())
+            out = pd.DataFrame(forest, columns=["node", "top", "off", "looped"])
+            if paths:
+                out["seg"] = _segments(nodes, tops, forest)
+            return out
+
+        parts: list[pd.DataFrame] = []
+        for b in batches:
+            parts += [b] if len(b) else []
+            if sum(map(len, parts)) >= LOCAL_LINKS:
+                yield flush(parts)
+                parts = []
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _below(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``rows`` with the top, weight and loops of what they hang on, where that is known."""
+    known = resolved.select(F.col("node").alias("top"), F.col("top").alias("t2"), F.col("off").alias("o2"), F.col("looped").alias("l2"))
+    return rows.join(known, "top", "left").select(
+        "node", F.coalesce("t2", "top").alias("top"), (F.col("off") + F.coalesce("o2", F.lit(0))).alias("off"), (F.col("looped") | F.coalesce("l2", F.lit(False))).alias("looped")
+    )
 
 
 def _merge(edge: DataFrame, merge_rows: int) -> DataFrame:
-    """Boundary trees with their final top; loops flagged."""
-    spark = edge.sparkSession
+    """Boundary trees with their final top; those that run into a cycle flagged."""
+    levels: list[DataFrame] = []
+    loops = cut(edge.where("looped"))
+    edge = cut(edge.where("not looped"))
     rows = edge.count()
-    rounds = 0
-    while rows > merge_rows and 2**rounds <= rows:
-        up = edge.select(F.col("node").alias("top"), F.col("top").alias("t2"), F.col("off").alias("o2"), F.col("seg").alias("s2"), F.col("looped").alias("l2"))
-        joined = edge.where(~F.col("looped")).join(up, "top", "left")
-        edge = cut(
-            joined.select(
-                "node",
-                F.coalesce("t2", "top").alias("top"),
-                (F.col("off") + F.coalesce("o2", F.lit(0))).alias("off"),
-                F.concat("seg", F.coalesce("s2", F.array().cast("array<string>"))).alias("seg"),
-                (F.coalesce("l2", F.lit(False)) | (F.coalesce("t2", "top") == F.col("node"))).alias("looped"),
-            ).unionByName(edge.where("looped"))
-        )
-        rounds += 1
-        if not edge.join(edge.select(F.col("node").alias("top")), "top", "left_semi").where(~F.col("looped")).limit(1).count():
-            return edge
-    if rows > merge_rows:  # 2 ** rounds exceeds the number of links: what is still open runs in circles
-        open_ = edge.join(edge.select(F.col("node").alias("top")).distinct(), "top", "left_semi")
-        return edge.join(open_.select("node").withColumn("still", F.lit(True)), "node", "left").select(
-            "node", "top", "off", "seg", (F.col("looped") | F.coalesce("still", F.lit(False))).alias("looped")
-        )
-    if not rows:
-        return spark.createDataFrame([], _FOREST)
-    # a loop that is known already becomes a link to itself, so that what hangs on it is found to loop as well
-    return edge.withColumn("top", F.when(F.col("looped"), F.col("node")).otherwise(F.col("top"))).repartition(1).mapInPandas(_compress, _FOREST)
+    while rows > merge_rows:
+        coin = lambda c: F.xxhash64(c, F.lit(len(levels))).bitwiseAND(F.lit(1))
+        out = (coin("node") == 1) & (coin("top") == 0)
+        gone = cut(edge.where(out))
+        rest = _below(edge.where(~out), gone)
+        rest = cut(rest.withColumn("looped", F.col("top") == F.col("node")))
+        levels.append(gone)
+        edge, found = rest.where("not looped"), rest.where("looped")
+        loops = loops.unionByName(found)
+        rows = edge.count()
+    last = edge.repartition(1).mapInPandas(_forests(False), _TREE)
+    loops = cut(loops)
+    resolved = _below(last, loops).unionByName(loops)
+    for gone in reversed(levels):
+        resolved = cut(resolved)
+        resolved = resolved.unionByName(_below(gone, resolved))
+    return cut(resolved)
 
 
 def _cycle_nodes(links: DataFrame, merge_rows: int) -> DataFrame:
-    """Nodes on cycles, of links all of which run into one: the image of the parent function applied 2^k >= n times."""
+    """(node, cycle_id, cycle_size) of the nodes on cycles, of links all of which run into one.
+
+    Few links are walked in one task; of many, the nodes on cycles are the image of the parent function applied 2^k >= n
+    times, by k joins.
+    """
     rows = links.count()
     if rows <= merge_rows:
 
@@ -101,23 +127,21 @@ def _cycle_nodes(links: DataFrame, merge_rows: int) -> DataFrame:
             parent: dict[str, str] = {}
             for b in batches:
                 parent.update(zip(b["node"], b["top"]))
-            colour: dict[str, int] = {}
-            found: list[str] = []
-            ids: list[str] = []
-            for k, start in enumerate(sorted(parent)):
+            walk: dict[str, str] = {}
+            found: list[tuple[str, str, int]] = []
+            for start in parent:
                 at = start
-                while at in parent and at not in colour:
-                    colour[at] = k
+                while at not in walk:
+                    walk[at] = start
                     at = parent[at]
-                if colour.get(at) == k:
+                if walk[at] == start:  # a ring no walk before has met
                     ring, x = [at], parent[at]
                     while x != at:
                         ring.append(x)
                         x = parent[x]
-                    if ring[0] not in found:
-                        found += ring
-                        ids += [min(ring)] * len(ring)
-            yield pd.DataFrame({"node": pd.Series(found, dtype=object), "cycle_id": pd.Series(ids, dtype=object), "cycle_size": pd.Series(ids, dtype=object).map(pd.Series(ids, dtype=object).value_counts()).astype("int64")})
+                    least = min(ring)
+                    found += [(n, least, len(ring)) for n in ring]
+            yield pd.DataFrame(found, columns=["node", "cycle_id", "cycle_size"])
 
         return links.select("node", "top").repartition(1).mapInPandas(on_cycle, "node string, cycle_id string, cycle_size bigint")
     walk = cut(links.select("node", "top", F.least("node", "top").alias("low")))
@@ -130,34 +154,45 @@ def _cycle_nodes(links: DataFrame, merge_rows: int) -> DataFrame:
     return ring.join(ring.groupBy("cycle_id").agg(F.count("*").alias("cycle_size")), "cycle_id").select("node", "cycle_id", "cycle_size")
 
 
-def hierarchy(links: DataFrame, child: str, parent: str, merge_rows: int = MERGE_ROWS) -> DataFrame:
+def _paths(trees: DataFrame, tops: DataFrame, looped: DataFrame) -> DataFrame:
+    """(node, up): the names from each node that has a root up to below that root."""
+    solid = trees.where("not looped").join(looped, "node", "left_anti").select("node", "top", "seg")
+    index = solid.join(tops, "node", "left_semi")
+    inner = index.select(F.col("node").alias("top"), F.lit(True).alias("open"))
+    index = cut(index.join(inner, "top", "left").select("node", "top", "seg", F.coalesce("open", F.lit(False)).alias("open")))
+    known = lambda: index.select(F.col("node").alias("top"), F.col("top").alias("t2"), F.col("seg").alias("s2"), F.col("open").alias("more"))
+    longer = F.concat("seg", F.coalesce("s2", F.array().cast("array<string>")))
+    while index.where("open").limit(1).count():
+        index = cut(index.where("not open").unionByName(index.where("open").join(known(), "top").select("node", F.col("t2").alias("top"), longer.alias("seg"), F.col("more").alias("open"))))
+    return solid.join(known(), "top", "left").select("node", longer.alias("up"))
+
+
+def hierarchy(links: DataFrame, child: str, parent: str, merge_rows: int = MERGE_ROWS, paths: bool = True) -> DataFrame:
     """The whole forest of ``links``: (node, parent, root, depth, path, on_cycle, leads_to_cycle, cycle_id, cycle_size).
 
     ``links`` needs the two named columns; others are ignored. One row comes out per distinct name among children and
-    parents. ``path`` runs from the root to the node; depth is its number of links, 0 for a root. A child with several
-    different parents keeps the greatest in string order, repeated links count once; rows with a null child or a null
-    parent make no link (a null parent still makes its child a node). A node on a cycle, or below one, has null root,
-    depth and path; ``cycle_id`` is the least name of the cycle the node is on. An empty input gives no rows.
+    parents. ``path`` runs from the root to the node (null for all without ``paths``); depth is its number of links, 0 for
+    a root. A child with several different parents keeps the greatest in string order, repeated links count once; rows
+    with a null child or a null parent make no link (a null parent still makes its child a node). A node on a cycle, or
+    below one, has null root, depth and path; ``cycle_id`` is the least name of the cycle the node is on. An empty input
+    gives no rows.
     """
     pairs = links.select(F.col(child).alias("node"), F.col(parent).alias("top")).where(F.col("node").isNotNull())
     flat = cut(pairs.groupBy("node").agg(F.max("top").alias("top")))
     up = flat.where(F.col("top").isNotNull())
-    seeds = up.select("node", "top", F.lit(1).cast("long").alias("off"), F.array("node").alias("seg"))
-    trees = cut(seeds.mapInPandas(_compress, _FOREST))
-    merged = _merge(_boundary(trees), merge_rows)
-    merged = cut(merged)
-    tops = merged.select(F.col("node").alias("top"), F.col("top").alias("t2"), F.col("off").alias("o2"), F.col("seg").alias("s2"), F.col("looped").alias("l2"))
-    whole = trees.join(tops, "top", "left").select(
-        "node",
-        F.coalesce("t2", "top").alias("root"),
-        (F.col("off") + F.coalesce("o2", F.lit(0))).alias("depth"),
-        F.concat("seg", F.coalesce("s2", F.array().cast("array<string>"))).alias("up"),
-        (F.col("looped") | F.coalesce("l2", F.lit(False))).alias("looped"),
-    )
-    whole = cut(whole)
-    rings = _cycle_nodes(up.join(whole.where("looped").select("node"), "node", "left_semi"), merge_rows)
+    trees = cut(up.select("node", "top", F.lit(1).cast("long").alias("off")).mapInPandas(_forests(paths), _TREE + (", seg array<string>" if paths else "")))
+    tops = trees.where("not looped").select(F.col("top").alias("node")).distinct()
+    merged = _merge(trees.select("node", "top", "off", "looped").join(tops, "node", "left_semi"), merge_rows)
+    whole = cut(_below(trees.select("node", "top", "off", "looped"), merged)).select("node", F.col("top").alias("root"), F.col("off").alias("depth"), "looped")
+    looped = whole.where("looped").select("node")
+    rings = _cycle_nodes(up.join(looped, "node", "left_semi"), merge_rows)
+    if paths:
+        whole = whole.join(_paths(trees, tops, looped), "node", "left")
+    else:
+        whole = whole.withColumn("up", F.lit(None).cast("array<string>"))
     names = flat.select("node").unionByName(up.select(F.col("top").alias("node"))).distinct()
     ok = ~F.coalesce("looped", F.lit(False))
+    path = F.reverse(F.concat(F.coalesce("up", F.array().cast("array<string>")), F.array(F.coalesce("root", "node")))) if paths else F.col("up")
     return (
         names.join(up.withColumnRenamed("top", "parent"), "node", "left")
         .join(whole, "node", "left")
@@ -167,7 +202,7 @@ def hierarchy(links: DataFrame, child: str, parent: str, merge_rows: int = MERGE
             "parent",
             F.when(ok, F.coalesce("root", "node")).alias("root"),
             F.when(ok, F.coalesce("depth", F.lit(0))).alias("depth"),
-            F.when(ok, F.reverse(F.concat(F.coalesce("up", F.array().cast("array<string>")), F.array(F.coalesce("root", "node"))))).alias("path"),
+            F.when(ok, path).alias("path"),
             F.col("cycle_id").isNotNull().alias("on_cycle"),
             (~ok).alias("leads_to_cycle"),
             "cycle_id",

@@ -9,12 +9,12 @@ from ..operators import forest, heavykeys, orphans, snapshots
 from ..sources.tables import table
 
 
-def _forest(spark: SparkSession, d: str) -> DataFrame:
-    return forest.hierarchy(forest.current_bases(table(spark, d, "classes")), "name", "base")
+def _forest(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return forest.hierarchy(forest.current_bases(table(spark, d, "classes")), "name", "base", paths=paths)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _forest(spark, d).where("on_cycle").select(F.col("node").alias("name"))
+    return _forest(spark, d, paths=False).where("on_cycle").select(F.col("node").alias("name"))
 
 
 def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:

@@ -44,6 +44,31 @@ def test_random_forests_with_cycles(spark, merge_rows):
     check(spark, links, merge_rows=merge_rows)
 
 
+def test_many_links_over_cycles_and_tails(spark):
+    """Levels of merging on rings of 3 and 5 with long tails, and a deep tree: nothing grows, all comes out."""
+    links = {}
+    for i in range(1000):
+        k = 3 if i % 2 else 5
+        links |= {f"r{i}_{j}": f"r{i}_{(j + 1) % k}" for j in range(k)} | {f"r{i}_t{j}": f"r{i}_t{j + 1}" if j < 5 else f"r{i}_0" for j in range(6)}
+    links |= {f"c{j}": f"c{j + 1}" for j in range(300)} | {f"w{j}": f"c{j % 300}" for j in range(3000)}
+    check(spark, links, merge_rows=500)
+    flat = hierarchy(spark.createDataFrame(list(links.items()), "c string, p string"), "c", "p", merge_rows=500, paths=False)
+    assert flat.where("path is not null").count() == 0 and flat.where("on_cycle").count() == 4000
+
+
+def test_levels_use_no_growing_rows(spark):
+    rows = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 2033}") for i in range(2033)], "c string, p string").repartition(8)
+    got = hierarchy(rows, "c", "p", merge_rows=200)
+    assert got.where("on_cycle and cycle_size = 2033 and cycle_id = 'n0' and path is null").count() == 2033
+
+
+def test_local_forests_are_bounded(spark, monkeypatch):
+    from millrace.operators import forest
+
+    monkeypatch.setattr(forest, "LOCAL_LINKS", 7)
+    check(spark, {f"n{i}": f"n{i + 1}" for i in range(60)} | {"x": "y", "y": "x"}, merge_rows=5)
+
+
 def test_empty_null_and_repeated_links(spark, rows):
     empty = spark.createDataFrame([], "c string, p string")
     assert hierarchy(empty, "c", "p").count() == 0
@@ -72,9 +97,9 @@ def test_current_bases(spark, rows):
 @given(st.dictionaries(st.integers(0, 12).map(str), st.integers(0, 12).map(str), min_size=1))
 def test_local_forest_against_walking(links):
     nodes = list(links)
-    out = local_forest(nodes, [links[n] for n in nodes], [1] * len(nodes), [[n] for n in nodes])
+    out = local_forest(nodes, [links[n] for n in nodes], [1] * len(nodes))
     _, trees, _ = brute(links)
-    for node, top, off, seg, looped in out:
+    for node, top, off, looped in out:
         assert looped == (node not in trees)
         if not looped:
-            assert (top, off, [*seg, top][::-1]) == trees[node]
+            assert (top, off) == trees[node][:2]
