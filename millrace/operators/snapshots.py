@@ -17,16 +17,24 @@ def delivery_sets(rows: DataFrame, delivery: str, key: str, members: str) -> Dat
     """(delivery, key, n, h1, h2): the set of members over all rows of a key in a delivery, as count and two combined hashes.
 
     Members and keys count without blanks; null and empty members are none, so a null list is an empty set. Rows
-    without a delivery or without a key are left out. Triples are made distinct by hash before they are summed, so
-    a key with very many rows is combined before the shuffle and then spread by member.
+    without a delivery or without a key are left out. Each row's list becomes its sorted hashes before anything is
+    shuffled, and rows of equal lists are combined at once. Most keys then have a single list; only the lists of keys
+    with several different ones are taken apart, member by member, so that a key with very many rows is spread.
     """
-    flat = rows.select(F.col(delivery).alias("delivery"), F.nullif(blank_free(F.col(key)), F.lit("")).alias("key"), F.explode_outer(members).alias("member"))
+    names = F.array_distinct(F.filter(F.transform(F.coalesce(members, F.array().cast("array<string>")), lambda x: F.nullif(blank_free(x), F.lit(""))), lambda x: x.isNotNull()))
+    hashes = F.array_sort(F.transform(names, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"))))
+    flat = rows.select(F.col(delivery).alias("delivery"), F.nullif(blank_free(F.col(key)), F.lit("")).alias("key"), hashes.alias("m"))
     flat = flat.where(F.col("delivery").isNotNull() & F.col("key").isNotNull())
-    name = F.nullif(blank_free(F.col("member")), F.lit(""))
-    hashed = flat.select("delivery", "key", F.when(name.isNotNull(), F.xxhash64(name)).alias("a"), F.when(name.isNotNull(), F.xxhash64(F.lit("second"), name)).alias("b")).distinct()
-    return hashed.groupBy("delivery", "key").agg(
-        F.count("a").alias("n"), F.coalesce(F.bit_xor("a"), F.lit(0).cast("long")).alias("h1"), F.coalesce(F.bit_xor("b"), F.lit(0).cast("long")).alias("h2")
-    )
+    mix = lambda c: F.aggregate(F.transform("m", lambda x: x[c]), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    lists = flat.select("delivery", "key", F.size("m").cast("long").alias("n"), mix("a").alias("h1"), mix("b").alias("h2"), "m")
+    # the first and last list, by fingerprint, of each key: equal where there is one
+    mark = F.struct("n", "h1", "h2")
+    ends = lists.groupBy("delivery", "key").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
+    single = ends.where(F.col("low") == F.col("high")).select("delivery", "key", "low.*")
+    several = lists.join(ends.where(F.col("low") != F.col("high")).select("delivery", "key"), ["delivery", "key"], "left_semi")
+    parts = several.select("delivery", "key", F.explode("m").alias("x")).select("delivery", "key", "x.a", "x.b").distinct()
+    whole = parts.groupBy("delivery", "key").agg(F.count("*").alias("n"), F.bit_xor("a").alias("h1"), F.bit_xor("b").alias("h2"))
+    return single.unionByName(whole)
 
 
 def snapshot_changes(rows: DataFrame, delivery: str, key: str, members: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import pytest
+
+from millrace.operators import orphans
 from millrace.operators.orphans import lifetimes, orphan_references, orphan_report
 
 
@@ -12,7 +15,9 @@ def tables(spark, calls=(), classes=(), links=(), interfaces=(), external=()):
     )
 
 
-def test_reasons_and_cascade(spark, rows):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_reasons_and_cascade(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(orphans, "BROADCAST_NAMES", broadcast)
     found = orphan_references(
         *tables(
             spark,
