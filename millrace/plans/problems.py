@@ -145,7 +145,8 @@ ORACLES = {
     SELECT ref_table, strftime(t, '%Y-%m') AS ref_month, kind, reason, count(*) AS refs, count(DISTINCT n) AS types FROM cases GROUP BY ALL""",
     "p4_found": f"""WITH s AS (SELECT DISTINCT site_id, {_simple('caller_class')} AS caller_class FROM calls WHERE site_id IS NOT NULL)
     SELECT caller_class FROM s WHERE caller_class IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.01 * (SELECT count(*) FROM s)""",
-    "p4_class_callees": f"SELECT caller_class, callee, count(*) AS n_sites, min(site_id) AS first_site FROM ({_SITES}) WHERE caller_class IS NOT NULL AND callee IS NOT NULL GROUP BY ALL",
+    "p4_class_callees": f"""SELECT caller_class, callee, count(*) AS n_sites, min(site_id) AS first_site, max(site_id) AS last_site, max(gap) AS longest_gap
+    FROM (SELECT *, site_id - lag(site_id) OVER (PARTITION BY caller_class, callee ORDER BY site_id) AS gap FROM ({_SITES}) WHERE caller_class IS NOT NULL AND callee IS NOT NULL) GROUP BY ALL""",
     "p5_found": f"WITH {_SETS} SELECT DISTINCT snapshot_no, method_key, change_kind FROM changes",
     "p5_report": f"WITH {_SETS} SELECT snapshot_no, change_kind, count(*) AS keys FROM (SELECT DISTINCT * FROM changes) GROUP BY ALL",
 }
