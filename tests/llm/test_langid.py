@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,41 @@ def test_labels(spark):
 
 def test_every_name_is_one_word():
     assert all(re.fullmatch(r"[^\W\d_]+", w) for names in langid.NAMES.values() for w in names.split())
+
+
+def test_confidence_is_calibrated():
+    """Held-out pieces of the clean samples: stated confidence and share of right answers agree."""
+    samples = pq.read_table("/root/testdata/sf0.001/lang_samples.parquet").to_pandas().sort_values("sample_id").reset_index(drop=True)
+    rng, sure, right = random.Random(1), [], []
+    for fold in range(4):
+        train, held = samples[samples.index % 4 != fold], samples[samples.index % 4 == fold]
+        words = {}
+        for lang, text in zip(train.lang, train.text):
+            for spelling in langid.spellings(text):
+                words.setdefault(lang, []).extend(w.encode("utf-8", "replace") for w in re.findall(r"\w+", spelling))
+        model = langid.Model(sorted(words), words)
+        for lang, text in zip(held.lang, held.text):
+            parts = re.findall(r"\w+", langid.fold(text))
+            n = rng.choice([1, 2, 3, 5])
+            at = rng.randrange(max(1, len(parts) - n + 1))
+            bits = model.code_lengths([w.encode() for w in parts[at : at + n]]).sum(axis=0)
+            weight = np.exp(-(bits - bits.min()) / langid.SOFTNESS)
+            sure.append(weight.max() / weight.sum())
+            right.append(model.classes[bits.argmin()] == lang)
+    sure, right = np.array(sure), np.array(right)
+    assert right.mean() > 0.93 and abs(sure.mean() - right.mean()) < 0.03
+    assert right[sure >= 0.99].mean() > 0.99 and right[sure < 0.7].mean() < 0.75
+
+
+def test_models_are_told_apart_by_content(spark):
+    a, b = langid.Model(["x", "y"], {"x": [b"aba"], "y": [b"cdc"]}), langid.Model(["x", "y"], {"x": [b"cdc"], "y": [b"aba"]})
+    assert a.mark() != b.mark() and a.mark() == langid.Model(["x", "y"], {"x": [b"aba"], "y": [b"cdc"]}).mark()
+    docs = spark.createDataFrame([(1, "1\n00:00:01,000 --> 00:00:02,000\naba aba aba\n")], "id long, t string")
+    assert [langid.stretches(docs, "id", "t", m).first().lang for m in (a, b, a)] == ["x", "y", "x"]
+
+
+def test_labels_of_other_languages(spark):
+    docs = spark.createDataFrame([(1, "fi-FI"), (2, "Finnish"), (3, "fi"), (4, "sv")], "id long, label string")
+    runs = spark.createDataFrame([(i, "fi", 9) for i in range(1, 5)], "id long, lang string, cues int")
+    assert sorted(r.id for r in langid.mislabelled(docs, runs, "id", "label").collect()) == [2, 4]
+    assert sorted(r.id for r in langid.mislabelled(docs, runs, "id", "label", names={"fi": "fi fin finnish", "sv": "sv"}).collect()) == [4]

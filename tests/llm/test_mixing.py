@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,21 +41,40 @@ def test_shares_and_repeats(spark, monkeypatch, bucket_rows):
     assert all(0 <= r.position <= 1 for r in rows)
 
 
-def test_positions_follow_the_schedule(spark):
-    tilts = {"big": -0.4, "mid": 0.5, "small": 0.2}
-    copies, _ = mixed(spark, DOCS, TARGETS, tilts=tilts)
+@pytest.mark.parametrize("schedules", [{"Big": [1.4, 0.6], "mid": [0.5, 1.5]}, {"big": [2, 1, 0.5, 1], "mid": [0, 1, 0, 3], "small": [1, 1, 5, 0.2]}])
+def test_positions_follow_the_schedule(spark, schedules):
+    copies, _ = mixed(spark, DOCS, TARGETS, schedules=schedules)
+    low = {k.lower(): v for k, v in schedules.items()}
+    names, shares = ["big", "mid", "small"], np.array([0.5, 0.3, 0.2])
+    even = [1.0] * len(next(iter(low.values())))
+    weights = mixing.fitted(np.array([low.get(s, even) for s in names], float), shares)
+    grid, knots = np.linspace(0, 1, 4001), np.linspace(0, 1, weights.shape[1])
+    dense = np.array([np.interp(grid, knots, w) for w in weights])
+    assert dense.sum(axis=0) == pytest.approx(1, abs=1e-6) and np.trapezoid(dense, grid, axis=1) == pytest.approx(shares, abs=1e-4)
     by = defaultdict(list)
     for r in copies.collect():
         by[r.source].append(r)
-    mean = 0.5 * -0.4 + 0.3 * 0.5 + 0.2 * 0.2
-    for source, rows in by.items():
-        a, done, want = tilts[source] - mean, 0, sum(r.tokens for r in rows)
-        for r in rows:  # in order of position the source's demand at each position is what came before
-            middle = done + r.tokens / 2
-            assert want * (r.position + a * (r.position**2 - r.position)) == pytest.approx(middle, abs=25)
+    for k, source in enumerate(names):
+        demand = np.concatenate([[0], np.cumsum((dense[k, 1:] + dense[k, :-1]) / 2 / 4000)]) / shares[k]
+        done, want = 0, sum(r.tokens for r in by[source])
+        for r in by[source]:  # in order of position the source's demand at each position is what came before
+            assert want * np.interp(r.position, grid, demand) == pytest.approx(done + r.tokens / 2, abs=25)
             done += r.tokens
 
 
+def test_schedules_that_cannot_be(spark):
+    with pytest.raises(ValueError):
+        mixing.plan({"a": (10, 1), "b": (10, 1)}, [("a", 0.5, 1), ("b", 0.5, 1)], schedules={"a": [1, 0], "b": [1, 0]})
+    with pytest.raises(ValueError):
+        mixing.plan({"a": (10, 1)}, [("a", 0.5, 1)], schedules={"a": [1, -1]})
+
+
+def test_binding_source(spark):
+    _, shares = mixed(spark, DOCS, TARGETS)
+    assert [r.source for r in shares.collect() if r.binding] == ["big"]
+    assert mixing.plan({}, [("a", 0.5, 1)])[0]["binding"] is False
+
+
 def test_scarce_sources_fall_short(spark):
     copies, shares = mixed(spark, DOCS, TARGETS, total=40_000)
     report = {r.source: r for r in shares.collect()}
@@ -70,7 +90,7 @@ def test_edges(spark):
     copies, _ = mixed(spark, [(1, "a", 5), (1, "a", 5)], [("a", 1.0, 2)])
     assert copies.count() == 4  # repeated rows are documents of their own
     with pytest.raises(ValueError):
-        mixing.plan({"a": (10, 1), "b": (10, 1)}, [("a", 0.5, 1), ("b", 0.5, 1)], tilts={"a": 3.0, "b": -3.0})
+        mixing.plan({"a": (10, 1), "b": (10, 1)}, [("a", 0.5, 1), ("b", 0.5, 1)], schedules={"a": [1, 2], "b": [1, 2, 3]})
 
 
 def test_source_names(spark):
