@@ -74,23 +74,24 @@ def _wordlike(token: str) -> bool:
     return 3 <= len(stem) <= 24 and stem.isalpha()
 
 
+class _Hashes(dict):
+    """Words and their stable hashes."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class _Reader:
     """Tokens of one file, as stable hashes."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
     def hashes(self, words: list[str]) -> list[int]:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        return out
+        if len(self.known) > 500_000:
+            self.known.clear()
+        return list(map(self.known.__getitem__, words))
 
     def read(self, key: int, file: str | None, text: str) -> tuple[list[int], list[int], list[int], float, bool]:
         """(hashes of the code's tokens, of its literals, of the whole text's tokens; share of data; whether the file declares a tool)."""
@@ -106,19 +107,17 @@ class _Reader:
         parts = _PARTS.split(text)
         for k, part in enumerate(parts):
             if k % 2 == 0:
-                words = _LINES.findall(part)
-                for w in words:
-                    if w[0] == "\n":
-                        whole.append("\n")
-                        continue
-                    last_code = k
-                    code.append(w)
-                    if w[0].isdigit():
-                        literals.append(w)
-                        literal_chars += len(w)
-                        whole.append("0")
-                    else:
-                        whole.append(w)
+                lines = ["\n" if w[0] == "\n" else w for w in _LINES.findall(part)]
+                words = [w for w in lines if w != "\n"]
+                if not words:
+                    whole += lines
+                    continue
+                last_code = k
+                code += words
+                numbers = [w for w in words if "0" <= w[0] <= "9"]
+                literals += numbers
+                literal_chars += sum(map(len, numbers))
+                whole += ["0" if "0" <= w[0] <= "9" else w for w in lines] if numbers else lines
             elif part.startswith(("//", "/*")):
                 notes.append((k, part))
                 whole += ["c0" if w[0].isdigit() else "c" + w for w in _TOKEN.findall(part)]

@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
-_WORD = (1 << 64) - 1
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:
@@ -46,7 +45,7 @@ class Grammars:
 
 def _counts(key: np.ndarray) -> np.ndarray:
     """How often each key occurs, at each of its places."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     group = np.cumsum(new) - 1
     out = np.empty(len(key), np.int64)
@@ -79,8 +78,7 @@ def _chosen(at: np.ndarray, count: np.ndarray, value: np.ndarray, m: int) -> np.
 
 def _powers(sizes: np.ndarray) -> np.ndarray:
     """The base to the power of each size, modulo 2^64."""
-    distinct, place = np.unique(sizes, return_inverse=True)
-    return np.array([pow(_BASE, int(k), _WORD + 1) for k in distinct], np.uint64)[place]
+    return np.cumprod(np.full(sizes.max(initial=1), _BASE, np.uint64))[sizes - 1]
 
 
 def infer(hashes: np.ndarray, owner: np.ndarray, sequences: int, together: bool = False, finish: bool = False, mark: int | None = None) -> Grammars:
