@@ -9,6 +9,10 @@ broadcast while it is small enough.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from ..session import stored
 _NEVER = "9999-12-31"
 #: Rows of a table of names that is broadcast, and spans in it, at most; beyond, it is joined by shuffle.
 BROADCAST_NAMES, BROADCAST_SPANS = 100_000, 200_000
+#: Edges that one task may go down at once, each two names, so about 100 MB at most; beyond, every round is a join.
+LOCAL_EDGES = 300_000
 
 
 def lifetimes(declarations: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -66,13 +72,35 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_NAMES and (size or 0) <= BROADCAST_SPANS else table
 
 
+def _cascade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rounds over the edges of one task; rows without a type are seeds."""
+    below: dict[str, list[str]] = defaultdict(list)
+    level: dict[str, int] = {}
+    for b in batches:
+        for owner, name in zip(b["owner"], b["type_name"]):
+            if name is None:
+                level[owner] = 1
+            else:
+                below[name].append(owner)
+    frontier, k = list(level), 1
+    while frontier:
+        k += 1
+        frontier = [o for o in dict.fromkeys(o for name in frontier for o in below.get(name, ())) if o not in level]
+        level.update(dict.fromkeys(frontier, k))
+    yield pd.DataFrame({"name": pd.Series(list(level), dtype=object), "level": pd.Series(list(level.values()), dtype="int32")})
+
+
 def orphaned_classes(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(name, level): the ``seeds`` (name) at level 1 and what hangs below them along ``edges`` (owner, type_name).
 
     Each round semi-joins the stored edges with the last round's names; names found before are dropped, so cycles end.
+    Few edges go through all rounds in one task.
     """
     few = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_NAMES else df
     edges = stored(edges.distinct(), "edges")
+    if edges.count() <= LOCAL_EDGES:
+        rows = edges.unionByName(seeds.select(F.col("name").alias("owner"), F.lit(None).cast("string").alias("type_name")).distinct())
+        return rows.repartition(1).mapInPandas(_cascade, "name string, level int")
     found = frontier = stored(seeds.select("name", F.lit(1).alias("level")).distinct(), "orphaned")
     level, total = 1, 0
     while fresh := frontier.count():

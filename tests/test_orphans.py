@@ -18,6 +18,7 @@ def tables(spark, calls=(), classes=(), links=(), interfaces=(), external=()):
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_reasons_and_cascade(spark, rows, monkeypatch, broadcast):
     monkeypatch.setattr(orphans, "BROADCAST_NAMES", broadcast)
+    monkeypatch.setattr(orphans, "LOCAL_EDGES", broadcast)
     found = orphan_references(
         *tables(
             spark,
@@ -43,6 +44,15 @@ def test_reasons_and_cascade(spark, rows, monkeypatch, broadcast):
     assert orphan_report(found).where("kind = 'direct'").selectExpr("sum(refs)").first()[0] == 8
 
 
+@pytest.mark.parametrize("local", [300_000, 0])
+def test_levels(spark, rows, monkeypatch, local):
+    monkeypatch.setattr(orphans, "LOCAL_EDGES", local)
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), ("a", "d"), ("e", "x"), ("b", "a")], "owner string, type_name string")
+    seeds = spark.createDataFrame([("a",), ("a",)], "name string")
+    assert rows(orphans.orphaned_classes(edges, seeds)) == [("a", 1), ("b", 2), ("c", 2), ("d", 3)]
+    assert orphans.orphaned_classes(edges, seeds.limit(0)).count() == 0
+
+
 def test_cyclic_bases_end(spark):
     found = orphan_references(*tables(spark, classes=[(1, "A", "B", "2024-01-01", None), (2, "B", "A", "2024-01-01", None), (3, "B", "Gone", "2024-01-01", None)]))
     assert {(r.ref_id, r.kind) for r in found.collect()} == {(1, "inherited"), (2, "inherited"), (3, "direct")}
