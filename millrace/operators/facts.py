@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,22 +53,28 @@ def merged_classes(declarations: DataFrame, merge: str) -> DataFrame:
 
 
 def from_tables(spark: SparkSession, folder: str, merge: str = "first", calls_where: str = "true") -> Facts:
-    """Facts of the code tables. Rows that came again count once; references are reduced to simple names.
+    """Facts of the code tables in a folder, see ``from_frames``; there are no fields."""
+    none = "owner string, ord int, name string, field_type string, is_static boolean, is_readonly boolean"
+    return from_frames(lambda name: spark.createDataFrame([], none) if name == "fields" else table(spark, folder, name), merge, calls_where)
+
+
+def from_frames(get: Callable[[str], DataFrame], merge: str = "first", calls_where: str = "true") -> Facts:
+    """Facts of code tables, by name: classes, interfaces, class_iface, methods, calls, fields. Rows that came again count once; references are reduced to simple names.
 
     ``merge`` is the policy for a class declared more than once, see ``merged_classes``; methods and interface lists of
     all declarations are kept. ``calls_where``: a condition on the rows of calls, as for one version of a program.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    declared = table(spark, folder, "classes").select(
+    declared = get("classes").select(
         named(F.col("name")).alias("name"), named(F.col("base_class")).alias("base_class"), "is_abstract", "is_sealed", "is_static", text("file").alias("file"), F.col("class_id").alias("at")
     ).where(F.col("name").isNotNull()).distinct()
-    interfaces = table(spark, folder, "interfaces").select(named(F.col("name")).alias("name"), text("file").alias("file")).where(F.col("name").isNotNull())
-    links = table(spark, folder, "class_iface").select(named(F.col("class")).alias("class"), named(F.col("iface")).alias("iface"), "ord")
-    methods = table(spark, folder, "methods").select(
+    interfaces = get("interfaces").select(named(F.col("name")).alias("name"), text("file").alias("file")).where(F.col("name").isNotNull())
+    links = get("class_iface").select(named(F.col("class")).alias("class"), named(F.col("iface")).alias("iface"), "ord")
+    methods = get("methods").select(
         named(F.col("owner")).alias("owner"), text("owner_kind").alias("owner_kind"), "ord", text("method").alias("method"), text("signature").alias("signature"), text("ret").alias("ret"),
         F.coalesce("params", F.array().cast("array<string>")).alias("params"), "is_static", "is_virtual", "is_abstract", text("file").alias("file"), "line_start", "line_end",
     ).where(F.col("owner").isNotNull()).distinct()
-    calls = table(spark, folder, "calls").where(calls_where).select(
+    calls = get("calls").where(calls_where).select(
         "site_id", text("file").alias("file"), F.coalesce(simple_name(F.col("caller_class")), F.lit("")).alias("caller_class"), text("caller_method").alias("caller_method"), text("callee").alias("callee"),
         F.coalesce(simple_name(F.col("callee_class")), F.lit("")).alias("callee_class"), text("target_expr").alias("target_expr"), "is_self_call", "is_creation", named(F.col("created_type")).alias("created_type"), "line",
         F.coalesce("delegates", F.array().cast("array<string>")).alias("delegates"),
@@ -79,7 +86,7 @@ def from_tables(spark: SparkSession, folder: str, merge: str = "first", calls_wh
         methods=methods,
         calls=calls,
         creations=calls.where(F.col("is_creation") & F.col("created_type").isNotNull()).select(F.col("caller_class").alias("class"), "created_type"),
-        fields=spark.createDataFrame([], "owner string, ord int, name string, field_type string, is_static boolean, is_readonly boolean"),
+        fields=get("fields"),
     )
 
 

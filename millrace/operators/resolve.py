@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .facts import Facts
 from .types import concrete_subtypes
 
@@ -57,43 +58,60 @@ def resolve_direct(targets: DataFrame) -> DataFrame:
     return _result(targets.where(F.col("kind").isin("Static", "Instance")), "direct", F.lit("Direct"), F.col("class"))
 
 
+def _distinct(targets: DataFrame) -> DataFrame:
+    """(class, method) of targets, each once: what is resolved; sites are joined to the answer at the end."""
+    return targets.select("class", "method").distinct()
+
+
 def _implementations(facts: Facts, targets: DataFrame, subtypes: DataFrame) -> DataFrame:
-    """(site_id, method, owner): the concrete classes that may stand for the called type and define the method."""
+    """(class, method, owner): the concrete classes that may stand for a called type and define the method."""
     defined = facts.methods.where("owner_kind = 'class'").select(F.col("owner"), "method").distinct()
-    return targets.join(subtypes.withColumnRenamed("class", "owner"), targets["class"] == F.col("name")).select("site_id", "method", "owner").join(defined, ["owner", "method"], "left_semi")
+    pairs = _distinct(targets).join(subtypes.select(F.col("name").alias("class"), F.col("class").alias("owner")), "class")
+    return pairs.join(defined, ["owner", "method"], "left_semi").select("class", "method", "owner")
+
+
+def _of_sites(targets: DataFrame, found: DataFrame) -> DataFrame:
+    """The answers (class, method, ...) at every site that asks."""
+    return targets.select("site_id", "class", "method").join(found, ["class", "method"])
 
 
 def resolve_cha(facts: Facts, targets: DataFrame, subtypes: DataFrame) -> DataFrame:
     """Class hierarchy analysis: every definition in a concrete subtype of the called type."""
-    return _result(_implementations(facts, targets.where(F.col("kind").isin("Virtual", "Abstract")), subtypes), "cha", F.lit("CHA"), F.col("owner"))
+    asked = targets.where(F.col("kind").isin("Virtual", "Abstract"))
+    return _result(_of_sites(asked, _implementations(facts, asked, subtypes)), "cha", F.lit("CHA"), F.col("owner"))
 
 
 def resolve_rta(facts: Facts, targets: DataFrame, subtypes: DataFrame) -> DataFrame:
     """Rapid type analysis: of those, the classes that are created somewhere."""
     created = facts.creations.select(F.col("created_type").alias("owner")).distinct()
-    found = _implementations(facts, targets.where(F.col("kind").isin("Virtual", "Abstract")), subtypes)
-    return _result(found.join(created, "owner", "left_semi"), "rta", F.lit("RTA"), F.col("owner"))
+    asked = targets.where(F.col("kind").isin("Virtual", "Abstract"))
+    return _result(_of_sites(asked, _implementations(facts, asked, subtypes).join(created, "owner", "left_semi")), "rta", F.lit("RTA"), F.col("owner"))
 
 
 def _by_count(found: DataFrame, one: str, many: str) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("site_id"))
+    n = F.count("*").over(Window.partitionBy("class", "method"))
     return found.withColumn("confidence", F.when(n == 1, one).otherwise(many))
 
 
-def resolve_abstract(facts: Facts, targets: DataFrame, subtypes: DataFrame) -> DataFrame:
-    """Abstract targets, and static or virtual ones on an abstract class: every concrete subtype, whether it defines the method or inherits it."""
+def _open_targets(facts: Facts, targets: DataFrame) -> DataFrame:
+    """Abstract targets, and static or virtual ones on an abstract class."""
     abstract = facts.classes.where("is_abstract").select(F.col("name").alias("class"))
     on_class = targets.where(F.col("kind").isin("Static", "Virtual")).join(abstract, "class", "left_semi")
-    chosen = targets.where("kind = 'Abstract'").unionByName(on_class.select(*targets.columns))
-    found = chosen.join(subtypes.withColumnRenamed("class", "owner"), chosen["class"] == F.col("name")).select("site_id", "method", "owner")
-    return _result(_by_count(found, "ExplicitImpl", "CHA"), "abstract", F.col("confidence"), F.col("owner"))
+    return targets.where("kind = 'Abstract'").unionByName(on_class.select(*targets.columns))
+
+
+def resolve_abstract(facts: Facts, targets: DataFrame, subtypes: DataFrame) -> DataFrame:
+    """Targets that are open: every concrete subtype, whether it defines the method or inherits it."""
+    chosen = _open_targets(facts, targets)
+    found = _distinct(chosen).join(subtypes.select(F.col("name").alias("class"), F.col("class").alias("owner")), "class")
+    return _result(_of_sites(chosen, _by_count(found, "ExplicitImpl", "CHA")), "abstract", F.col("confidence"), F.col("owner"))
 
 
 def resolve_interface(facts: Facts, targets: DataFrame, subtypes: DataFrame) -> DataFrame:
     """Calls of interfaces: implementors that define the method; a single one is certain."""
     faces = facts.interfaces.select(F.col("name").alias("class"))
-    found = _implementations(facts, targets.where(F.col("kind").isin("Abstract", "Virtual")).join(faces, "class", "left_semi"), subtypes)
-    return _result(_by_count(found, "ExplicitImpl", "MultiImpl"), "interface", F.col("confidence"), F.col("owner"))
+    asked = targets.where(F.col("kind").isin("Abstract", "Virtual")).join(faces, "class", "left_semi").select(*targets.columns)
+    return _result(_of_sites(asked, _by_count(_implementations(facts, asked, subtypes), "ExplicitImpl", "MultiImpl")), "interface", F.col("confidence"), F.col("owner"))
 
 
 def resolve_di(facts: Facts, targets: DataFrame, registrations: DataFrame) -> DataFrame:
@@ -112,8 +130,9 @@ def resolve_factory(targets: DataFrame) -> DataFrame:
 
 
 def resolve_reflection(targets: DataFrame) -> DataFrame:
-    """Static calls of reflection: only a string at run time names the method."""
-    return _result(targets.where((F.col("kind") == "Static") & F.col("method").isin(REFLECTION_METHODS)), "reflection", F.lit("DynamicString"), F.lit(None).cast("string"))
+    """Static calls of reflection: the named type; only a string at run time names the method, which stays ''."""
+    found = targets.where((F.col("kind") == "Static") & F.col("method").isin(REFLECTION_METHODS))
+    return _result(found.withColumn("method", F.lit("")), "reflection", F.lit("DynamicString"), F.nullif("class", F.lit("")))
 
 
 def resolve_dynamic(targets: DataFrame) -> DataFrame:
@@ -151,11 +170,45 @@ def resolutions(facts: Facts, registrations: DataFrame | None = None) -> DataFra
     return out.withColumn("score", score(F.col("confidence")))
 
 
-def best(resolved: DataFrame) -> DataFrame:
-    """(site_id, strategy, confidence, score, targets): per site the alternative of the highest score; the strategy last in the alphabet on ties."""
-    per = resolved.groupBy("site_id", "strategy", "confidence", "score").agg(F.count("owner").alias("targets"))
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("score"), F.desc("strategy")))
-    return per.withColumn("rank", rank).where("rank = 1").drop("rank")
+def best(facts: Facts, registrations: DataFrame | None = None, subtypes: DataFrame | None = None) -> DataFrame:
+    """(site_id, strategy, confidence, score, targets): per site the alternative of the highest score; the strategy last in the alphabet on ties.
+
+    The same as the best of ``resolutions``, without its rows: every distinct target is resolved once, to numbers of
+    classes, and the sites are joined to that; so no step has more rows than the sites, or the targets with their subtypes.
+    """
+    targets = call_targets(facts)
+    subtypes = concrete_subtypes(facts) if subtypes is None else subtypes
+    asked = stored(targets.groupBy("kind", "class", "method").agg(F.count("*").alias("sites")).drop("sites"), "targets")
+    flag = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    defined = flag(facts.methods.where("owner_kind = 'class'").select("owner", "method"), "defined")
+    created = flag(facts.creations.select(F.col("created_type").alias("owner")), "created")
+    pairs = asked.where("kind <> 'Instance'").select("class", "method").distinct().join(subtypes.select(F.col("name").alias("class"), F.col("class").alias("owner")), "class")
+    n = pairs.join(defined, ["owner", "method"], "left").join(created, "owner", "left").groupBy("class", "method").agg(
+        F.count("*").alias("subs"), F.count_if("defined").alias("defs"), F.count_if(F.col("defined") & F.col("created")).alias("made")
+    )
+    rows = asked.join(n, ["class", "method"], "left").join(flag(facts.classes.where("is_abstract").select(F.col("name").alias("class")), "abstract"), "class", "left").join(flag(facts.interfaces.select(F.col("name").alias("class")), "face"), "class", "left")
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    num = lambda c: F.coalesce(F.col(c), F.lit(0))
+    option = lambda when, strategy, confidence, count: F.when(when, F.struct(F.lit(strategy).alias("strategy"), confidence.alias("confidence"), count.cast("long").alias("targets")))
+    sure = lambda c, other: F.when(F.col(c) == 1, F.lit("ExplicitImpl")).otherwise(F.lit(other))
+    none = F.lit(0)
+    options = [
+        option(is_("Static", "Instance"), "direct", F.lit("Direct"), F.lit(1)),
+        option(is_("Virtual", "Abstract") & (num("defs") > 0), "cha", F.lit("CHA"), num("defs")),
+        option(is_("Virtual", "Abstract") & (num("made") > 0), "rta", F.lit("RTA"), num("made")),
+        option((is_("Abstract") | (is_("Static", "Virtual") & F.col("abstract"))) & (num("subs") > 0), "abstract", sure("subs", "CHA"), num("subs")),
+        option(is_("Abstract", "Virtual") & F.col("face") & (num("defs") > 0), "interface", sure("defs", "MultiImpl"), num("defs")),
+        option(is_("Static", "Instance") & F.col("method").isin(FACTORY_METHODS), "factory", F.lit("RTA"), none),
+        option(is_("Static") & F.col("method").isin(REFLECTION_METHODS), "reflection", F.lit("DynamicString"), F.when(F.col("class") == "", none).otherwise(F.lit(1))),
+        option(F.lit(True), "dynamic", F.lit("Unknown"), none),
+    ]
+    if registrations is not None:
+        di = resolve_di(facts, asked.withColumn("site_id", F.xxhash64("kind", "class", "method")), registrations).groupBy("site_id").agg(F.min("confidence").alias("di"), F.count("*").alias("di_n"))
+        rows = rows.withColumn("site_id", F.xxhash64("kind", "class", "method")).join(di, "site_id", "left")
+        options.append(option(F.col("di").isNotNull(), "di", F.col("di"), num("di_n")))
+    scored = F.transform(F.filter(F.array(*options), lambda o: o.isNotNull()), lambda o: F.struct(score(o["confidence"]).alias("score"), o["strategy"].alias("strategy"), o["confidence"].alias("confidence"), o["targets"].alias("targets")))
+    answers = rows.select("kind", "class", "method", F.array_max(scored).alias("b"))
+    return targets.join(answers, ["kind", "class", "method"]).select("site_id", "b.strategy", "b.confidence", "b.score", "b.targets")
 
 
 def top_callees(facts: Facts, n: int = 15) -> DataFrame:

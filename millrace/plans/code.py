@@ -10,7 +10,7 @@ from ..operators.facts import from_tables
 from ..session import cut
 from ..sources.csharp import frontend
 from ..sources.tables import table
-from .program import _facts, query
+from .program import _facts, _more, query
 from .program import ORACLES as _program_oracles
 from .program import QUERIES as _program_queries
 
@@ -191,9 +191,9 @@ def _(spark, d):
     return navigate.down(_facts(spark, d)).select("class", "method", "callee", "target_class", "kind", "iface", "sites")
 
 
-@query("OP-N3_down_interface", "SELECT ci.iface, m.method, ci.class FROM ci JOIN (SELECT DISTINCT owner, method FROM met WHERE owner_kind = 'interface') m ON m.owner = ci.iface JOIN cls ON cls.name = ci.class AND NOT is_abstract AND NOT is_static JOIN defs ON defs.owner = ci.class AND defs.method = m.method")
+@query("OP-N3_down_interface", "SELECT ci.iface, m.method, ci.class FROM ci JOIN (SELECT DISTINCT owner, method FROM met WHERE owner_kind = 'interface') m ON m.owner = ci.iface JOIN cls ON cls.name = ci.class AND NOT is_abstract AND NOT is_static JOIN defs ON defs.owner = ci.class AND defs.method = m.method", idiomatic=True)
 def _(spark, d):
-    return navigate.down_interface(_facts(spark, d))
+    return navigate.down_interface(_more(spark, d))
 
 
 @query("OP-N4_edge_kinds", _inner(_KINDS, "SELECT callee, iface, (SELECT count(*) FROM sub WHERE name = iface) AS options FROM kinds"))
@@ -262,9 +262,10 @@ def _(spark, d):
     JOIN (SELECT DISTINCT owner, method, unnest(params) AS t FROM met WHERE owner_kind = 'class') b ON b.t = p.y
     WHERE a.owner <> b.owner AND (a.t IN (SELECT name FROM cls) OR a.t IN (SELECT name FROM ifc)) AND (b.t IN (SELECT name FROM cls) OR b.t IN (SELECT name FROM ifc))
       AND EXISTS (SELECT 1 FROM call c WHERE c.caller_class = b.owner AND c.caller_method = b.method AND c.callee_class = '' AND c.callee NOT IN (SELECT method FROM defs))""",
+    idiomatic=True,
 )
 def _(spark, d):
-    return navigate.dispatch_sources(_facts(spark, d))
+    return navigate.dispatch_sources(_more(spark, d))
 
 
 # ---- frontend over the source texts
@@ -419,21 +420,21 @@ def _(spark, d):
 
 
 @query("OP-R8_di_registrations", r"""SELECT DISTINCT trim(a[1]) AS interface_type, trim(coalesce(a[2], a[1])) AS implementation_type, regexp_extract(callee, '^Add(Scoped|Singleton|Transient)<', 1) AS lifetime, 'DiRegistration' AS confidence
-    FROM (SELECT callee, string_split(regexp_extract(callee, '^Add(?:Scoped|Singleton|Transient)<(.+)>$', 1), ',') AS a FROM call WHERE regexp_matches(callee, '^Add(Scoped|Singleton|Transient)<.+>$'))""")
+    FROM (SELECT callee, string_split(regexp_extract(callee, '^Add(?:Scoped|Singleton|Transient)<(.+)>$', 1), ',') AS a FROM call WHERE regexp_matches(callee, '^Add(Scoped|Singleton|Transient)<.+>$'))""", idiomatic=True)
 def _(spark, d):
-    return resolve.di_registrations(_facts(spark, d))
+    return resolve.di_registrations(_more(spark, d))
 
 
 @query("OP-R10_di_calls", r"""SELECT site_id, CASE WHEN m IN ('AddScoped', 'AddSingleton', 'AddTransient') THEN 'Static' ELSE 'DiResolved' END AS kind, t AS type, m AS method
     FROM (SELECT site_id, regexp_extract(callee, '^(\w+)<', 1) AS m, trim(regexp_extract(callee, '^\w+<((?:[^,<>]|<[^<>]*>)*)', 1)) AS t FROM call WHERE suffix(callee, '>'))
-    WHERE t <> '' AND m IN ('AddScoped', 'AddSingleton', 'AddTransient', 'GetService', 'GetRequiredService', 'GetKeyedService')""")
+    WHERE t <> '' AND m IN ('AddScoped', 'AddSingleton', 'AddTransient', 'GetService', 'GetRequiredService', 'GetKeyedService')""", idiomatic=True)
 def _(spark, d):
-    return resolve.di_calls(_facts(spark, d))
+    return resolve.di_calls(_more(spark, d))
 
 
-@query("OP-R15_reflection_patterns", r"SELECT site_id, regexp_extract(target_expr, '^typeof\(\s*([\w.<>, ]+?)\s*\)$', 1) AS type, callee AS method FROM call WHERE regexp_matches(target_expr, '^typeof\(.+\)$') AND callee IN ('GetMethod', 'GetProperty', 'GetField', 'CreateInstance')")
+@query("OP-R15_reflection_patterns", r"SELECT site_id, regexp_extract(target_expr, '^typeof\(\s*([\w.<>, ]+?)\s*\)$', 1) AS type, callee AS method FROM call WHERE regexp_matches(target_expr, '^typeof\(.+\)$') AND callee IN ('GetMethod', 'GetProperty', 'GetField', 'CreateInstance')", idiomatic=True)
 def _(spark, d):
-    return resolve.reflection_patterns(_facts(spark, d))
+    return resolve.reflection_patterns(_more(spark, d))
 
 
 @query("OP-R10_parsed_di_calls")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as facts_
 from ..operators import patterns, resolve, types
+from . import idioms
 from .problems import _named, _simple
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +17,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, idiomatic: bool = False) -> Callable[[Query], Query]:
+    """Register a query and its check; ``idiomatic``: both over the tables with the small programs of ``idioms``."""
+
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = f"WITH RECURSIVE {FACTS}\n{sql}"
+            ORACLES[name] = f"WITH RECURSIVE {idioms.as_sql(FACTS) if idiomatic else FACTS}\n{sql}"
         return f
 
     return keep
@@ -78,6 +81,10 @@ def _facts(spark: SparkSession, d: str, merge: str = "first") -> facts_.Facts:
     return facts_.from_tables(spark, d, merge)
 
 
+def _more(spark: SparkSession, d: str) -> facts_.Facts:
+    return idioms.facts(spark, d)
+
+
 # ---- facts
 
 
@@ -170,14 +177,15 @@ def _(spark, d):
     JOIN (SELECT t AS x, t AS y FROM (SELECT name AS t FROM cls UNION SELECT name FROM ifc) UNION SELECT class, ancestor FROM up UNION SELECT ancestor, class FROM up) p ON p.x = a.t
     JOIN (SELECT DISTINCT owner, method, unnest(params) AS t FROM met WHERE owner_kind = 'class') b ON b.t = p.y
     WHERE a.owner <> b.owner AND a.t IN (SELECT name FROM cls UNION SELECT name FROM ifc) AND b.t IN (SELECT name FROM cls UNION SELECT name FROM ifc)) GROUP BY a_owner""",
+    idiomatic=True,
 )
 def _(spark, d):
-    return types.compatible_methods(_facts(spark, d)).groupBy("a_owner").agg(F.count("*").alias("pairs"))
+    return types.compatible_methods(_more(spark, d)).groupBy("a_owner").agg(F.count("*").alias("pairs"))
 
 
-@query("OP-H9_controllers", "SELECT DISTINCT class FROM up WHERE ancestor IN ('ControllerBase', 'Controller')")
+@query("OP-H9_controllers", "SELECT DISTINCT class FROM up WHERE ancestor IN ('ControllerBase', 'Controller')", idiomatic=True)
 def _(spark, d):
-    return types.controllers(_facts(spark, d))
+    return types.controllers(_more(spark, d))
 
 
 @query("OP-H10_unique_methods", "SELECT method, min(owner) AS owner FROM defs GROUP BY method HAVING count(*) = 1")
@@ -196,7 +204,7 @@ _R = {
     "interface": """SELECT site_id, 'interface' AS strategy, CASE WHEN count(*) OVER (PARTITION BY site_id) = 1 THEN 'ExplicitImpl' ELSE 'MultiImpl' END AS confidence, owner, method
       FROM cand WHERE kind IN ('Abstract', 'Virtual') AND called IN (SELECT name FROM ifc) AND defined""",
     "factory": "SELECT site_id, 'factory' AS strategy, 'RTA' AS confidence, CAST(NULL AS VARCHAR) AS owner, method FROM target WHERE kind IN ('Static', 'Instance') AND method IN ('Create', 'Build', 'Make', 'Resolve', 'GetInstance')",
-    "reflection": "SELECT site_id, 'reflection' AS strategy, 'DynamicString' AS confidence, CAST(NULL AS VARCHAR) AS owner, method FROM target WHERE kind = 'Static' AND method IN ('GetMethod', 'GetProperty', 'GetField', 'CreateInstance')",
+    "reflection": "SELECT site_id, 'reflection' AS strategy, 'DynamicString' AS confidence, nullif(class, '') AS owner, '' AS method FROM target WHERE kind = 'Static' AND method IN ('GetMethod', 'GetProperty', 'GetField', 'CreateInstance')",
     "dynamic": "SELECT site_id, 'dynamic' AS strategy, 'Unknown' AS confidence, CAST(NULL AS VARCHAR) AS owner, method FROM target",
 }
 _SCORE = "CASE confidence WHEN 'Direct' THEN 100 WHEN 'ExplicitImpl' THEN 95 WHEN 'CHA' THEN 70 WHEN 'MultiImpl' THEN 60 WHEN 'RTA' THEN 50 WHEN 'DynamicString' THEN 10 ELSE 0 END"
@@ -209,7 +217,7 @@ def _(spark, d):
 
 def _strategy(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        f = _facts(spark, d)
+        f = _more(spark, d)
         targets = resolve.call_targets(f)
         if name in ("direct", "factory", "reflection", "dynamic"):
             return getattr(resolve, f"resolve_{name}")(targets)
@@ -219,7 +227,7 @@ def _strategy(name: str) -> Query:
 
 
 for _key, _op in (("direct", "R2"), ("cha", "R3"), ("rta", "R4"), ("abstract", "R5"), ("interface", "R6"), ("factory", "R12"), ("reflection", "R14"), ("dynamic", "R16")):
-    query(f"OP-{_op}_{_key}", _R[_key])(_strategy(_key))
+    query(f"OP-{_op}_{_key}", _R[_key], idiomatic=True)(_strategy(_key))
 
 _REG = """reg AS (SELECT iface AS interface_type, class AS implementation_type, CASE WHEN ord = 0 THEN 'DiRegistration' ELSE 'Reflection' END AS confidence FROM ci)"""
 
@@ -239,9 +247,9 @@ def _(spark, d):
     return resolve.resolve_di(f, resolve.call_targets(f), registrations)
 
 
-@query("OP-R11_factories", "SELECT DISTINCT ret AS return_type, owner, method FROM met WHERE ret IN (SELECT name FROM open_) AND regexp_matches(method, '^(Create|Build|Make|Resolve|GetInstance)')")
+@query("OP-R11_factories", "SELECT DISTINCT ret AS return_type, owner, method FROM met WHERE ret IN (SELECT name FROM open_) AND regexp_matches(method, '^(Create|Build|Make|Resolve|GetInstance)')", idiomatic=True)
 def _(spark, d):
-    return resolve.factories(_facts(spark, d))
+    return resolve.factories(_more(spark, d))
 
 
 @query(
@@ -249,9 +257,10 @@ def _(spark, d):
     f"""SELECT site_id, strategy, confidence, score, targets FROM (
       SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, strategy DESC) AS rn FROM (
         SELECT site_id, strategy, confidence, {_SCORE} AS score, count(owner) AS targets FROM ({' UNION ALL '.join(_R.values())}) GROUP BY ALL)) WHERE rn = 1""",
+    idiomatic=True,
 )
 def _(spark, d):
-    return resolve.best(resolve.resolutions(_facts(spark, d)))
+    return resolve.best(_more(spark, d))
 
 
 @query("OP-R18_top_callees", "SELECT callee, count(*) AS calls FROM call GROUP BY callee ORDER BY calls DESC, callee LIMIT 15")
@@ -269,7 +278,7 @@ def _(spark, d):
 
 def _detector(*names: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        c = patterns.context(_facts(spark, d))
+        c = patterns.context(_more(spark, d))
         out = None
         for name in names:
             found = getattr(patterns, name)(c)
@@ -319,7 +328,13 @@ _D: dict[str, tuple[str, str]] = {
         """SELECT 'Bridge' AS pattern, c.name AS class, CAST(0.6 AS DOUBLE) AS confidence, 'subclasses: ' || subs AS evidence FROM cls c JOIN (SELECT class, arg_min(iface, (ord, iface)) AS iface FROM ci GROUP BY class) f ON f.class = c.name
         JOIN subs ON subs.owner = c.name WHERE is_abstract AND f.iface IN (SELECT name FROM ifc) AND subs >= 2""",
     ),
-    "D10": ("flyweight", "SELECT 'Flyweight' AS pattern, owner AS class, CAST(0.4 AS DOUBLE) AS confidence, '' AS evidence FROM own WHERE NOT is_static AND ret1 = owner GROUP BY owner HAVING count(*) >= 2"),
+    "D10": (
+        "flyweight",
+        """SELECT 'Flyweight' AS pattern, owner AS class, CAST(CASE WHEN cached AND made > 0 THEN 0.85 WHEN cached THEN 0.6 ELSE 0.4 END AS DOUBLE) AS confidence, '' AS evidence
+        FROM (SELECT c.name AS owner, c.name IN (SELECT owner FROM fld WHERE is_static AND regexp_matches(field_type, 'Dictionary|Cache|Pool')) AS cached,
+          (SELECT count(*) FROM own WHERE own.owner = c.name AND is_static AND ret1 = own.owner) AS made, (SELECT count(*) FROM own WHERE own.owner = c.name AND NOT is_static AND ret1 = own.owner) AS own_kind FROM cls c)
+        WHERE cached OR own_kind >= 2""",
+    ),
     "D11": (
         "facade",
         f"SELECT 'Facade' AS pattern, owner AS class, CAST(0.3 AS DOUBLE) AS confidence, {_EV.format('list(method)')} AS evidence FROM own WHERE owner IN (SELECT name FROM cls WHERE NOT is_abstract AND NOT is_static) AND owner NOT IN (SELECT class FROM ci) GROUP BY owner HAVING count(*) >= 4",
@@ -395,9 +410,14 @@ _D: dict[str, tuple[str, str]] = {
     ),
 }
 for _op, (_name, _sql) in _D.items():
-    query(f"OP-{_op}_{_name}", _sql)(_detector(_name))
+    query(f"OP-{_op}_{_name}", _sql, idiomatic=True)(_detector(_name))
+
+
+@query("OP-D0_all", f"SELECT * FROM ({' UNION ALL '.join(f'SELECT pattern, class, confidence, evidence FROM ({sql})' for _, sql in _D.values())})", idiomatic=True)
+def _(spark, d):
+    return patterns.detect(_more(spark, d)).select("pattern", "class", "confidence", F.array_join("evidence", ",").alias("evidence"))
 
 
-@query("OP-D0_all", f"SELECT pattern, count(*) AS hits, max(confidence) AS best FROM ({' UNION ALL '.join(f'SELECT pattern, class, confidence FROM ({sql})' for _, sql in _D.values())}) GROUP BY pattern")
+@query("OP-D0_hits", f"SELECT pattern, count(*) AS hits, max(confidence) AS best FROM ({' UNION ALL '.join(f'SELECT pattern, class, confidence FROM ({sql})' for _, sql in _D.values())}) GROUP BY pattern", idiomatic=True)
 def _(spark, d):
-    return patterns.hits(patterns.detect(_facts(spark, d)))
+    return patterns.hits(patterns.detect(_more(spark, d)))
