@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -82,15 +83,22 @@ def run(spark, args) -> str:
         return render.diff_dot([(r.key, r.kind) for r in changes.collect()], [r.id for r in nodes.collect()], [tuple(r) for r in edges.collect()], target)
     parsed = load(args.path)
     if args.command in ("cfg", "pdg", "hammock"):
+        if args.command == "pdg":  # data edges need the graphs of single methods
+            parsed = frontend.parse(frontend.read_tree(spark, args.path), compat=False).cache()
         blocks, edges = frontend.relation(parsed, "blocks"), frontend.relation(parsed, "edges")
-        nodes = [(r.id, r.kind, r.start_line, r.end_line) for r in blocks.orderBy("id").collect()]
         if args.command == "hammock":
             return _table(graphs.regions(blocks, edges).orderBy("file", "method_ord", F.size("body"), "header"))
-        if args.command == "pdg":
-            pairs = [(r.src, r.dst, r.kind) for r in graphs.dependence_graph(blocks, edges).orderBy("file", "method_ord", "src", "dst").collect()]
-            return (render.cfg_json if args.format == "json" else render.pdg_dot)(nodes, pairs)
-        pairs = [(r.src, r.dst, r.kind) for r in edges.orderBy("file", "method_ord", "edge_ord").collect()]
-        return (render.cfg_json if args.format == "json" else render.cfg_dot)(nodes, pairs)
+        nodes: dict = defaultdict(list)
+        arrows: dict = defaultdict(list)
+        # block ids start anew in every file and, with the graphs of single methods, in every method: one drawing each
+        part = ["file", "method_ord"] if args.command == "pdg" else ["file"]
+        for r in blocks.orderBy("file", "method_ord", "id").toLocalIterator():
+            nodes[tuple(r[c] for c in part)].append((r.id, r.kind, r.start_line, r.end_line))
+        drawn = graphs.dependence_graph(blocks, edges, compat=False, names=frontend.relation(parsed, "names")) if args.command == "pdg" else edges
+        for r in drawn.orderBy("file", "method_ord", *(["src", "dst", "kind"] if args.command == "pdg" else ["edge_ord"])).toLocalIterator():
+            arrows[tuple(r[c] for c in part)].append((r.src, r.dst, r.kind))
+        one = render.cfg_json if args.format == "json" else render.pdg_dot if args.command == "pdg" else render.cfg_dot
+        return "\n".join((f"// {' '.join(map(str, k))}\n" if len(nodes) > 1 and args.format == "dot" else "") + one(nodes[k], arrows[k]) for k in nodes)
     if args.command == "route":
         rows = frontend.relation(parsed, "routes").orderBy("source", "class", "file", "ord").collect()
         if args.json:
@@ -98,7 +106,7 @@ def run(spark, args) -> str:
         return render.routes_text([(r["class"], r.http_method, r.path, r.handler) for r in rows])
     facts = frontend.facts_of(parsed, "first" if args.command in ("resolve", "detect", "callgraph") else "append")
     if args.command == "parse":
-        return _table(render.type_graph_json(facts.classes, facts.methods).orderBy("name").select("json"))
+        return _table(render.type_graph_json(facts).orderBy("kind", "name").select("json"))
     if args.command == "resolve":
         return _table(resolve.top_callees(facts))
     if args.command == "detect":

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 from .facts import Facts, is_accessor
+from .types import concrete_subtypes
 
 
 def bind_callees(facts: Facts) -> DataFrame:
@@ -61,29 +62,51 @@ def summary(facts: Facts, top: int = 5) -> DataFrame:
     return per.withColumn("rank", rank).where(F.col("rank") <= top).join(total, "caller_class").select("caller_class", "total", "callee", "calls", "rank")
 
 
+def dispatches(facts: Facts, subtypes: DataFrame | None = None) -> DataFrame:
+    """(callee, iface, class): where a called name may lead through an interface: every concrete subtype of every interface that declares it."""
+    subtypes = concrete_subtypes(facts) if subtypes is None else subtypes
+    known = facts.interfaces.select(F.col("name").alias("iface"))
+    declared = facts.methods.where("owner_kind = 'interface'").select(F.col("owner").alias("iface"), F.col("method").alias("callee")).distinct().join(known, "iface", "left_semi")
+    return declared.join(subtypes.withColumnRenamed("name", "iface"), "iface").select("callee", "iface", "class")
+
+
+def call_hops(facts: Facts, subtypes: DataFrame | None = None) -> DataFrame:
+    """(caller_class, caller_method, callee, calls, via, iface, class): each callee of each method and where it leads.
+
+    A name that interfaces with concrete subtypes declare leads to all of these (``iface`` set), and nowhere else. Any
+    other leads to the class that the call's target names, else to the first class by name that has the method, else
+    nowhere (null). ``via`` is the target of the first call.
+    """
+    per = facts.calls.groupBy("caller_class", "caller_method", "callee").agg(F.count("*").alias("calls"), F.min_by("target_expr", "site_id").alias("via"))
+    named = facts.classes.select(F.col("name").alias("via"), F.col("name").alias("target")).distinct()
+    some = facts.methods.where("owner_kind = 'class'").groupBy(F.col("method").alias("callee")).agg(F.min("owner").alias("some"))
+    rows = per.join(dispatches(facts, subtypes).withColumnRenamed("class", "impl"), "callee", "left").join(named, "via", "left").join(some, "callee", "left")
+    to = F.when(F.col("iface").isNotNull(), F.col("impl")).otherwise(F.coalesce("target", "some"))
+    return rows.select("caller_class", "caller_method", "callee", "calls", "via", "iface", to.alias("class"))
+
+
 def call_tree(facts: Facts, cls: str, method: str, depth: int = 3) -> DataFrame:
-    """(level, path, callee_class, callee, cycle): the calls below a method, level by level, down to ``depth``.
+    """(level, path, callee, calls, via, iface, class, cycle): what a method calls, level by level, down to ``depth``.
 
-    A path holds 'Class.Method' steps; a step that is already on its path is reported as a cycle and not followed. A
-    call bound to an interface goes on in its direct implementors.
+    ``path`` holds the methods gone through as 'Class.Method', from the start to the caller; see ``call_hops`` for the
+    rest. A step back to a method of the same class that the walk has been in since it came into the class is a cycle
+    and not followed; a step into another class or through an interface starts anew, so ``depth`` is what ends the walk.
     """
     spark = facts.calls.sparkSession
-    direct = facts.calls.where("callee_class <> ''").select("caller_class", "caller_method", "callee_class", "callee").distinct()
-    impl = facts.class_iface.select(F.col("iface").alias("callee_class"), F.col("class").alias("impl")).distinct()
-    defined = facts.methods.where("owner_kind = 'class'").select(F.col("owner").alias("impl"), F.col("method").alias("callee")).distinct()
-    through = direct.join(impl, "callee_class").join(defined, ["impl", "callee"], "left_semi").select("caller_class", "caller_method", F.col("impl").alias("callee_class"), "callee")
-    edges = cut(direct.join(impl.select("callee_class").distinct(), "callee_class", "left_anti").select("caller_class", "caller_method", "callee_class", "callee").unionByName(through).distinct())
-    level = spark.createDataFrame([(cls, method, [f"{cls}.{method}"])], "caller_class string, caller_method string, path array<string>")
+    hops = stored(call_hops(facts), "hops")
+    one = f"{cls}.{method}"
+    front = spark.createDataFrame([(cls, method, [one], [one])], "caller_class string, caller_method string, path array<string>, seen array<string>")
     out = None
+    step = F.concat_ws(".", "class", "callee")
+    stays = F.col("iface").isNull() & (F.col("class") == F.col("caller_class"))
     for k in range(1, depth + 1):
-        step = F.concat_ws(".", "callee_class", "callee")
-        rows = cut(
-            edges.join(level, ["caller_class", "caller_method"]).select(
-                F.lit(k).alias("level"), F.concat("path", F.array(step)).alias("path"), "callee_class", "callee", F.array_contains(F.col("path"), step).alias("cycle")
-            )
+        rows = hops.join(front, ["caller_class", "caller_method"])
+        rows = cut(rows.withColumn("cycle", F.coalesce(stays & F.array_contains("seen", step), F.lit(False))))
+        part = rows.select(F.lit(k).alias("level"), "path", "callee", "calls", "via", "iface", "class", "cycle")
+        out = part if out is None else out.unionByName(part)
+        front = rows.where("class is not null and not cycle").select(
+            F.col("class").alias("caller_class"), F.col("callee").alias("caller_method"), F.concat("path", F.array(step)).alias("path"), F.when(stays, F.concat("seen", F.array(step))).otherwise(F.array(step)).alias("seen")
         )
-        out = rows if out is None else out.unionByName(rows)
-        level = rows.where("not cycle").select(F.col("callee_class").alias("caller_class"), F.col("callee").alias("caller_method"), "path")
     return out
 
 
@@ -92,3 +115,32 @@ def by_directory(facts: Facts) -> DataFrame:
     return facts.calls.groupBy(F.substring_index("file", "/", 2).alias("directory")).agg(
         F.count_distinct("file").alias("files"), F.count("*").alias("calls"), F.count_distinct("callee").alias("callees")
     )
+
+
+def directory_report(facts: Facts, top: int = 10) -> DataFrame:
+    """(directory, callee, calls, rank): the ``top`` callees of each directory, creations as 'new X'; names break ties."""
+    made = F.coalesce("is_creation", F.lit(False)) & F.col("created_type").isNotNull()
+    name = F.when(made, F.concat(F.lit("new "), "created_type")).otherwise(F.col("callee"))
+    per = facts.calls.groupBy(F.substring_index("file", "/", 2).alias("directory"), name.alias("callee")).agg(F.count("*").alias("calls"))
+    rank = F.row_number().over(Window.partitionBy("directory").orderBy(F.desc("calls"), "callee"))
+    return per.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def class_calls_method(facts: Facts, cls: str, method: str) -> bool:
+    """Whether a class calls any method of that name."""
+    return bool(facts.calls.where((F.col("caller_class") == cls) & (F.col("callee") == method)).limit(1).count())
+
+
+def class_creates_type(facts: Facts, cls: str, created: str) -> bool:
+    """Whether a class makes objects of a type."""
+    return bool(facts.creations.where((F.col("class") == cls) & (F.col("created_type") == created)).limit(1).count())
+
+
+def creation_count(facts: Facts, cls: str, created: str) -> int:
+    """How often a class makes objects of a type."""
+    return facts.creations.where((F.col("class") == cls) & (F.col("created_type") == created)).count()
+
+
+def created_types(facts: Facts) -> DataFrame:
+    """(class, created_type): the types each class makes objects of."""
+    return facts.creations.select("class", "created_type").distinct()

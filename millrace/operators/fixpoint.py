@@ -1,54 +1,128 @@
-"""Reachability and walk counts over edges, as loops over a frontier; cycles end."""
+"""Reachability and walk counts over edges, as loops over a frontier; cycles end.
+
+Graphs of few edges go through all rounds in one task; of larger ones every round is a join. Both give the same rows.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 #: Rounds after which a loop gives up with an error; a guard against edges that never end, not a limit on results.
 MAX_ROUNDS = 10_000
+#: Edges that one task may walk, each two names and a number, so about 100 MB at most.
+LOCAL_EDGES = 300_000
+
+
+def _reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Levels of all nodes from the edges of one task; rows without a source are seeds."""
+    after: dict[str, list[str]] = defaultdict(list)
+    level: dict[str, int] = {}
+    for b in batches:
+        for src, dst in zip(b["src"], b["dst"]):
+            if src is None:
+                level[dst] = 0
+            else:
+                after[src].append(dst)
+    frontier, k = list(level), 0
+    while frontier:
+        k += 1
+        frontier = [d for d in dict.fromkeys(d for s in frontier for d in after.get(s, ())) if d not in level]
+        level.update(dict.fromkeys(frontier, k))
+    yield pd.DataFrame({"node": pd.Series(list(level), dtype=object), "level": pd.Series(list(level.values()), dtype="int32")})
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, level): the nodes reached from ``seeds`` (node) along ``edges`` (src, dst), seeds at level 0.
 
-    Each round joins the last frontier only, and only nodes not seen before go on; lineage is cut every round.
+    Edges and seeds with a null are left out. Each round joins the last frontier only, and only nodes not seen before go
+    on; lineage is cut every round.
     """
-    frontier = cut(seeds.select("node").where(F.col("node").isNotNull()).distinct().withColumn("level", F.lit(0)))
+    edges = stored(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct(), "edges")
+    seeds = seeds.select("node").where(F.col("node").isNotNull()).distinct()
+    if edges.count() <= LOCAL_EDGES:
+        rows = edges.unionByName(seeds.select(F.lit(None).cast("string").alias("src"), F.col("node").alias("dst")))
+        return rows.repartition(1).mapInPandas(_reach, "node string, level int")
+    frontier = cut(seeds.withColumn("level", F.lit(0)))
     seen, level = frontier, 0
     while frontier.limit(1).count():
         level += 1
         if level > MAX_ROUNDS:
             raise RuntimeError("no fixpoint")
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.where(F.col("node").isNotNull()).join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
         seen = cut(seen.unionByName(frontier)) if level % 8 == 0 else seen.unionByName(frontier)
     return seen
 
 
-def walk_counts(edges: DataFrame, target: str) -> DataFrame:
+def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walks into every node whose incoming walks end, as text, from the edges of one task; rows without a source are nodes."""
+    out: dict[str, list[tuple[str, int]]] = defaultdict(list)
+    missing: dict[str, int] = {}
+    for b in batches:
+        for src, dst, n in zip(b["src"], b["dst"], b["n"]):
+            if src is None:
+                missing.setdefault(dst, 0)
+            else:
+                out[src].append((dst, int(n)))
+                missing[dst] = missing.get(dst, 0) + 1
+    total = dict.fromkeys(missing, 0)
+    ready = [x for x, k in missing.items() if k == 0]
+    done: dict[str, int] = {}
+    while ready:
+        src = ready.pop()
+        done[src] = total[src]
+        for dst, n in out.get(src, ()):
+            total[dst] += n * (1 + done[src])
+            missing[dst] -= 1
+            if missing[dst] == 0:
+                ready.append(dst)
+    yield pd.DataFrame({"node": pd.Series(list(done), dtype=object), "walks": pd.Series([str(v) for v in done.values()], dtype=object)})
+
+
+def walk_counts(edges: DataFrame, target: str, within: DataFrame | None = None) -> DataFrame:
     """(node, walks DECIMAL(38,0)): for each node that reaches ``target``, the walks that end in it.
 
     ``edges``: (src, dst, n) with n parallel edges. T(node) is the sum over edges into the node of n * (1 + T(src)),
     worked out from the nodes without edges into them; nodes that a cycle leads to have endless walks and get null, and
-    so do nodes with more walks than 38 digits hold.
+    so do nodes with more walks than 38 digits hold. ``within`` (node): the nodes that reach the target, if known.
     """
     spark = edges.sparkSession
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    within = cut(reach(back, spark.createDataFrame([(target,)], "node string")).select("node"))
-    inner = cut(edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n")))
-    fresh = cut(within.join(inner.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(0).cast("decimal(38,0)").alias("walks"), F.lit(True).alias("done")))
-    known, open_ = fresh, inner
-    while fresh.limit(1).count():
-        met = open_.join(known.select(F.col("node").alias("src"), "walks", "done"), "src", "left")
+    if within is None:
+        within = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(target,)], "node string"))
+    within = cut(within.select("node"))
+    inner = stored(edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi").groupBy("src", "dst").agg(F.sum("n").alias("n")), "inner")
+    if inner.count() <= LOCAL_EDGES:
+        rows = inner.unionByName(within.select(F.lit(None).cast("string").alias("src"), F.col("node").alias("dst"), F.lit(0).cast("long").alias("n")))
+        known = rows.repartition(1).mapInPandas(_walks, "node string, walks string")
+        return within.join(known, "node", "left").select("node", F.expr("try_cast(walks as decimal(38,0))").alias("walks"))
+    # every node waits for the edges into it; only edges out of the nodes done last are joined in a round
+    zero = F.lit(0).cast("decimal(38,0)")
+    waits = inner.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
+    state = cut(within.join(waits, "node", "left").select("node", F.coalesce("missing", F.lit(0)).alias("missing"), zero.alias("walks"), F.lit(False).alias("big")))
+    done, rounds = [], 0
+    while True:
+        fresh = state.where("missing = 0").select("node", F.when(~F.col("big"), F.col("walks")).alias("walks"))
+        if not fresh.limit(1).count():
+            break
+        if (rounds := rounds + 1) > MAX_ROUNDS:
+            raise RuntimeError("no fixpoint")
+        done.append(stored(fresh, "walks"))
+        met = inner.join(done[-1].withColumnRenamed("node", "src"), "src")
         term = F.try_multiply(F.col("n").cast("decimal(20,0)"), F.try_add("walks", F.lit(1).cast("decimal(1,0)")))
-        met = met.select("dst", "done", term.alias("term"))
-        sums = met.groupBy(F.col("dst").alias("node")).agg(
-            F.count_if(F.col("done").isNull()).alias("missing"), F.count_if(F.col("done") & F.col("term").isNull()).alias("big"), F.try_sum("term").alias("walks")
+        come = met.select(F.col("dst").alias("node"), term.alias("term")).groupBy("node").agg(F.count("*").alias("k"), F.bool_or(F.col("term").isNull()).alias("over"), F.try_sum("term").alias("sum"))
+        both = F.expr("try_cast(try_add(walks, coalesce(sum, 0)) as decimal(38,0))")
+        late = F.col("k").isNotNull() & (F.coalesce("over", F.lit(False)) | F.col("sum").isNull() | both.isNull())
+        state = cut(
+            state.where("missing > 0").join(come, "node", "left").select("node", (F.col("missing") - F.coalesce("k", F.lit(0))).alias("missing"), F.coalesce(both, zero).alias("walks"), (F.col("big") | late).alias("big"))
         )
-        fresh = cut(sums.where("missing = 0").select("node", F.when(F.col("big") == 0, F.expr("try_cast(walks as decimal(38,0))")).alias("walks"), F.lit(True).alias("done")))
-        known = cut(known.unionByName(fresh))
-        open_ = cut(open_.join(fresh.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return within.join(known.select("node", "walks"), "node", "left")
+    known = spark.createDataFrame([], "node string, walks decimal(38,0)")
+    for part in done:
+        known = known.unionByName(part)
+    return within.join(known, "node", "left")

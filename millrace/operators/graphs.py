@@ -212,10 +212,16 @@ def regions(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return _per_method(blocks, edges, hammocks, f"{_KEY}, header int, footer int, body array<int>")
 
 
-def dependence_graph(blocks: DataFrame, edges: DataFrame, compat: bool = True) -> DataFrame:
-    """(file, method_ord, src, dst, kind): control edges, then the flow edges as 'cfg(Kind)'; data edges come from ``data_dependences``."""
+def dependence_graph(blocks: DataFrame, edges: DataFrame, compat: bool = True, names: DataFrame | None = None) -> DataFrame:
+    """(file, method_ord, src, dst, kind): the flow edges as 'cfg(Kind)', the control edges and, with ``names``, the data edges.
+
+    ``names``: the relation of ``frontend.parse(compat=False)``, see ``data_dependences``; a pair with several names is one edge.
+    """
     flow = edges.select("file", "method_ord", "src", "dst", F.concat(F.lit("cfg("), F.col("kind"), F.lit(")")).alias("kind"))
-    return flow.unionByName(control_dependences(blocks, edges, compat).withColumn("kind", F.lit("control")))
+    out = flow.unionByName(control_dependences(blocks, edges, compat).withColumn("kind", F.lit("control")))
+    if names is None:
+        return out
+    return out.unionByName(data_dependences(blocks, edges, names).select("file", "method_ord", "src", "dst").distinct().withColumn("kind", F.lit("data")))
 
 
 def data_dependences(blocks: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 from .facts import Facts
 from .fixpoint import reach, walk_counts
 
@@ -29,13 +29,13 @@ def suggestions(facts: Facts, cls: str, method: str) -> list[str]:
     return [r[0] for r in rows]
 
 
-def impact(facts: Facts, target: str, check: bool = True) -> tuple[DataFrame, DataFrame]:
+def impact(facts: Facts, target: str, check: bool = True, walks: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) above ``target`` ('Class.Method'): who reaches it over calls.
 
     nodes(id, level, direct, distinct_callers, transitive): call sites that call the node; all methods above it; walks
-    that end in it, null where calls run in circles above it. edges(caller, callee), each once.
+    that end in it, null where calls run in circles above it (and for all without ``walks``). edges(caller, callee), each once.
     """
-    edges = cut(call_edges(facts))
+    edges = stored(call_edges(facts), "calls")
     spark = edges.sparkSession
     if check and not edges.where((F.col("dst") == target) | (F.col("src") == target)).limit(1).count():
         cls, _, method = target.rpartition(".")
@@ -44,7 +44,8 @@ def impact(facts: Facts, target: str, check: bool = True) -> tuple[DataFrame, Da
     nodes = cut(reach(back, spark.createDataFrame([(target,)], "node string")))
     inner = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
     direct = inner.groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("direct"), F.count("*").alias("callers"))
-    counted = walk_counts(edges, target).withColumnRenamed("walks", "transitive")
+    counted = walk_counts(edges, target, nodes) if walks else nodes.select("node", F.lit(None).cast("decimal(38,0)").alias("walks"))
+    counted = counted.withColumnRenamed("walks", "transitive")
     out = nodes.join(direct, "node", "left").join(counted, "node", "left")
     return (
         out.select(F.col("node").alias("id"), "level", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("callers", F.lit(0)).alias("distinct_callers"), "transitive"),

@@ -71,9 +71,16 @@ def down_interface(facts: Facts) -> DataFrame:
 
 
 def matching_interfaces(facts: Facts) -> DataFrame:
-    """(class, method, iface): the interfaces a class's method may be called through: all of the class's."""
+    """(class, method, iface): the interfaces a class's method may be called through.
+
+    All interfaces of the class where it defines the method itself; for a method it only inherits, those that declare it.
+    """
     own = facts.methods.where("owner_kind = 'class'").select(F.col("owner").alias("class"), "method").distinct()
-    return own.join(facts.class_iface.select("class", "iface").distinct(), "class")
+    links = facts.class_iface.select("class", "iface").distinct().join(facts.classes.select(F.col("name").alias("class")).distinct(), "class", "left_semi")
+    known = facts.interfaces.select(F.col("name").alias("iface"))
+    declared = facts.methods.where("owner_kind = 'interface'").select(F.col("owner").alias("iface"), "method").distinct().join(known, "iface", "left_semi")
+    inherited = links.join(declared, "iface").join(own, ["class", "method"], "left_anti")
+    return own.join(links, "class").select("class", "method", "iface").unionByName(inherited.select("class", "method", "iface"))
 
 
 def up(facts: Facts) -> DataFrame:
@@ -123,31 +130,6 @@ def up(facts: Facts) -> DataFrame:
     return zero.unionByName(first).unionByName(third).unionByName(fifth).unionByName(given)
 
 
-def up_of_classes(facts: Facts) -> DataFrame:
-    """(class, method, tier, caller_class, caller_method, sites): the part of ``up`` that the SQL of OP-N6_up covers, for methods of classes only.
-
-    Tiers: 1 calls bound to the class, together with unresolved calls of the name where no other class has it; 2 for
-    classes without interfaces, who hands the method over as a delegate; 3 calls through one of the class's interfaces;
-    4 unresolved calls of the name from other classes.
-    """
-    own = facts.methods.where("owner_kind = 'class'").select(F.col("owner").alias("class"), "method").distinct()
-    c = facts.calls.select("caller_class", "caller_method", F.col("callee").alias("method"), "callee_class", "target_expr", "is_self_call", "delegates")
-    exact = own.join(c.withColumnRenamed("callee_class", "class"), ["class", "method"])
-    names = facts.classes.select(F.col("name").alias("target_expr"))
-    loose = c.where("callee_class = '' and not coalesce(is_self_call, false)").join(names, "target_expr", "left_anti")
-    alone = unique_methods(facts).select("method", F.col("owner").alias("class"))
-    first = exact.select("class", "method", "caller_class", "caller_method").unionByName(loose.join(alone, "method").select("class", "method", "caller_class", "caller_method")).withColumn("tier", F.lit(1))
-    linked = facts.class_iface.select("class").distinct()
-    handed = c.select("caller_class", "caller_method", F.explode("delegates").alias("method"))
-    second = handed.join(own.join(linked, "class", "left_anti"), "method").select("class", "method", "caller_class", "caller_method").withColumn("tier", F.lit(2))
-    through = matching_interfaces(facts).join(c.withColumnRenamed("callee_class", "iface"), ["iface", "method"])
-    third = through.select("class", "method", "caller_class", "caller_method").withColumn("tier", F.lit(3))
-    fourth = loose.join(own.join(linked, "class", "left_semi"), "method").where("caller_class <> class").select("class", "method", "caller_class", "caller_method").withColumn("tier", F.lit(4))
-    rows = first.unionByName(second).unionByName(third).unionByName(fourth).groupBy("class", "method", "tier", "caller_class", "caller_method").agg(F.count("*").alias("sites"))
-    least = rows.groupBy("class", "method").agg(F.min("tier").alias("tier"))
-    return rows.join(least, ["class", "method", "tier"], "left_semi").select("class", "method", "tier", "caller_class", "caller_method", "sites")
-
-
 def up_by_class(edges: DataFrame) -> DataFrame:
     """(class, method, caller_class, first_method, methods): the edges up, one per calling class."""
     return edges.groupBy("class", "method", "caller_class").agg(F.min("caller_method").alias("first_method"), F.count_distinct("caller_method").alias("methods"))

@@ -8,9 +8,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .facts import Facts
+
 # Colours of the drawings.
-FILL = {"Entry": "lightgreen", "Exit": "lightcoral"}
-EDGE_STYLE = {"control": "color=red, style=dashed", "data": "color=blue, style=dotted"}
+FILL = {"Entry": "green", "Exit": "red"}
+EDGE_STYLE = {"control": "style=dashed color=red", "data": "style=dotted color=blue"}
 CHANGE_FILL = {"added": "lightgreen", "removed": "lightcoral", "callers_changed": "lightyellow"}
 
 
@@ -54,11 +56,22 @@ def judgments(judged: dict[str, str]) -> str:
     return "\n".join(["  JUDGMENTS:", *(f"    {c} -> {j}" for c, j in sorted(judged.items()))])
 
 
-def pdg_dot(blocks: Iterable[tuple], edges: Iterable[tuple], indent: str = "    ") -> str:
-    """A dependence graph in colours: control dashed red, data dotted blue, flow black."""
-    out = ["digraph PDG {"]
-    out += [f'{indent}{i} [label="L{a}-{b}:{k}", style=filled, fillcolor={FILL.get(k, "lightblue")}];' for i, k, a, b in sorted(blocks)]
-    out += [f'{indent}{a} -> {b} [label="{k}", {EDGE_STYLE.get(k, "color=black, style=solid")}];' for a, b, k in edges]
+def pdg_lines(blocks: Iterable[tuple], edges: Iterable[tuple], indent: str = "") -> str:
+    """The statements of a dependence graph, to be put into a drawing: control dashed red, data dotted blue, flow solid black."""
+    out = [f'{indent}n{i} [label="L{a}-{b}:{k}" style=filled fillcolor={FILL.get(k, "lightblue")}];' for i, k, a, b in sorted(blocks)]
+    out += ["", *(f'{indent}n{a} -> n{b} [{EDGE_STYLE.get(k, "style=solid color=black")}];' for a, b, k in edges)]
+    return "\n".join(out) + "\n"
+
+
+def pdg_drawing(blocks: Iterable[tuple], edges: Iterable[tuple], title: str = "") -> str:
+    """A dependence graph in colours, with a title."""
+    head = f'  label="{title}";\n  labelloc=t;\n\n' if title else ""
+    return f"digraph PDG {{\n  rankdir=TB;\n  node [shape=box style=rounded];\n\n{head}{pdg_lines(blocks, edges)}}}\n"
+
+
+def pdg_dot(blocks: Iterable[tuple], edges: Iterable[tuple]) -> str:
+    """A dependence graph with the kinds of its edges as labels."""
+    out = ["digraph PDG {", *(f'  n{b[0]} [label="{block_label(*b)}"];' for b in sorted(blocks)), *(f'  n{a} -> n{b} [label="{k}"];' for a, b, k in edges)]
     return "\n".join([*out, "}"]) + "\n"
 
 
@@ -114,11 +127,15 @@ def code_lines(sources: DataFrame, spans: DataFrame) -> DataFrame:
     return lines.where((F.col("pos") + 1 >= F.col("line_start")) & (F.col("pos") + 1 <= F.col("line_end"))).select("file", (F.col("pos") + 1).alias("line"), "code").distinct()
 
 
-def type_graph_json(classes: DataFrame, methods: DataFrame) -> DataFrame:
-    """(name, json): a class with its methods as JSON, one row each."""
-    own = methods.groupBy(F.col("owner").alias("name")).agg(F.array_sort(F.collect_list(F.struct("ord", "method", "signature"))).alias("methods"))
-    rows = classes.join(own, "name", "left")
-    return rows.select("name", F.to_json(F.struct("name", "base_class", "is_abstract", "is_sealed", "is_static", "file", "methods")).alias("json"))
+def type_graph_json(facts: Facts) -> DataFrame:
+    """(kind, name, json): classes with their interfaces, methods and fields, and interfaces with their methods, one row each."""
+    of = lambda kind: facts.methods.where(F.col("owner_kind") == kind).groupBy(F.col("owner").alias("name")).agg(F.array_sort(F.collect_set(F.struct("ord", "method", "signature"))).alias("methods"))
+    faces = facts.class_iface.groupBy(F.col("class").alias("name")).agg(F.transform(F.array_sort(F.collect_set(F.struct("ord", "iface"))), lambda x: x["iface"]).alias("interfaces"))
+    fields = facts.fields.groupBy(F.col("owner").alias("name")).agg(F.array_sort(F.collect_set(F.struct("ord", F.col("name").alias("field"), "field_type", "is_static", "is_readonly"))).alias("fields"))
+    classes = facts.classes.join(of("class"), "name", "left").join(faces, "name", "left").join(fields, "name", "left")
+    one = F.to_json(F.struct("name", "base_class", "interfaces", "is_abstract", "is_sealed", "is_static", "file", "methods", "fields"))
+    rows = classes.select(F.lit("class").alias("kind"), "name", one.alias("json"))
+    return rows.unionByName(facts.interfaces.join(of("interface"), "name", "left").select(F.lit("interface").alias("kind"), "name", F.to_json(F.struct("name", "file", "methods")).alias("json")))
 
 
 def label_column(block_id: Column, kind: Column, start: Column, end: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import callgraph, fixpoint, graphs, impact, navigate, patterns, render, resolve
 from ..operators.facts import from_tables
-from ..session import cut
+from ..session import cut, stored
 from ..sources.csharp import frontend
 from ..sources.tables import table
 from .program import _facts, _more, query
@@ -44,23 +44,36 @@ def _(spark, d):
 @query(
     "OP-A3_call_tree",
     _inner(
-        f"""{_EDGES}, hop0 AS (SELECT DISTINCT caller_class, caller_method, callee_class, callee FROM call WHERE callee_class <> ''),
-        hop AS (SELECT DISTINCT caller_class, caller_method, coalesce(i.class, h.callee_class) AS callee_class, callee FROM hop0 h LEFT JOIN ci i ON i.iface = h.callee_class
-          WHERE i.class IS NULL OR EXISTS (SELECT 1 FROM defs x WHERE x.owner = i.class AND x.method = h.callee)),
-        top AS (SELECT src AS t FROM (SELECT src, sum(n) AS s FROM edge GROUP BY src) ORDER BY s DESC, src LIMIT 1),
-        tree AS (SELECT 1 AS level, callee_class, callee, [t, callee_class || '.' || callee] AS path, t = callee_class || '.' || callee AS cycle FROM top, hop WHERE caller_class || '.' || caller_method = t
-          UNION ALL SELECT level + 1, h.callee_class, h.callee, list_append(path, h.callee_class || '.' || h.callee), list_contains(path, h.callee_class || '.' || h.callee)
-          FROM tree JOIN hop h ON h.caller_class = tree.callee_class AND h.caller_method = tree.callee WHERE NOT cycle AND level < 3)""",
-        "SELECT level, callee_class, callee, array_to_string(path, ' > ') AS path, cycle FROM tree",
+        """per AS (SELECT caller_class, caller_method, callee, count(*) AS calls, arg_min(target_expr, site_id) AS via FROM call GROUP BY ALL),
+        dispatch AS (SELECT DISTINCT f.method AS callee, f.owner AS iface, s.class FROM met f JOIN sub s ON s.name = f.owner WHERE f.owner_kind = 'interface' AND f.owner IN (SELECT name FROM ifc)),
+        home AS (SELECT method, min(owner) AS owner FROM defs GROUP BY method),
+        hop AS (SELECT p.*, d.iface, CASE WHEN d.iface IS NOT NULL THEN d.class ELSE coalesce(c.name, s.owner) END AS class
+          FROM per p LEFT JOIN dispatch d ON d.callee = p.callee LEFT JOIN cls c ON c.name = p.via LEFT JOIN home s ON s.method = p.callee),
+        top AS (SELECT caller_class, caller_method, caller_class || '.' || caller_method AS t FROM call WHERE caller_class <> '' AND caller_method <> '' GROUP BY ALL ORDER BY count(*) DESC, t LIMIT 1),
+        tree AS (SELECT 1 AS level, [t] AS path, [t] AS seen, h.* FROM top JOIN hop h USING (caller_class, caller_method)
+          UNION ALL SELECT level + 1, list_append(path, w.class || '.' || w.callee), CASE WHEN stays THEN list_append(seen, w.class || '.' || w.callee) ELSE [w.class || '.' || w.callee] END, h.*
+          FROM (SELECT *, iface IS NULL AND class = caller_class AS stays FROM tree) w JOIN hop h ON h.caller_class = w.class AND h.caller_method = w.callee
+          WHERE NOT (stays AND list_contains(seen, w.class || '.' || w.callee)) AND level < 3)""",
+        """SELECT level, array_to_string(path, ' > ') AS path, callee, calls, via, iface, class,
+          coalesce(iface IS NULL AND class = caller_class AND list_contains(seen, class || '.' || callee), false) AS cycle FROM tree""",
     ),
 )
 def _(spark, d):
     f = _facts(spark, d)
-    busiest = impact.call_edges(f).groupBy("src").agg(F.sum("n").alias("s")).orderBy(F.desc("s"), "src").first()
-    cls, _dot, method = (busiest[0] if busiest else "").partition(".")
+    named = f.calls.where("caller_class <> '' and caller_method <> ''")
+    busiest = named.groupBy("caller_class", "caller_method").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.concat_ws(".", "caller_class", "caller_method")).first()
+    cls, method = busiest[:2] if busiest else ("", "")
     return callgraph.call_tree(f, cls, method, 3).withColumn("path", F.array_join("path", " > "))
 
 
+@query("OP-A3_call_hops", """SELECT p.caller_class, p.caller_method, p.callee, p.calls, p.via, d.iface, CASE WHEN d.iface IS NOT NULL THEN d.class ELSE coalesce(c.name, s.owner) END AS class
+    FROM (SELECT caller_class, caller_method, callee, count(*) AS calls, arg_min(target_expr, site_id) AS via FROM call GROUP BY ALL) p
+    LEFT JOIN (SELECT DISTINCT f.method AS callee, f.owner AS iface, s.class FROM met f JOIN sub s ON s.name = f.owner WHERE f.owner_kind = 'interface' AND f.owner IN (SELECT name FROM ifc)) d ON d.callee = p.callee
+    LEFT JOIN cls c ON c.name = p.via LEFT JOIN (SELECT method, min(owner) AS owner FROM defs GROUP BY method) s ON s.method = p.callee""")
+def _(spark, d):
+    return callgraph.call_hops(_facts(spark, d))
+
+
 @query("OP-A4_inbound", "SELECT callee, caller_class, count(*) AS calls, CASE WHEN count(*) = 1 THEN min(target_expr) ELSE '' END AS via FROM call GROUP BY callee, caller_class")
 def _(spark, d):
     return callgraph.inbound(_facts(spark, d))
@@ -84,7 +97,7 @@ _REACH = f"""{_EDGES}, top AS (SELECT {_TOP.format('edge')} AS t), above AS (SEL
 )
 def _(spark, d):
     f = _facts(spark, d)
-    return impact.impact(f, _most_called(impact.call_edges(f)))[0].select("id", "direct", "distinct_callers")
+    return impact.impact(f, _most_called(impact.call_edges(f)), walks=False)[0].select("id", "direct", "distinct_callers")
 
 
 @query("OP-A8_impact_nodes_whole")
@@ -97,7 +110,7 @@ def _(spark, d):
 @query("OP-A10_impact_edges", _inner(_REACH, "SELECT e.src AS caller, e.dst AS callee FROM edge e WHERE e.dst IN (SELECT id FROM above)"))
 def _(spark, d):
     f = _facts(spark, d)
-    return impact.impact(f, _most_called(impact.call_edges(f)))[1]
+    return impact.impact(f, _most_called(impact.call_edges(f)), walks=False)[1]
 
 
 @query("OP-A7_reachable", _inner(_REACH, "SELECT id FROM above"))
@@ -107,22 +120,7 @@ def _(spark, d):
     return fixpoint.reach(back, spark.createDataFrame([(_most_called(edges),)], "node string")).select(F.col("node").alias("id"))
 
 
-@query(
-    "OP-A9_walk_counts",
-    _inner(
-        f"""{_EDGES}, acyclic AS (SELECT * FROM edge WHERE src < dst), top AS (SELECT {_TOP.format('acyclic')} AS t),
-        w AS (SELECT src, 1 AS k, sum(n)::HUGEINT AS c FROM acyclic, top WHERE dst = t GROUP BY src UNION ALL SELECT e.src, w.k + 1, sum(w.c * e.n)::HUGEINT FROM w JOIN acyclic e ON e.dst = w.src GROUP BY e.src, w.k)""",
-        "SELECT t AS node, CAST((SELECT sum(c) FROM w) AS VARCHAR) AS walks FROM top",
-    ),
-)
-def _(spark, d):
-    """Walks by call edges that go up in the alphabet, so that none runs in circles."""
-    edges = impact.call_edges(_facts(spark, d)).where("src < dst")
-    target = _most_called(edges)
-    return fixpoint.walk_counts(edges, target).where(F.col("node") == target).select("node", F.col("walks").cast("string").alias("walks"))
-
-
-@query("OP-A9_walk_counts_whole")
+@query("OP-A9_walk_counts")
 def _(spark, d):
     """Walks over all edges for every node above the target, null below a cycle, which SQL cannot follow."""
     edges = cut(impact.call_edges(_facts(spark, d)))
@@ -167,6 +165,20 @@ def _(spark, d):
     return callgraph.by_directory(_facts(spark, d))
 
 
+@query(
+    "OP-A15_directory_report",
+    """SELECT directory, callee, calls, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY directory ORDER BY calls DESC, callee) AS rank FROM (
+      SELECT array_to_string(string_split(file, '/')[1:2], '/') AS directory, CASE WHEN is_creation AND created_type IS NOT NULL THEN 'new ' || created_type ELSE callee END AS callee, count(*) AS calls FROM call GROUP BY ALL)) WHERE rank <= 10""",
+)
+def _(spark, d):
+    return callgraph.directory_report(_facts(spark, d))
+
+
+@query("OP-R19_created_types", "SELECT DISTINCT class, created_type FROM cre")
+def _(spark, d):
+    return callgraph.created_types(_facts(spark, d))
+
+
 @query("OP-F14_delegates", "SELECT DISTINCT c.site_id, d AS delegate FROM (SELECT site_id, caller_class, unnest(delegates) AS d FROM call) c JOIN defs o ON o.owner = c.caller_class AND o.method = c.d")
 def _(spark, d):
     return callgraph.delegates(_facts(spark, d))
@@ -201,28 +213,7 @@ def _(spark, d):
     return navigate.edge_kinds(_facts(spark, d)).select("callee", "iface", F.size("options").cast("long").alias("options"))
 
 
-_UP = """loose AS (SELECT * FROM call WHERE callee_class = '' AND NOT coalesce(is_self_call, false) AND target_expr NOT IN (SELECT name FROM cls)),
-tiers AS (SELECT o.owner AS class, o.method, 1 AS tier, c.caller_class, c.caller_method FROM defs o JOIN call c ON c.callee_class = o.owner AND c.callee = o.method
-  UNION ALL SELECT o.owner, o.method, 1, c.caller_class, c.caller_method FROM (SELECT min(owner) AS owner, method FROM defs GROUP BY method HAVING count(*) = 1) o JOIN loose c ON c.callee = o.method
-  UNION ALL SELECT o.owner, o.method, 2, c.caller_class, c.caller_method FROM defs o JOIN (SELECT caller_class, caller_method, unnest(delegates) AS x FROM call) c ON c.x = o.method WHERE o.owner NOT IN (SELECT class FROM ci)
-  UNION ALL SELECT o.owner, o.method, 3, c.caller_class, c.caller_method FROM defs o JOIN ci ON ci.class = o.owner JOIN call c ON c.callee_class = ci.iface AND c.callee = o.method
-  UNION ALL SELECT o.owner, o.method, 4, c.caller_class, c.caller_method FROM defs o JOIN loose c ON c.callee = o.method WHERE o.owner IN (SELECT class FROM ci) AND c.caller_class <> o.owner)"""
-
-
-@query("OP-N6_up", _inner(_UP, "SELECT class, method, tier, caller_class, caller_method, count(*) AS sites FROM (SELECT * FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY class, method)) GROUP BY ALL"))
-def _(spark, d):
-    return navigate.up_of_classes(_facts(spark, d))
-
-
-@query(
-    "OP-N7_up_by_class",
-    _inner(_UP, "SELECT class, method, caller_class, min(caller_method) AS first_method, count(DISTINCT caller_method) AS methods FROM (SELECT * FROM tiers QUALIFY tier = min(tier) OVER (PARTITION BY class, method)) GROUP BY ALL"),
-)
-def _(spark, d):
-    return navigate.up_by_class(navigate.up_of_classes(_facts(spark, d)))
-
-
-_UP_WHOLE = """free AS (SELECT * FROM call WHERE callee_class = ''), single AS (SELECT method FROM defs GROUP BY method HAVING count(*) = 1),
+_UP = """free AS (SELECT * FROM call WHERE callee_class = ''), single AS (SELECT method FROM defs GROUP BY method HAVING count(*) = 1),
 faced AS (SELECT name FROM ifc UNION SELECT iface FROM ci UNION SELECT owner FROM met WHERE owner_kind = 'interface'), node AS (SELECT DISTINCT owner, method FROM met WHERE owner_kind IN ('class', 'interface')),
 face AS (SELECT * FROM node WHERE owner IN (SELECT name FROM faced)), own AS (SELECT * FROM node WHERE owner NOT IN (SELECT name FROM faced)),
 given AS (SELECT caller_class, caller_method, x FROM (SELECT caller_class, caller_method, unnest(list_distinct(delegates)) AS x FROM call) WHERE caller_method <> x),
@@ -240,17 +231,19 @@ whole AS (SELECT class, method, 0 AS tier, false AS delegate, caller_class, call
   UNION ALL SELECT p.class, p.method, p.tier, true, g.caller_class, g.caller_method, 1 FROM placed p JOIN given g ON g.x = p.method)"""
 
 
-@query("OP-N6_up_whole", _inner(_UP_WHOLE, "SELECT class, method, tier, delegate, caller_class, caller_method, CAST(sum(n) AS BIGINT) AS sites FROM whole GROUP BY ALL"))
+@query("OP-N6_up", _inner(_UP, "SELECT class, method, tier, delegate, caller_class, caller_method, CAST(sum(n) AS BIGINT) AS sites FROM whole GROUP BY ALL"))
 def _(spark, d):
     return navigate.up(_facts(spark, d))
 
 
-@query("OP-N7_up_by_class_whole", _inner(_UP_WHOLE, "SELECT class, method, caller_class, min(caller_method) AS first_method, count(DISTINCT caller_method) AS methods FROM whole GROUP BY ALL"))
+@query("OP-N7_up_by_class", _inner(_UP, "SELECT class, method, caller_class, min(caller_method) AS first_method, count(DISTINCT caller_method) AS methods FROM whole GROUP BY ALL"))
 def _(spark, d):
     return navigate.up_by_class(navigate.up(_facts(spark, d)))
 
 
-@query("OP-N8_matching_interfaces", "SELECT DISTINCT o.owner AS class, o.method, ci.iface FROM defs o JOIN ci ON ci.class = o.owner")
+@query("OP-N8_matching_interfaces", """SELECT o.owner AS class, o.method, ci.iface FROM defs o JOIN cls ON cls.name = o.owner JOIN ci ON ci.class = o.owner
+    UNION SELECT ci.class, m.method, ci.iface FROM ci JOIN cls ON cls.name = ci.class JOIN met m ON m.owner = ci.iface AND m.owner_kind = 'interface' WHERE m.owner IN (SELECT name FROM ifc)
+      AND NOT EXISTS (SELECT 1 FROM defs o WHERE o.owner = ci.class AND o.method = m.method)""")
 def _(spark, d):
     return navigate.matching_interfaces(_facts(spark, d))
 
@@ -271,48 +264,48 @@ def _(spark, d):
 # ---- frontend over the source texts
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return frontend.parse(table(spark, d, "sources"))
+def _parsed(spark: SparkSession, d: str, *relations: str, compat: bool = True) -> DataFrame:
+    return frontend.parse(table(spark, d, "sources"), compat, relations=relations or None)
 
 
 @query("OP-F3_types")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "types").select("file", "name", "kind", "base_class", F.array_join("interfaces", ",").alias("interfaces"), "is_abstract", "is_sealed", "is_static")
+    return frontend.relation(_parsed(spark, d, "types"), "types").select("file", "name", "kind", "base_class", F.array_join("interfaces", ",").alias("interfaces"), "is_abstract", "is_sealed", "is_static")
 
 
 @query("OP-F6_methods")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "methods").select("file", "owner", "owner_kind", "method", "signature", "line_start", "line_end")
+    return frontend.relation(_parsed(spark, d, "methods"), "methods").select("file", "owner", "owner_kind", "method", "signature", "line_start", "line_end")
 
 
 @query("OP-F8_fields")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "fields")
+    return frontend.relation(_parsed(spark, d, "fields"), "fields")
 
 
 @query("OP-F12_calls")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "calls").drop("delegates")
+    return frontend.relation(_parsed(spark, d, "calls"), "calls").drop("delegates")
 
 
 @query("OP-F16_creations")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "creations")
+    return frontend.relation(_parsed(spark, d, "creations"), "creations")
 
 
 @query("OP-C0_blocks")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "blocks")
+    return frontend.relation(_parsed(spark, d, "blocks"), "blocks")
 
 
 @query("OP-C1_edges")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "edges")
+    return frontend.relation(_parsed(spark, d, "edges"), "edges")
 
 
 @query("OP-U1_routes")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "routes")
+    return frontend.relation(_parsed(spark, d, "routes"), "routes")
 
 
 @query("OP-S3_errors")
@@ -322,8 +315,8 @@ def _(spark, d):
 
 @query("OP-G11_dependence_graph")
 def _(spark, d):
-    p = _parsed(spark, d)
-    return graphs.dependence_graph(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), compat=False)
+    p = _parsed(spark, d, "blocks", "edges", "names", compat=False)
+    return graphs.dependence_graph(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), compat=False, names=frontend.relation(p, "names"))
 
 
 @query("OP-S16_code", "SELECT DISTINCT file, CAST(k AS INT) AS line, rtrim(code, chr(13)) AS code FROM (SELECT m.file, line_start, line_end, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT DISTINCT file, line_start, line_end FROM met) m JOIN sources s ON s.file = m.file) WHERE k BETWEEN line_start AND line_end")
@@ -405,14 +398,14 @@ def _(spark, d):
 
 @query("OP-G12_control_context")
 def _(spark, d):
-    p = _parsed(spark, d)
+    p = _parsed(spark, d, "blocks", "edges", "calls")
     lines = frontend.relation(p, "calls").select("file", "line").distinct()
     return graphs.control_context(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), lines, table(spark, d, "sources")).select("file", "line", F.array_join("conditions", "; ").alias("conditions"))
 
 
 @query("OP-G10_data_dependence")
 def _(spark, d):
-    p = frontend.parse(table(spark, d, "sources"), compat=False)
+    p = _parsed(spark, d, "blocks", "edges", "names", compat=False)
     return graphs.data_dependences(frontend.relation(p, "blocks"), frontend.relation(p, "edges"), frontend.relation(p, "names"))
 
 
@@ -439,7 +432,7 @@ def _(spark, d):
 
 @query("OP-R10_parsed_di_calls")
 def _(spark, d):
-    return resolve.di_calls(frontend.facts_of(_parsed(spark, d)))
+    return resolve.di_calls(frontend.facts_of(_parsed(spark, d, *frontend.FACTS)))
 
 
 @query(
@@ -458,7 +451,7 @@ def _(spark, d):
 
 @query("OP-N10_contexts")
 def _(spark, d):
-    p = _parsed(spark, d)
+    p = stored(_parsed(spark, d, "blocks", "edges", "arguments", *frontend.FACTS), "parsed")
     f = frontend.facts_of(p)
     lines = f.calls.select("file", "line").distinct()
     sources = table(spark, d, "sources").select("file", "text")
@@ -468,41 +461,41 @@ def _(spark, d):
 
 @query("OP-F2_statements")
 def _(spark, d):
-    return frontend.relation(_parsed(spark, d), "statements")
+    return frontend.relation(_parsed(spark, d, "statements"), "statements")
 
 
 @query("OP-G13_data_context")
 def _(spark, d):
-    return graphs.data_context(frontend.relation(_parsed(spark, d), "arguments"), table(spark, d, "sources").select("file", "text"))
+    return graphs.data_context(frontend.relation(_parsed(spark, d, "arguments"), "arguments"), table(spark, d, "sources").select("file", "text"))
 
 
 @query("OP-S7_type_graph")
 def _(spark, d):
-    f = _facts(spark, d)
-    return render.type_graph_json(f.classes, f.methods)
+    f = _more(spark, d)
+    return render.type_graph_json(f)
 
 
 @query("OP-S10_cfg_dot")
 def _(spark, d):
-    p = _parsed(spark, d)
+    p = _parsed(spark, d, "blocks", "edges")
     return render.cfg_dots(frontend.relation(p, "blocks"), frontend.relation(p, "edges"))
 
 
 @query("OP-U8_route_report")
 def _(spark, d):
-    return render.route_report(frontend.relation(_parsed(spark, d), "routes"))
+    return render.route_report(frontend.relation(_parsed(spark, d, "routes"), "routes"))
 
 
 @query("OP-S5_parsed_project")
 def _(spark, d):
-    f = frontend.facts_of(_parsed(spark, d))
+    f = frontend.facts_of(_parsed(spark, d, *frontend.FACTS))
     counted = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("relation"), "n") for k, df in (("classes", f.classes), ("interfaces", f.interfaces), ("methods", f.methods), ("calls", f.calls), ("fields", f.fields))]
     return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3]).unionByName(counted[4])
 
 
 @query("OP-D0_parsed")
 def _(spark, d):
-    return patterns.hits(patterns.detect(frontend.facts_of(_parsed(spark, d), "first").settled()))
+    return patterns.hits(patterns.detect(frontend.facts_of(_parsed(spark, d, *frontend.FACTS), "first").settled()))
 
 
 # the checks are registered with the program's; this module names its own share of them

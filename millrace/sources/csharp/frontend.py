@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,10 +27,12 @@ _STRUCTS = {
     "arguments": "call_ord int, line int, name string",
     "routes": "ord int, http_method string, path string, class string, handler string, source string",
 }
-SCHEMA = "file string, error string, " + ", ".join(f"{k} array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _split)}>>" for k, v in _STRUCTS.items() for _split in [v.split(", ")])
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 _LISTS = {k: pa.list_(pa.struct([(n, _ARROW[t]) for n, t in (x.split(" ", 1) for x in v.split(", "))])) for k, v in _STRUCTS.items()}
 
+#: The relations ``facts_of`` reads.
+FACTS = ("types", "methods", "fields", "calls", "creations")
+
 # Attributes and calls that make routes.
 HTTP_VERBS = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpDelete": "DELETE", "HttpPatch": "PATCH"}
 MAP_VERBS = {"MapGet": "GET", "MapPost": "POST", "MapPut": "PUT", "MapDelete": "DELETE", "MapPatch": "PATCH"}
@@ -130,8 +132,8 @@ def _names(tokens: list, first: int, last: int, loop: bool = False) -> tuple[lis
     return list(defs), list(uses)
 
 
-def parse_text(text: str, compat: bool = True) -> dict:
-    """All facts of one text."""
+def parse_text(text: str, compat: bool = True, relations: frozenset[str] = frozenset(_LISTS)) -> dict:
+    """The facts of one text; ``relations`` are those wanted, the rest may be left empty."""
     file = File(text)
     faces = {t.name for t in file.types if t.kind == "interface"}
     classes = {t.name for t in file.types if t.kind != "interface" and t.kind != "enum"}
@@ -164,7 +166,7 @@ def parse_text(text: str, compat: bool = True) -> dict:
         for k, c in enumerate(c for c in file.calls if (c.caller_class, c.caller_method) in ok)
     ]
     blocks, edges, names = [], [], []
-    for k, (m, g) in enumerate(cfg.graphs(file, strict=not compat)):
+    for k, (m, g) in enumerate(cfg.graphs(file, strict=not compat) if relations & {"blocks", "edges", "names"} else ()):
         blocks += [{"method_ord": k, "owner": m.owner, "method": m.name, "id": i, "kind": kind, "start_line": a, "end_line": b} for i, kind, a, b in g.blocks]
         edges += [{"method_ord": k, "edge_ord": n, "src": a, "dst": b, "kind": kind} for n, (a, b, kind) in enumerate(g.edges)]
         if not compat:
@@ -173,20 +175,24 @@ def parse_text(text: str, compat: bool = True) -> dict:
                 names.append({"method_ord": k, "id": i, "defs": defs, "uses": uses})
     statements = [
         {"method_ord": k, "ord": n, "depth": depth, "kind": x.kind, "start_line": x.start, "end_line": x.end}
-        for k, m in enumerate(m for m in file.methods if m.body)
+        for k, m in enumerate(m for m in file.methods if m.body and "statements" in relations)
         for n, (depth, x) in enumerate(_flat(file.statements(m)))
     ]
     arguments = [{"call_ord": c["ord"], "line": c["line"], "name": a} for c in calls for a in c["delegates"]]
     creations = [{"class": c, "created_type": t} for c, t in dict.fromkeys(file.creations)]
-    return {"types": types, "methods": methods, "fields": fields, "calls": calls, "creations": creations, "blocks": blocks, "edges": edges, "names": names, "statements": statements, "arguments": arguments, "routes": _routes(file)}
+    return {"types": types, "methods": methods, "fields": fields, "calls": calls, "creations": creations, "blocks": blocks, "edges": edges, "names": names, "statements": statements, "arguments": arguments, "routes": _routes(file) if "routes" in relations else []}
 
 
-def parse(sources: DataFrame, compat: bool = True, file: str = "file", text: str = "text") -> DataFrame:
-    """One row per file with all its facts as arrays; ``error`` tells why a file could not be read, its arrays are empty then.
+def parse(sources: DataFrame, compat: bool = True, file: str = "file", text: str = "text", relations: Iterable[str] | None = None) -> DataFrame:
+    """One row per file with its facts as arrays; ``error`` tells why a file could not be read, its arrays are empty then.
 
-    Null texts are skipped. Texts in other languages give what happens to look like C#.
+    ``relations``: the arrays wanted, all by default; others are left out. Null texts are skipped. Texts in other languages give what happens to look like C#.
     """
 
+    wanted = frozenset(_LISTS if relations is None else relations)
+    lists = {k: v for k, v in _LISTS.items() if k in wanted}
+    schema = "file string, error string" + "".join(f", {k} array<struct<{', '.join(x.replace(' ', ': ', 1) for x in _STRUCTS[k].split(', '))}>>" for k in lists)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 200):
@@ -194,14 +200,14 @@ def parse(sources: DataFrame, compat: bool = True, file: str = "file", text: str
                 rows, errors = [], []
                 for t in part.column(1).to_pylist():
                     try:
-                        rows.append(parse_text(t, compat))
+                        rows.append(parse_text(t, compat, wanted))
                         errors.append(None)
                     except (RecursionError, IndexError, ValueError, TypeError) as e:
-                        rows.append({k: [] for k in _LISTS})
+                        rows.append({k: [] for k in lists})
                         errors.append(f"{type(e).__name__}: {e}"[:200])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(errors, pa.string()), *(pa.array([r[k] for r in rows], kind) for k, kind in _LISTS.items())], ["file", "error", *_LISTS])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(errors, pa.string()), *(pa.array([r[k] for r in rows], kind) for k, kind in lists.items())], ["file", "error", *lists])
 
-    return sources.select(F.col(file).alias("file"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, SCHEMA)
+    return sources.select(F.col(file).alias("file"), F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, schema)
 
 
 def relation(parsed: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ from .test_program import DATA, duck, plain  # noqa: F401
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", ["OP-N6_up_whole", "OP-N7_up_by_class_whole"])
+@pytest.mark.parametrize("name", ["OP-N6_up", "OP-N7_up_by_class"])
 def test_against_sql(spark, duck, name):  # noqa: F811
     df = __spark_entry__.queries()[name](spark, DATA)
     cur = duck.execute(__spark_entry__.oracle_sql()[name])
@@ -69,7 +69,7 @@ def test_walks_over_all_edges(spark):
     want = walks_above(edges)
     assert len(want) > 1
     queries = __spark_entry__.queries()
-    assert {r.node: r.walks for r in queries["OP-A9_walk_counts_whole"](spark, DATA).collect()} == want
+    assert {r.node: r.walks for r in queries["OP-A9_walk_counts"](spark, DATA).collect()} == want
     assert {r.id: r.transitive for r in queries["OP-A8_impact_nodes_whole"](spark, DATA).collect()} == want
 
 
