@@ -11,10 +11,11 @@ from ..session import cut, stored
 from ..sources.csharp import frontend
 from ..sources.tables import table
 from .program import _facts, _more, query
-from .program import ORACLES as _program_oracles
-from .program import QUERIES as _program_queries
+from . import generated
+from .program import ORACLES as ORACLES_ALL
+from .program import QUERIES as QUERIES_ALL
 
-_before = set(_program_queries)
+_before = set(QUERIES_ALL)
 
 # ---- call graph
 
@@ -336,6 +337,57 @@ def _(spark, d):
     return rows.withColumn("path", frontend.route_path(F.col("base"), F.col("sub")))
 
 
+# ---- frontend over programs made from the parts, against lists of what is in them
+
+_FLOW = [k for k, text in enumerate(generated.PROGRAMS) if any(r[0] == k for r in generated.FACTS["blocks"])]
+
+
+def _made(spark: SparkSession, d: str, *relations: str) -> DataFrame:
+    return frontend.parse(generated.sources(spark, d), relations=relations)
+
+
+for _name, _relation in {
+    "OP-F3_made_types": "types", "OP-F6_made_methods": "methods", "OP-F8_made_fields": "fields", "OP-F12_made_calls": "calls", "OP-F16_made_creations": "creations", "OP-U1_made_routes": "routes",
+}.items():
+
+    def _made_relation(spark, d, relation=_relation):
+        return generated.shown(_made(spark, d, relation), relation)
+
+    QUERIES_ALL[_name], ORACLES_ALL[_name] = _made_relation, generated.expected(_relation)
+
+for _name, _relation in {"OP-C0_made_blocks": "blocks", "OP-C1_made_edges": "edges"}.items():
+
+    def _made_flow(spark, d, relation=_relation):
+        rows = generated.shown(_made(spark, d, relation), relation)
+        part = F.regexp_extract("file", r"(\d+)", 1).cast("long") % len(generated.PROGRAMS)
+        return rows.where(part.isin(_FLOW))
+
+    QUERIES_ALL[_name], ORACLES_ALL[_name] = _made_flow, generated.expected(_relation)
+
+
+def _made_count(table_: str, where: str = "true") -> str:
+    """Number of rows of an expected relation over all parts."""
+    return f"SELECT count(*) FROM ({generated.expected(table_)}) WHERE {where}"
+
+
+QUERIES_ALL["OP-S5_made_project"], ORACLES_ALL["OP-S5_made_project"] = (
+    lambda spark, d: _counted(frontend.facts_of(_made(spark, d, *frontend.FACTS))),
+    f"""SELECT 'classes' AS relation, ({_made_count('types', "kind = 'class'")}) AS n UNION ALL SELECT 'interfaces', ({_made_count('types', "kind = 'interface'")})
+    UNION ALL SELECT 'methods', ({_made_count('methods')}) UNION ALL SELECT 'calls', ({_made_count('calls')}) UNION ALL SELECT 'fields', ({_made_count('fields')})""",
+)
+QUERIES_ALL["OP-U8_made_report"], ORACLES_ALL["OP-U8_made_report"] = (
+    lambda spark, d: render.route_report(frontend.relation(_made(spark, d, "routes"), "routes")),
+    f"""SELECT source, class, count(*) AS routes, string_agg(lpad(http_method, 6, ' ') || '  ' || rpad(path, 30, ' ') || '  ' || handler, chr(10) ORDER BY file, ord) AS listing FROM ({generated.expected('routes')}) GROUP BY ALL""",
+)
+
+
+@query("OP-S3_made_errors", "SELECT CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS error, count(*) AS files FROM part")
+def _(spark, d):
+    """No program fails: all files come out in one group without an error."""
+    rows = _made(spark, d, *frontend.FACTS)
+    return rows.groupBy(F.when(F.col("error").isNotNull(), F.col("file")).alias("file"), "error").agg(F.count("*").alias("files"))
+
+
 # ---- graphs of single methods, over the events of a user as a method: event i goes on to i + 1, a click also skips one, a purchase loops
 
 _CFG = """ev AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -488,7 +540,10 @@ def _(spark, d):
 
 @query("OP-S5_parsed_project")
 def _(spark, d):
-    f = frontend.facts_of(_parsed(spark, d, *frontend.FACTS))
+    return _counted(frontend.facts_of(_parsed(spark, d, *frontend.FACTS)))
+
+
+def _counted(f) -> DataFrame:
     counted = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("relation"), "n") for k, df in (("classes", f.classes), ("interfaces", f.interfaces), ("methods", f.methods), ("calls", f.calls), ("fields", f.fields))]
     return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3]).unionByName(counted[4])
 
@@ -499,5 +554,5 @@ def _(spark, d):
 
 
 # the checks are registered with the program's; this module names its own share of them
-QUERIES = {k: v for k, v in _program_queries.items() if k not in _before}
-ORACLES = {k: v for k, v in _program_oracles.items() if k in QUERIES}
+QUERIES = {k: v for k, v in QUERIES_ALL.items() if k not in _before}
+ORACLES = {k: v for k, v in ORACLES_ALL.items() if k in QUERIES}

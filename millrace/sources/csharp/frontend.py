@@ -73,12 +73,12 @@ def _routes(file: File) -> list[dict]:
 
 
 def _owners(file: File, t: Type, compat: bool) -> list[Method]:
-    """The methods credited to a type; in compatible mode those of nested types too."""
+    """The methods credited to a type, as they appear; in compatible mode those of nested types too."""
     own = list(t.methods)
     if compat:
         for inner in t.types:
             own += _owners(file, inner, compat)
-    return own
+    return sorted(own, key=lambda m: m.rest[0])
 
 
 def _callable(file: File, m: Method, types: dict[str, list[Type]]) -> bool:
