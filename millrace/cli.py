@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from collections import defaultdict
 
@@ -63,7 +64,8 @@ def _class_calls(facts, args) -> str:
         out.append("Outbound calls:")
         if args.trace:
             starts = facts.calls.select(F.col("caller_class").alias("owner"), F.col("caller_method").alias("method")).distinct().join(own, ["owner", "method"], "left_semi")
-            out += [_table(callgraph.call_tree(facts, *node, depth=args.depth).orderBy("path")) for node in starts.orderBy("owner", "method").collect()]
+            for node in starts.orderBy("owner", "method").collect():
+                out += [".".join(node), _table(render.call_tree_lines(callgraph.call_tree(facts, *node, depth=args.depth)))]
         else:
             view = callgraph.outbound(facts).join(names.select(F.col("name").alias("caller_class")), "caller_class", "left_semi")
             out.append(_table(view.orderBy("caller_class", "caller_method", "callee")))
@@ -97,8 +99,11 @@ def run(spark, args) -> str:
         drawn = graphs.dependence_graph(blocks, edges, compat=False, names=frontend.relation(parsed, "names")) if args.command == "pdg" else edges
         for r in drawn.orderBy("file", "method_ord", *(["src", "dst", "kind"] if args.command == "pdg" else ["edge_ord"])).toLocalIterator():
             arrows[tuple(r[c] for c in part)].append((r.src, r.dst, r.kind))
-        one = render.cfg_json if args.format == "json" else render.pdg_dot if args.command == "pdg" else render.cfg_dot
-        return "\n".join((f"// {' '.join(map(str, k))}\n" if len(nodes) > 1 and args.format == "dot" else "") + one(nodes[k], arrows[k]) for k in nodes)
+        if args.format == "json":
+            found = [{**dict(zip(part, k)), **json.loads(render.cfg_json(nodes[k], arrows[k]))} for k in nodes]
+            return render.cfg_json(*next(((nodes[k], arrows[k]) for k in nodes), ([], []))) if len(found) < 2 else json.dumps({"graphs": found}, indent=2)
+        one = render.pdg_dot if args.command == "pdg" else render.cfg_dot
+        return "\n".join((f"// {' '.join(map(str, k))}\n" if len(nodes) > 1 else "") + one(nodes[k], arrows[k]) for k in nodes)
     if args.command == "route":
         rows = frontend.relation(parsed, "routes").orderBy("source", "class", "file", "ord").collect()
         if args.json:

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .facts import Facts, first_word, is_accessor, parameter_text
 from .types import ancestors, concrete_subtypes
 
@@ -45,11 +46,29 @@ class Context:
 
     @cached_property
     def above(self) -> DataFrame:
-        return ancestors(self.facts)
+        return stored(ancestors(self.facts), "above")
 
     @cached_property
     def subtypes(self) -> DataFrame:
-        return concrete_subtypes(self.facts, self.above)
+        return stored(concrete_subtypes(self.facts, self.above), "subtypes")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(owner, subs): how many concrete subtypes each type has."""
+        return stored(self.subtypes.groupBy(F.col("name").alias("owner")).agg(F.count("*").alias("subs")), "counts")
+
+    @cached_property
+    def faces(self) -> DataFrame:
+        """(owner, n, methods, one, one_ret): the methods of each interface that are no accessors."""
+        real = self.face.where(~F.col("accessor"))
+        return stored(real.groupBy("owner").agg(F.count("*").alias("n"), F.collect_list("method").alias("methods"), F.min("method").alias("one"), F.min("ret1").alias("one_ret")), "faces")
+
+    @cached_property
+    def direct(self) -> DataFrame:
+        """(owner, n_direct, one_class): non-abstract classes that list the interface themselves."""
+        solid = self.classes.where("not is_abstract").select(F.col("name").alias("class"))
+        per = self.links.join(solid, "class", "left_semi").groupBy(F.col("iface").alias("owner"))
+        return stored(per.agg(F.countDistinct("class").alias("n_direct"), F.min("class").alias("one_class")), "direct")
 
 
 def context(facts: Facts, use_callgraph: bool = True, source_text: str = "") -> Context:
@@ -81,22 +100,6 @@ def _open_types(c: Context) -> DataFrame:
     return c.interfaces.select("name").unionByName(c.classes.where("is_abstract").select("name")).distinct()
 
 
-def _subtype_counts(c: Context) -> DataFrame:
-    return c.subtypes.groupBy(F.col("name").alias("owner")).agg(F.count("*").alias("subs"), F.collect_list("class").alias("sub_names"))
-
-
-def _faces(c: Context) -> DataFrame:
-    """(owner, n, methods, one, one_ret, one_signature): the methods of each interface that are no accessors."""
-    real = c.face.where(~F.col("accessor"))
-    return real.groupBy("owner").agg(F.count("*").alias("n"), F.collect_list("method").alias("methods"), F.min("method").alias("one"), F.min("ret1").alias("one_ret"))
-
-
-def _direct(c: Context) -> DataFrame:
-    """(owner, n_direct, one_class): non-abstract classes that list the interface themselves."""
-    solid = c.classes.where("not is_abstract").select(F.col("name").alias("class"))
-    return c.links.join(solid, "class", "left_semi").groupBy(F.col("iface").alias("owner")).agg(F.countDistinct("class").alias("n_direct"), F.min("class").alias("one_class"))
-
-
 def singleton(c: Context) -> DataFrame:
     rows = c.own.where("is_static and ret1 = owner").groupBy("owner").agg(F.collect_list("method").alias("m"))
     return _found(rows, "Singleton", 0.9, evidence=F.col("m"))
@@ -135,7 +138,7 @@ def composite(c: Context) -> DataFrame:
     rows = methods.where(~F.col("accessor")).groupBy("kind", "owner").agg(
         F.count("*").alias("n"), F.bool_or(F.expr("ret1 = owner")).alias("own"), F.bool_or(F.expr("ret1 = 'void'")).alias("void"), F.bool_or(F.expr("ret1 <> 'void'")).alias("other")
     )
-    rows = rows.where("n >= 2 and (own or (n >= 3 and void and other))").join(_subtype_counts(c), "owner").where("subs >= 2")
+    rows = rows.where("n >= 2 and (own or (n >= 3 and void and other))").join(c.counts, "owner").where("subs >= 2")
     return _found(rows, "Composite", F.when(F.col("own"), 0.85).otherwise(0.65), evidence=F.array(F.concat(F.lit("implementations: "), F.col("subs").cast("string"))))
 
 
@@ -169,7 +172,7 @@ def decorator(c: Context) -> DataFrame:
 def bridge(c: Context) -> DataFrame:
     first = c.links.groupBy("class").agg(F.min_by("iface", F.struct("ord", "iface")).alias("iface"))
     rows = c.classes.where("is_abstract").select(F.col("name").alias("class")).join(first, "class").join(c.interfaces.select(F.col("name").alias("iface")), "iface", "left_semi")
-    rows = rows.withColumnRenamed("class", "owner").join(_subtype_counts(c), "owner").where("subs >= 2")
+    rows = rows.withColumnRenamed("class", "owner").join(c.counts, "owner").where("subs >= 2")
     return _found(rows, "Bridge", 0.6, F.array("owner", "iface"), F.array(F.concat(F.lit("subclasses: "), F.col("subs").cast("string"))))
 
 
@@ -202,8 +205,9 @@ def _mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 def strategy_command_state(c: Context) -> DataFrame:
     """One interface method M with at least two implementors; the call graph decides between the three."""
-    one = _faces(c).where("n = 1").join(_subtype_counts(c), "owner").where("subs >= 2").select("owner", F.col("one").alias("m"), "sub_names")
-    impl = one.select("owner", "m", F.explode("sub_names").alias("impl"))
+    few = c.faces.where("n = 1").join(c.counts, "owner").where("subs >= 2").select("owner", F.col("one").alias("m"))
+    impl = stored(few.join(c.subtypes.select(F.col("name").alias("owner"), F.col("class").alias("impl")), "owner"), "implementors")
+    one = impl.groupBy("owner", "m").agg(F.collect_list("impl").alias("sub_names"))
     used = _mentions(c.own.select(F.col("owner").alias("user"), "between"), one.select("owner"))
     outside = used.join(impl.select("owner", F.col("impl").alias("user")), ["owner", "user"], "left_anti").select("owner").distinct().withColumn("p", F.lit(True))
     named_ = F.col("m").isin(COMMAND_NAMES)
@@ -239,7 +243,7 @@ def observer(c: Context) -> DataFrame:
 
 
 def mediator(c: Context) -> DataFrame:
-    rows = _faces(c).where("n >= 2").join(_direct(c).where("n_direct = 1"), "owner")
+    rows = c.faces.where("n >= 2").join(c.direct.where("n_direct = 1"), "owner")
     if c.calls is not None:
         out = c.calls.where("callee_class <> '' and callee_class <> caller_class").select(F.col("caller_class").alias("one_class"), F.col("callee_class").alias("t")).distinct()
         out = out.join(c.interfaces.select(F.col("name").alias("t")), "t", "left_anti").join(c.links.select(F.col("class").alias("one_class"), F.col("iface").alias("t")), ["one_class", "t"], "left_anti")
@@ -252,34 +256,35 @@ def mediator(c: Context) -> DataFrame:
 
 
 def dotnet_mediator(c: Context) -> DataFrame:
-    faces, direct = _faces(c), _direct(c)
-    chief = faces.where("n >= 2").join(direct.where("n_direct = 1"), "owner").agg(F.min_by(F.struct("owner", "one_class"), "owner").alias("x")).select("x.owner", "x.one_class")
+    """The first interface by name with one implementor, and the interfaces handled by several; else what the call graph shows of MediatR."""
+    faces, direct, k = c.faces, c.direct, F.lit(1).alias("k")
+    chief = faces.where("n >= 2").join(direct.where("n_direct = 1"), "owner").agg(F.min_by(F.struct("owner", "one_class"), "owner").alias("x")).select("x.owner", "x.one_class", k)
     chief = chief.where("owner is not null")
     spoken = c.links.select(F.col("class").alias("one_class"), F.col("iface").alias("h")).join(F.broadcast(chief.select("one_class")), "one_class", "left_semi")
     handled = faces.where("n = 1").join(direct.where("n_direct >= 2"), "owner").select(F.col("owner").alias("h")).join(spoken.select("h"), "h", "left_anti")
-    names = [r[0] for r in handled.orderBy("h").collect()]  # interfaces with handlers, as the result lists them
-    first = chief.where(F.lit(len(names) >= 2))
-    listed = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
-    rows = _found(first, "DotnetMediator", 0.85, F.concat(F.array("owner"), listed), listed)
-    if len(names) >= 2 and first.limit(1).count() or c.calls is None:
+    listed = handled.agg(F.array_sort(F.collect_list("h")).alias("names")).select("names", k)
+    first = stored(chief.join(listed, "k").where(F.size("names") >= 2), "mediator")
+    rows = _found(first, "DotnetMediator", 0.85, F.concat(F.array("owner"), "names"), F.col("names"))
+    if c.calls is None:
         return rows
     solid = c.classes.where("not is_abstract").select(F.col("name").alias("class"))
     handles = c.own.where("method = 'Handle'").select(F.col("owner").alias("class")).distinct()
     typed = c.links.join(solid, "class", "left_semi").join(handles, "class", "left_semi")
-    n = typed.agg(F.count_distinct(F.when(F.contains("iface", F.lit("Handler")), F.col("class"))).alias("handlers"), F.count_distinct(F.when(F.contains("iface", F.lit("Behavior")), F.col("class"))).alias("behaviors")).first()
-    k = c.calls.agg(F.count_if(F.col("callee").isin("Send", "Publish")).alias("sends"), F.count_if(F.col("callee") == "AddMediatR").alias("adds")).first()
-    graph = c.classes.sparkSession.createDataFrame([("MediatR", 0.85 if k["adds"] or n["behaviors"] else 0.7, n["handlers"], k["sends"])], "owner string, c double, h long, s long").where("h >= 2 and s >= 1")
+    held = lambda word: F.count_distinct(F.when(F.contains("iface", F.lit(word)), F.col("class")))
+    n = typed.agg(held("Handler").alias("h"), held("Behavior").alias("b")).select("h", "b", k)
+    said = c.calls.agg(F.count_if(F.col("callee").isin("Send", "Publish")).alias("s"), F.count_if(F.col("callee") == "AddMediatR").alias("a")).select("s", "a", k)
+    graph = n.join(said, "k").where("h >= 2 and s >= 1").join(first.select("k"), "k", "left_anti").withColumn("owner", F.lit("MediatR"))
     evidence = F.array(F.concat(F.lit("handlers: "), F.col("h").cast("string")), F.concat(F.lit("sends: "), F.col("s").cast("string")))
-    return rows.unionByName(_found(graph, "DotnetMediator", F.col("c"), evidence=evidence))
+    return rows.unionByName(_found(graph, "DotnetMediator", F.when((F.col("a") > 0) | (F.col("b") > 0), 0.85).otherwise(0.7), evidence=evidence))
 
 
 def chain_of_responsibility(c: Context) -> DataFrame:
-    rows = _faces(c).where("n >= 2").join(_subtype_counts(c), "owner").where("subs >= 2")
+    rows = c.faces.where("n >= 2").join(c.counts, "owner").where("subs >= 2")
     return _found(rows, "ChainOfResponsibility", 0.5, evidence=F.array(F.concat(F.lit("implementations: "), F.col("subs").cast("string"))))
 
 
 def handler(c: Context) -> DataFrame:
-    rows = _faces(c).where("n = 1").join(_subtype_counts(c), "owner").where("subs >= 2").select("owner")
+    rows = c.faces.where("n = 1").join(c.counts, "owner").where("subs >= 2").select("owner")
     return _found(rows.where(F.lit(rows.limit(2).count() >= 2)), "Handler", 0.7)
 
 
@@ -292,8 +297,8 @@ def template_method(c: Context) -> DataFrame:
 
 def visitor(c: Context) -> DataFrame:
     """Element interfaces with the first other interface of several methods, by name, as their visitor."""
-    faces = _faces(c)
-    element = faces.where("n = 1 and one_ret = 'void'").join(_subtype_counts(c), "owner").where("subs >= 2").select(F.col("owner").alias("element"))
+    faces = c.faces
+    element = faces.where("n = 1 and one_ret = 'void'").join(c.counts, "owner").where("subs >= 2").select(F.col("owner").alias("element"))
     least = [r[0] for r in faces.where("n >= 2").select("owner").orderBy("owner").limit(2).collect()]
     if not least:
         return _found(element.limit(0).withColumn("owner", F.col("element")), "Visitor", 0.7)
@@ -315,7 +320,7 @@ def memento(c: Context) -> DataFrame:
 
 
 def interpreter(c: Context) -> DataFrame:
-    rows = _faces(c).where("n = 1 and one_ret <> 'void'").join(_subtype_counts(c), "owner").where("subs >= 2")
+    rows = c.faces.where("n = 1 and one_ret <> 'void'").join(c.counts, "owner").where("subs >= 2")
     return _found(rows, "Interpreter", 0.8, evidence=F.array(F.concat(F.lit("implementations: "), F.col("subs").cast("string")), F.concat(F.lit("method: "), F.col("one"))))
 
 
@@ -352,8 +357,9 @@ DETECTORS = (
 
 
 def detect(facts: Facts, use_callgraph: bool = True, source_text: str = "") -> DataFrame:
-    """All detectors over the facts."""
-    c = context(facts, use_callgraph, source_text)
+    """All detectors over the facts, which are written once first, as is the hierarchy of types."""
+    c = context(facts.settled(), use_callgraph, source_text)
+    c.own, c.face = stored(c.own, "own"), stored(c.face, "face")
     found = [d(c) for d in DETECTORS]
     out = found[0]
     for more in found[1:]:

@@ -152,6 +152,15 @@ def cfg_dots(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(arrows, "file", "left").select("file", F.concat_ws("\n", F.lit("digraph {"), "nodes", "arrows", F.lit("}")).alias("dot"))
 
 
+def call_tree_lines(tree: DataFrame) -> DataFrame:
+    """(line): the rows of ``callgraph.call_tree`` in the order of a walk: callee, target, number of calls and where it leads."""
+    via = F.when(F.col("via") != "", F.concat(F.lit(" via "), "via")).otherwise("")
+    to = F.when(F.col("iface").isNotNull(), F.concat(F.lit(" == "), "iface", F.lit(" -> "), "class", F.lit("."), "callee")).when(F.col("class").isNotNull(), F.concat(F.lit(" -> "), "class", F.lit("."), "callee")).otherwise("")
+    text = F.concat(F.repeat(F.lit("   "), F.col("level") - 1), F.lit("- "), "callee", via, F.format_string(" (%dx)", "calls"), to, F.when(F.col("cycle"), "  (cycle)").otherwise(""))
+    step = F.array(F.concat_ws(".", "class", "callee"))
+    return tree.orderBy(F.concat("path", step), "iface").select(text.alias("line"))
+
+
 def route_report(routes: DataFrame) -> DataFrame:
     """(source, class, routes, listing): routes per class, each as 'VERB path handler' in the order of the file."""
     line = F.format_string("%6s  %-30s  %s", "http_method", "path", "handler")

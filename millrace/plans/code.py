@@ -381,6 +381,24 @@ QUERIES_ALL["OP-U8_made_report"], ORACLES_ALL["OP-U8_made_report"] = (
 )
 
 
+def _dot(relation: str, text: str, order: str) -> str:
+    return f"(SELECT file, string_agg({text}, chr(10) ORDER BY {order}) AS t FROM ({generated.expected(relation)}) GROUP BY file)"
+
+
+QUERIES_ALL["OP-S10_made_dots"], ORACLES_ALL["OP-S10_made_dots"] = (
+    lambda spark, d: _made_dots(spark, d),
+    f"""SELECT n.file, concat_ws(chr(10), 'digraph {{', n.t, e.t, '}}') AS dot
+    FROM {_dot('blocks', "'    ' || id || ' [ label = \"[' || id || '] ' || kind || ' (L' || start_line || '-L' || end_line || ')\" ]'", 'id')} n
+    JOIN {_dot('edges', "'    ' || src || ' -> ' || dst || ' [ label = \"' || kind || '\" ]'", 'method_ord, edge_ord')} e USING (file)""",
+)
+
+
+def _made_dots(spark: SparkSession, d: str) -> DataFrame:
+    p = _made(spark, d, "blocks", "edges")
+    part = F.regexp_extract("file", r"(\d+)", 1).cast("long") % len(generated.PROGRAMS)
+    return render.cfg_dots(frontend.relation(p, "blocks"), frontend.relation(p, "edges")).where(part.isin(_FLOW))
+
+
 @query("OP-S3_made_errors", "SELECT CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS error, count(*) AS files FROM part")
 def _(spark, d):
     """No program fails: all files come out in one group without an error."""
@@ -420,14 +438,30 @@ _DOM = _dominance("0", "a", "b")
 _PDOM = _dominance("n.n + 1", "b", "a")
 
 
-@query("OP-G1_dominators", _inner(f"{_CFG}, {_DOM}", "SELECT CAST(user_id AS VARCHAR) AS file, count(*) AS pairs, CAST(sum(node * 1000 + dominator) AS BIGINT) AS mark FROM dom GROUP BY 1"))
+_PAIRS = "SELECT CAST(user_id AS VARCHAR) AS file, CAST(node AS INT) AS node, CAST(dominator AS INT) AS dominator FROM dom"
+# the closest of the strict dominators is the one with most dominators itself
+_NEAREST = """SELECT CAST(user_id AS VARCHAR) AS file, CAST(node AS INT) AS node, CAST(arg_max(d.dominator, s.n) AS INT) AS dominator
+    FROM dom d JOIN (SELECT user_id, node AS dominator, count(*) AS n FROM dom GROUP BY ALL) s USING (user_id, dominator) WHERE d.node <> d.dominator GROUP BY ALL"""
+
+
+@query("OP-G1_dominators", _inner(f"{_CFG}, {_DOM}", _PAIRS))
 def _(spark, d):
-    return graphs.dominator_pairs(*_event_graph(spark, d)).groupBy("file").agg(F.count("*").alias("pairs"), F.sum(F.col("node") * 1000 + F.col("dominator")).alias("mark"))
+    return graphs.dominator_pairs(*_event_graph(spark, d)).select("file", "node", "dominator")
 
 
-@query("OP-G2_post_dominators", _inner(f"{_CFG}, {_PDOM}", "SELECT CAST(user_id AS VARCHAR) AS file, count(*) AS pairs, CAST(sum(node * 1000 + dominator) AS BIGINT) AS mark FROM dom GROUP BY 1"))
+@query("OP-G2_post_dominators", _inner(f"{_CFG}, {_PDOM}", _PAIRS))
 def _(spark, d):
-    return graphs.dominator_pairs(*_event_graph(spark, d), post=True).groupBy("file").agg(F.count("*").alias("pairs"), F.sum(F.col("node") * 1000 + F.col("dominator")).alias("mark"))
+    return graphs.dominator_pairs(*_event_graph(spark, d), post=True).select("file", "node", "dominator")
+
+
+@query("OP-G3_immediate_dominators", _inner(f"{_CFG}, {_DOM}", _NEAREST))
+def _(spark, d):
+    return graphs.dominator_pairs(*_event_graph(spark, d)).where("immediate").select("file", "node", "dominator")
+
+
+@query("OP-G3_immediate_post_dominators", _inner(f"{_CFG}, {_PDOM}", _NEAREST))
+def _(spark, d):
+    return graphs.dominator_pairs(*_event_graph(spark, d), post=True).where("immediate").select("file", "node", "dominator")
 
 
 @query(
@@ -470,6 +504,49 @@ def _(spark, d):
     return resolve.di_registrations(_more(spark, d))
 
 
+@query(
+    "OP-R7_register",
+    r"""SELECT DISTINCT trim(a[1]) AS interface_type, trim(coalesce(a[2], a[1])) AS implementation_type, regexp_extract(callee, '^Add(Scoped|Singleton|Transient)<', 1) AS lifetime, 'DiRegistration' AS confidence
+    FROM (SELECT callee, string_split(regexp_extract(callee, '^Add(?:Scoped|Singleton|Transient)<(.+)>$', 1), ',') AS a FROM call WHERE regexp_matches(callee, '^Add(Scoped|Singleton|Transient)<.+>$'))
+    UNION ALL SELECT 'IByHand', 'ByHand', 'Transient', 'DynamicString'""",
+    idiomatic=True,
+)
+def _(spark, d):
+    return resolve.register(resolve.di_registrations(_more(spark, d)), "IByHand", "ByHand", "Transient", "DynamicString")
+
+
+@query(
+    "OP-R9_registered_di",
+    r"""SELECT DISTINCT t.site_id, 'di' AS strategy, 'DiRegistration' AS confidence, r.c AS owner, t.method FROM target t JOIN (SELECT trim(a[1]) AS i, trim(coalesce(a[2], a[1])) AS c
+      FROM (SELECT string_split(regexp_extract(callee, '^Add(?:Scoped|Singleton|Transient)<(.+)>$', 1), ',') AS a FROM call WHERE regexp_matches(callee, '^Add(Scoped|Singleton|Transient)<.+>$'))) r ON r.i = t.class
+    WHERE r.c IN (SELECT name FROM cls)""",
+    idiomatic=True,
+)
+def _(spark, d):
+    """By the registrations that the calls themselves make."""
+    f = _more(spark, d)
+    return resolve.resolve_di(f, resolve.call_targets(f), resolve.di_registrations(f))
+
+
+@query("OP-A6_suggestions", _inner(_EDGES, "SELECT key FROM (SELECT src AS key FROM edge UNION SELECT dst FROM edge) WHERE contains(lower(key), 'ledger') AND contains(lower(key), 'load') ORDER BY key LIMIT 10"))
+def _(spark, d):
+    return spark.createDataFrame([(k,) for k in impact.suggestions(_facts(spark, d), "Ledger", "load")], "key string")
+
+
+@query(
+    "OP-N1_start",
+    """SELECT method, CAST(row_number() OVER (ORDER BY spot, method) - 1 AS INT) AS place FROM (SELECT m.method, min((m.file, m.ord)) AS spot FROM met m
+      WHERE m.owner_kind = 'class' AND m.owner = (SELECT owner FROM met WHERE owner_kind = 'class' AND owner IN (SELECT name FROM cls) GROUP BY owner ORDER BY count(DISTINCT method) DESC, owner LIMIT 1)
+      AND NOT regexp_matches(m.method, '^(get_|set_|add_|remove_|[.]ctor$)') AND m.method <> m.owner GROUP BY m.method)""",
+)
+def _(spark, d):
+    f = _facts(spark, d)
+    known = f.methods.where("owner_kind = 'class'").join(f.classes.select(F.col("name").alias("owner")), "owner", "left_semi")
+    top = known.groupBy("owner").agg(F.count_distinct("method").alias("n")).orderBy(F.desc("n"), "owner").first()
+    nodes = navigate.start(f, top[0]) if top else []
+    return spark.createDataFrame([(m, k) for k, (_, m) in enumerate(nodes)], "method string, place int")
+
+
 @query("OP-R10_di_calls", r"""SELECT site_id, CASE WHEN m IN ('AddScoped', 'AddSingleton', 'AddTransient') THEN 'Static' ELSE 'DiResolved' END AS kind, t AS type, m AS method
     FROM (SELECT site_id, regexp_extract(callee, '^(\w+)<', 1) AS m, trim(regexp_extract(callee, '^\w+<((?:[^,<>]|<[^<>]*>)*)', 1)) AS t FROM call WHERE suffix(callee, '>'))
     WHERE t <> '' AND m IN ('AddScoped', 'AddSingleton', 'AddTransient', 'GetService', 'GetRequiredService', 'GetKeyedService')""", idiomatic=True)
@@ -550,7 +627,7 @@ def _counted(f) -> DataFrame:
 
 @query("OP-D0_parsed")
 def _(spark, d):
-    return patterns.hits(patterns.detect(frontend.facts_of(_parsed(spark, d, *frontend.FACTS), "first").settled()))
+    return patterns.hits(patterns.detect(frontend.facts_of(_parsed(spark, d, *frontend.FACTS), "first")))
 
 
 # the checks are registered with the program's; this module names its own share of them

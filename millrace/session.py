@@ -29,7 +29,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Intermediate tables this process wrote.
+#: Intermediate tables and checkpoints this process wrote.
 _WRITTEN: list[str] = []
 
 
@@ -58,7 +58,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete the intermediate tables this process wrote; results that still read them must have been saved."""
+    """Delete the intermediate tables and checkpoints this process wrote; results that still read them must have been saved."""
     jvm = spark.sparkContext._jvm
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
@@ -68,7 +68,13 @@ def clear(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    plan = kept._jdf.queryExecution().logical()
+    if hasattr(plan, "rdd"):
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            _WRITTEN.append(file.get())
+    return kept
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:

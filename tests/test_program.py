@@ -98,6 +98,11 @@ def test_dispatch(facts):
 def test_drawings():
     assert 'label="B.g (affects 2 sites)", style=filled, fillcolor=lightcoral, penwidth=2' in render.impact_dot([("A.f", 1), ("B.g", 2)], [("A.f", "B.g")], "B.g")
     assert "CALLERS CHANGED" in render.diff_dot([("A.f", "callers_changed")]) and "lightyellow" in render.diff_dot([("A.f", "callers_changed")])
-    assert "style=dashed" in render.pdg_dot([(0, "Entry", 1, 2), (1, "Exit", 1, 2)], [(0, 1, "control")])
+    blocks, edges = [(0, "Entry", 1, 2), (1, "Exit", 1, 2), (2, "Statement", 2, 2)], [(0, 1, "control"), (0, 2, "cfg(Seq)"), (2, 1, "data")]
+    assert 'n0 -> n1 [label="control"];' in render.pdg_dot(blocks, edges)
+    drawn = render.pdg_drawing(blocks, edges, "Shop")
+    assert drawn.startswith("digraph PDG {\n  rankdir=TB;\n  node [shape=box style=rounded];\n\n  label=\"Shop\";") and 'n0 [label="L1-2:Entry" style=filled fillcolor=green];' in drawn and "fillcolor=red" in drawn
+    assert "n0 -> n1 [style=dashed color=red];" in drawn and "n2 -> n1 [style=dotted color=blue];" in drawn and "n0 -> n2 [style=solid color=black];" in drawn
+    assert render.pdg_lines(blocks, edges, "  ").splitlines()[0].startswith("  n0 [")
     assert render.routes_text([("", "GET", "/x", "h")]).splitlines() == ["(top-level)", "   GET  /x                              h"]
     assert render.snippet("a\nb\nc", 2, 9) == "│    2 b\n│    3 c"

@@ -8,9 +8,10 @@ import pytest
 
 import __spark_entry__
 from millrace import cli
-from millrace.operators import graphs, impact, navigate
+from millrace.operators import callgraph, fixpoint, graphs, impact, navigate, resolve
 from millrace.operators.facts import from_tables
 from millrace.operators.orphans import lifetimes
+from millrace.plans import idioms
 from millrace.sources.csharp import frontend
 
 from .test_program import DATA, duck, plain  # noqa: F401
@@ -139,8 +140,60 @@ def test_null_start_leaves_spans_apart(spark):
 def test_dependence_json_and_nav_lists(spark, tmp_path, monkeypatch):
     (tmp_path / "a.cs").write_text("class Shop { IStore s; void Sell() { s.Put(); Note(); } void Note() { } }\ninterface IStore { void Put(); } class Disk : IStore { public void Put() { } }\n")
     run = lambda *argv: cli.run(spark, cli._parser().parse_args([*argv]))
-    graph = json.loads(run("pdg", str(tmp_path), "--format", "json"))
+    graphs_ = json.loads(run("pdg", str(tmp_path), "--format", "json"))["graphs"]
+    assert len(graphs_) == 3 and {g["method_ord"] for g in graphs_} == {0, 1, 2}
+    graph = graphs_[0]
     assert {n["kind"] for n in graph["nodes"]} >= {"Entry", "Exit"} and any(e["kind"] == "cfg(Seq)" for e in graph["edges"])
     monkeypatch.setattr("sys.stdin", io.StringIO("9\nc p\nq\n"))
     out = run("traverse", str(tmp_path), "--class", "Shop")
     assert "[2] Put via s" in out and "[2a] Disk.Put  (c=0.70)" in out and "[u1] Shop.Sell" in out and "Shop -> pattern" in out
+
+
+def test_call_tree_by_dispatch(spark):
+    """Through every interface that declares the name to all concrete subtypes, and cycles only within a class."""
+    code = """interface IRun { void Go(); } interface IAlso { void Go(); } class Lib { public static void Do() { } }
+    abstract class Base : IRun { public void Go() { } } class Low : Base { } class Other : IAlso { public void Go() { Help(); } void Help() { Help(); } }
+    class Main { IRun r; void Start() { r.Go(); Lib.Do(); Loop(); out1.Gone(); } void Loop() { Back(); } void Back() { Loop(); } }"""
+    facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"))).settled()
+    rows = {(r.level, r.path[-1], r.callee, r.iface, r["class"], r.cycle) for r in callgraph.call_tree(facts, "Main", "Start", 3).collect()}
+    assert {r[2:5] for r in rows if r[0] == 1} == {("Go", "IAlso", "Other"), ("Go", "IRun", "Low"), ("Do", None, "Lib"), ("Loop", None, "Main"), ("Gone", None, None)}
+    assert (3, "Main.Back", "Loop", None, "Main", True) in rows  # back to Main.Loop
+    assert (3, "Other.Help", "Help", None, "Other", True) in rows
+
+
+def test_inherited_methods_of_interfaces(spark):
+    code = "interface IRun { void Go(); void Stop(); } interface INone { void Else(); } class Base { public void Go() { } } class Low : Base, IRun, INone { public void Stop() { } }"
+    facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string")))
+    got = {tuple(r) for r in navigate.matching_interfaces(facts).collect()}
+    assert got == {("Low", "Stop", "IRun"), ("Low", "Stop", "INone"), ("Low", "Go", "IRun"), ("Low", "Else", "INone")}
+
+
+@pytest.mark.parametrize("local", [300_000, 0])
+def test_reach_and_walks_by_rounds(spark, monkeypatch, local):
+    monkeypatch.setattr(fixpoint, "LOCAL_EDGES", local)
+    pairs = [("a", "b", 2), ("b", "c", 1), ("a", "c", 3), ("x", "y", 1), ("y", "x", 1), ("y", "c", 1), ("q", "a", 1), ("z", "nowhere", 1)]
+    edges = spark.createDataFrame(pairs, "src string, dst string, n long")
+    assert {r.node: r.walks and int(r.walks) for r in fixpoint.walk_counts(edges, "b").collect()} == {"b": 4, "a": 1, "q": 0}
+    assert {r.node: r.walks for r in fixpoint.walk_counts(edges, "c").collect()}["c"] is None  # a cycle leads to it
+    seeds = spark.createDataFrame([("q",), (None,), ("q",)], "node string")
+    assert {(r.node, r.level) for r in fixpoint.reach(edges, seeds).collect()} == {("q", 0), ("a", 1), ("b", 2), ("c", 2)}
+    assert fixpoint.reach(edges.limit(0), seeds).count() == 1
+
+
+def test_best_is_the_best_of_all(spark):
+    facts = idioms.facts(spark, DATA).settled()
+    every = resolve.resolutions(facts).groupBy("site_id", "strategy", "confidence", "score").agg({"owner": "count"}).collect()
+    want: dict = {}
+    for r in every:
+        now = (r.score, r.strategy, r.confidence, r["count(owner)"])
+        want[r.site_id] = max(want.get(r.site_id, now), now)
+    assert {r.site_id: (r.score, r.strategy, r.confidence, r.targets) for r in resolve.best(facts).collect()} == want
+
+
+def test_drawings_of_folders_are_apart(spark, tmp_path):
+    for name in ("a.cs", "b.cs"):
+        (tmp_path / name).write_text("class A { void M(int x) { var y = x; Use(y); } void N() { } void Use(int n) { } }\n" * (1 if name == "a.cs" else 2))
+    args = cli._parser().parse_args(["pdg", str(tmp_path)])
+    out = cli.run(spark, args)
+    assert out.count("digraph PDG {") == 9 and 'label="data"' in out
+    assert cli.run(spark, cli._parser().parse_args(["cfg", str(tmp_path)])).count("digraph {") == 2
