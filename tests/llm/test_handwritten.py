@@ -94,8 +94,10 @@ def test_grammars_stand_for_their_tokens(together):
     assert roots == {o: (expand(s), len(s)) for o, s in enumerate(seqs) if len(s) > 1}  # one symbol for all of a sequence
     assert all(g.size[up] > n and g.of[up] == o for o, n, up in zip(g.of, g.size, g.above) if up >= 0)
     for o, h, n, uses in zip(g.of.tolist(), g.hash.tolist(), g.size.tolist(), g.uses.tolist()):
-        found = sum(expand(s[i : i + n]) == h for s in (seqs if together and n < 4 else [seqs[o]]) for i in range(len(s) - n + 1))
-        assert found >= (uses if not together or n < 4 else 1)
+        places = ((seqs[o], i) for i in range(len(seqs[o]) - n + 1)) if not together or n > 2 else ((s, i) for s in seqs for i in range(len(s) - n + 1))
+        if not together or n > 2 or rng.random() < 0.05:
+            found = sum(expand(s[i : i + n]) == h for s, i in places)
+            assert found >= (uses if not together or n == 2 else 1)
     assert (g.covered <= g.tokens).all()
 
 
