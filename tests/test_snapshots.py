@@ -1,9 +1,14 @@
+import pytest
+
+from millrace.operators import snapshots
 from millrace.operators.snapshots import change_report, snapshot_changes
 
 SCHEMA = "no int, key string, m array<string>, delivery string"
 
 
-def test_changes(spark, rows):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_changes(spark, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(snapshots, "BROADCAST_KEYS", broadcast)
     df = spark.createDataFrame(
         [
             (1, "a", ["x", "y"], "?"), (1, "b", ["x"], "?"), (1, "c", None, "?"), (1, "d", ["x"], "?"), (1, "e", ["x"], "?"),
