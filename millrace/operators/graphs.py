@@ -1,13 +1,15 @@
-"""Graphs of single methods: dominators, control and data dependence, regions. One grouped task per method, no exchange between methods."""
+"""Graphs of single methods: dominators, control and data dependence, regions. Each method is one row of a batch, no exchange between methods."""
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Paths per node that the compatible post-dominator looks at.
 PATHS = 100
@@ -156,26 +158,29 @@ def reaching_definitions(nodes: list[int], edges: list[tuple[int, int]], defs: d
 def _grouped(blocks: DataFrame, edges: DataFrame, extra: list[str], kernel: Callable, schema: str) -> DataFrame:
     """Rows (file, method_ord, ...) of ``kernel(rows, edges)`` for each method.
 
-    ``rows`` are tuples (id, kind, *extra) of the method's blocks, ``edges`` its pairs. Methods are small and many, so a
-    task gets a bucket of files at a time, eight buckets per shuffle partition, and goes through their methods.
+    ``rows`` are tuples (id, kind, *extra) of the method's blocks, ``edges`` its pairs, both in order. Blocks and edges of
+    a method meet in one row, by one shuffle, and a task goes through its rows in batches: what it holds at a time is some
+    methods, however many files there are.
     """
-    n = 8 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = lambda: F.pmod(F.xxhash64("file"), F.lit(n)).alias("bucket")
-    # columns of their own on both sides: blocks and edges often come from the same rows
-    keys = lambda: [bucket(), F.col("file").alias("file"), F.col("method_ord").alias("method_ord")]
-    left, right = blocks.select(*keys(), "id", "kind", *extra), edges.select(*keys(), "src", "dst")
+    key = lambda: [F.col("file").alias("file"), F.col("method_ord").alias("method_ord")]
+    row, pair = F.struct("id", "kind", *extra), F.struct("src", "dst")
+    kinds = {c: blocks.select(row.alias("r")).schema["r"].dataType.simpleString() if c == "r" else edges.select(pair.alias("p")).schema["p"].dataType.simpleString() for c in "rp"}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    both = blocks.select(*key(), row.alias("r"), none("p")).unionByName(edges.select(*key(), none("r"), pair.alias("p")))
+    methods = both.groupBy("file", "method_ord").agg(F.collect_list("r").alias("r"), F.collect_list("p").alias("p"))
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(key: tuple, b: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        methods: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
-        for f, o, *row in zip(*(b[c].tolist() for c in ["file", "method_ord", "id", "kind", *extra])):
-            methods[f, o][0].append(tuple(row))
-        for f, o, src, dst in zip(*(e[c].tolist() for c in ["file", "method_ord", "src", "dst"])):
-            methods[f, o][1].append((src, dst))
-        out = [(f, o, *r) for (f, o), (rows, pairs) in methods.items() for r in kernel(rows, pairs)]
-        return pd.DataFrame(out, columns=names)
-
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for f, o, rows, pairs in zip(*(b.column(k).to_pylist() for k in range(4))):
+                found = kernel(sorted((tuple(r.values()) for r in rows), key=lambda r: (r[0], str(r[1:]))), sorted((p["src"], p["dst"]) for p in pairs))
+                out += [(f, o, *r) for r in found]
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return methods.select("file", "method_ord", "r", "p").mapInArrow(run, schema)
 
 
 def _per_method(blocks: DataFrame, edges: DataFrame, kernel: Callable, schema: str) -> DataFrame:
