@@ -464,20 +464,60 @@ def _(spark, d):
     return graphs.dominator_pairs(*_event_graph(spark, d), post=True).where("immediate").select("file", "node", "dominator")
 
 
+_CONTROL = """SELECT DISTINCT CAST(f.user_id AS VARCHAR) AS file, CAST(f.a AS INT) AS src, CAST(d.dominator AS INT) AS dst FROM flow f JOIN dom d ON d.user_id = f.user_id AND d.node = f.b
+    WHERE NOT EXISTS (SELECT 1 FROM dom s WHERE s.user_id = f.user_id AND s.node = f.a AND s.dominator = d.dominator AND s.dominator <> f.a)
+      AND d.dominator NOT IN (0, (SELECT max(v) FROM node WHERE node.user_id = f.user_id)) AND (SELECT count(*) FROM flow g WHERE g.user_id = f.user_id AND g.a = f.a) >= 2"""
+# an event defines its kind, and uses its kind and clicks; a definition comes along until the name is defined again
+_COMES = """comes AS (SELECT e.user_id, e.i AS d, e.event_type AS x, f.b AS v FROM ev e JOIN flow f ON f.user_id = e.user_id AND f.a = e.i
+  UNION SELECT c.user_id, c.d, c.x, f.b FROM comes c JOIN ev e ON e.user_id = c.user_id AND e.i = c.v AND e.event_type <> c.x JOIN flow f ON f.user_id = c.user_id AND f.a = c.v)"""
+_DATA = "SELECT CAST(c.user_id AS VARCHAR) AS file, CAST(c.d AS INT) AS src, CAST(c.v AS INT) AS dst, c.x AS name FROM comes c JOIN ev u ON u.user_id = c.user_id AND u.i = c.v AND (c.x = u.event_type OR c.x = 'click')"
+
+
+def _event_names(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    ev = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.lit(0).alias("method_ord"), F.row_number().over(w).alias("id"), "event_type")
+    return ev.select("file", "method_ord", "id", F.array("event_type").alias("defs"), F.array("event_type", F.lit("click")).alias("uses"))
+
+
+@query("OP-G10_reaching_definitions", _inner(f"{_CFG}, {_COMES}", _DATA))
+def _(spark, d):
+    return graphs.data_dependences(*_event_graph(spark, d), _event_names(spark, d)).select("file", "src", "dst", "name")
+
+
 @query(
-    "OP-G9_control_dependence",
+    "OP-G11_event_graph",
     _inner(
-        f"{_CFG}, {_PDOM}",
-        """SELECT DISTINCT CAST(f.user_id AS VARCHAR) AS file, CAST(f.a AS INT) AS src, CAST(d.dominator AS INT) AS dst FROM flow f JOIN dom d ON d.user_id = f.user_id AND d.node = f.b
-        WHERE NOT EXISTS (SELECT 1 FROM dom s WHERE s.user_id = f.user_id AND s.node = f.a AND s.dominator = d.dominator AND s.dominator <> f.a)
-          AND d.dominator NOT IN (0, (SELECT max(v) FROM node WHERE node.user_id = f.user_id)) AND (SELECT count(*) FROM flow g WHERE g.user_id = f.user_id AND g.a = f.a) >= 2""",
+        f"{_CFG}, {_PDOM}, {_COMES}",
+        f"""SELECT CAST(user_id AS VARCHAR) AS file, CAST(a AS INT) AS src, CAST(b AS INT) AS dst, 'cfg(Seq)' AS kind FROM flow
+        UNION ALL SELECT file, src, dst, 'control' FROM ({_CONTROL}) UNION ALL SELECT DISTINCT file, src, dst, 'data' FROM ({_DATA})""",
     ),
 )
+def _(spark, d):
+    blocks, edges = _event_graph(spark, d)
+    return graphs.dependence_graph(blocks, edges.withColumn("kind", F.lit("Seq")), compat=False, names=_event_names(spark, d)).select("file", "src", "dst", "kind")
+
+
+@query("OP-G9_control_dependence", _inner(f"{_CFG}, {_PDOM}", _CONTROL))
 def _(spark, d):
     return graphs.control_dependences(*_event_graph(spark, d)).select("file", "src", "dst")
 
 
-@query("OP-G4_hammocks")
+_REGIONS = f"""{_CFG}, {_DOM}, {_PDOM.replace('cut_', 'pcut_').replace('dom AS (SELECT x', 'pdom AS (SELECT x')},
+pair AS (SELECT d.user_id, d.dominator AS h, d.node AS t FROM dom d JOIN pdom p ON p.user_id = d.user_id AND p.node = d.dominator AND p.dominator = d.node JOIN node k ON k.user_id = d.user_id AND k.v = d.node
+  WHERE d.dominator <> d.node AND d.dominator <> 0 AND d.node <> k.n + 1),
+body AS (SELECT user_id, h, t, h AS v FROM pair UNION SELECT b.user_id, b.h, b.t, f.b FROM body b JOIN flow f ON f.user_id = b.user_id AND f.a = b.v WHERE f.b <> b.t),
+entered AS (SELECT DISTINCT b.user_id, b.h, b.t FROM body b JOIN flow f ON f.user_id = b.user_id AND f.b = b.v WHERE b.v <> b.h
+  AND NOT EXISTS (SELECT 1 FROM body c WHERE c.user_id = b.user_id AND c.h = b.h AND c.t = b.t AND c.v = f.a))"""
+
+
+@query(
+    "OP-G4_hammocks",
+    _inner(
+        _REGIONS,
+        """SELECT CAST(user_id AS VARCHAR) AS file, CAST(h AS INT) AS header, CAST(t AS INT) AS footer, CAST(count(*) AS INT) AS blocks FROM body b
+        WHERE NOT EXISTS (SELECT 1 FROM entered e WHERE e.user_id = b.user_id AND e.h = b.h AND e.t = b.t) GROUP BY user_id, h, t HAVING count(*) > 1""",
+    ),
+)
 def _(spark, d):
     return graphs.regions(*_event_graph(spark, d)).select("file", "header", "footer", F.size("body").alias("blocks"))
 
