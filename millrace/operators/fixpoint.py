@@ -5,37 +5,66 @@ Graphs of few edges go through all rounds in one task; of larger ones every roun
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import cut, discard, stored
 
 #: Rounds after which a loop gives up with an error; a guard against edges that never end, not a limit on results.
 MAX_ROUNDS = 10_000
-#: Edges that one task may walk, each two names and a number, so about 100 MB at most.
-LOCAL_EDGES = 300_000
+#: Edges that one task may walk, each three numbers, so about 200 MB with the names of their nodes at most.
+LOCAL_EDGES = 2_000_000
+
+
+class _Graph:
+    """The edges of one task by number of node, in the order of their sources; rows without a source name a node only."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]) -> None:
+        self.number: dict[str, int] = {}
+        parts: list[tuple[np.ndarray, ...]] = []
+        alone: list[np.ndarray] = []
+        for b in batches:
+            src, dst = self._numbers(b["src"]), self._numbers(b["dst"])
+            edge = src >= 0
+            parts.append((src[edge], dst[edge], b["n"].to_numpy(np.int64)[edge] if "n" in b else np.ones(int(edge.sum()), np.int64)))
+            alone.append(dst[~edge])
+        none = np.zeros(0, np.int64)
+        src, self.dst, self.n = (np.concatenate([none, *x]) for x in (zip(*parts) if parts else ((), (), ())))
+        self.alone = np.unique(np.concatenate([none, *alone]))
+        self.names = list(self.number)
+        order = np.argsort(src, kind="stable")
+        self.dst, self.n = self.dst[order], self.n[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(self.names)))]).astype(np.int64)
+
+    def _numbers(self, names: pd.Series) -> np.ndarray:
+        code, distinct = pd.factorize(names)
+        known = np.array([self.number.setdefault(x, len(self.number)) for x in distinct] + [-1], np.int64)
+        return known[code]
+
+    def after(self, nodes: np.ndarray) -> np.ndarray:
+        """The distinct nodes one step after ``nodes``."""
+        first, size = self.first[nodes], self.first[nodes + 1] - self.first[nodes]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(nodes) else np.zeros(0, np.int64)
+        return np.unique(self.dst[at])
 
 
 def _reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Levels of all nodes from the edges of one task; rows without a source are seeds."""
-    after: dict[str, list[str]] = defaultdict(list)
-    level: dict[str, int] = {}
-    for b in batches:
-        for src, dst in zip(b["src"], b["dst"]):
-            if src is None:
-                level[dst] = 0
-            else:
-                after[src].append(dst)
-    frontier, k = list(level), 0
-    while frontier:
+    g = _Graph(batches)
+    level = np.full(len(g.names), -1, np.int32)
+    frontier, k = g.alone, 0
+    level[frontier] = 0
+    while len(frontier):
         k += 1
-        frontier = [d for d in dict.fromkeys(d for s in frontier for d in after.get(s, ())) if d not in level]
-        level.update(dict.fromkeys(frontier, k))
-    yield pd.DataFrame({"node": pd.Series(list(level), dtype=object), "level": pd.Series(list(level.values()), dtype="int32")})
+        frontier = g.after(frontier)
+        frontier = frontier[level[frontier] < 0]
+        level[frontier] = k
+    found = np.flatnonzero(level >= 0)
+    yield pd.DataFrame({"node": pd.Series([g.names[i] for i in found], dtype=object), "level": level[found]})
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -63,27 +92,24 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def _walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walks into every node whose incoming walks end, as text, from the edges of one task; rows without a source are nodes."""
-    out: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    missing: dict[str, int] = {}
-    for b in batches:
-        for src, dst, n in zip(b["src"], b["dst"], b["n"]):
-            if src is None:
-                missing.setdefault(dst, 0)
-            else:
-                out[src].append((dst, int(n)))
-                missing[dst] = missing.get(dst, 0) + 1
-    total = dict.fromkeys(missing, 0)
-    ready = [x for x, k in missing.items() if k == 0]
-    done: dict[str, int] = {}
+    g = _Graph(batches)
+    missing = np.bincount(g.dst, minlength=len(g.names)).tolist()
+    first, dst, n = g.first.tolist(), g.dst.tolist(), g.n.tolist()
+    total = [0] * len(g.names)
+    ready = [k for k, m in enumerate(missing) if m == 0]
+    done: list[int] = []
     while ready:
         src = ready.pop()
-        done[src] = total[src]
-        for dst, n in out.get(src, ()):
-            total[dst] += n * (1 + done[src])
-            missing[dst] -= 1
-            if missing[dst] == 0:
-                ready.append(dst)
-    yield pd.DataFrame({"node": pd.Series(list(done), dtype=object), "walks": pd.Series([str(v) for v in done.values()], dtype=object)})
+        done.append(src)
+        walks = 1 + total[src]
+        for e in range(first[src], first[src + 1]):
+            total[dst[e]] += n[e] * walks
+            missing[dst[e]] -= 1
+            if missing[dst[e]] == 0:
+                ready.append(dst[e])
+    # what has more digits than the result holds is not written out
+    text = [str(total[k]) if total[k] < 10**39 else None for k in done]
+    yield pd.DataFrame({"node": pd.Series([g.names[k] for k in done], dtype=object), "walks": pd.Series(text, dtype=object)})
 
 
 def walk_counts(edges: DataFrame, target: str, within: DataFrame | None = None) -> DataFrame:
@@ -105,7 +131,7 @@ def walk_counts(edges: DataFrame, target: str, within: DataFrame | None = None)
     # every node waits for the edges into it; only edges out of the nodes done last are joined in a round
     zero = F.lit(0).cast("decimal(38,0)")
     waits = inner.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("missing"))
-    state = cut(within.join(waits, "node", "left").select("node", F.coalesce("missing", F.lit(0)).alias("missing"), zero.alias("walks"), F.lit(False).alias("big")))
+    state = stored(within.join(waits, "node", "left").select("node", F.coalesce("missing", F.lit(0)).alias("missing"), zero.alias("walks"), F.lit(False).alias("big")), "state")
     done, rounds = [], 0
     while True:
         fresh = state.where("missing = 0").select("node", F.when(~F.col("big"), F.col("walks")).alias("walks"))
@@ -119,9 +145,12 @@ def walk_counts(edges: DataFrame, target: str, within: DataFrame | None = None)
         come = met.select(F.col("dst").alias("node"), term.alias("term")).groupBy("node").agg(F.count("*").alias("k"), F.bool_or(F.col("term").isNull()).alias("over"), F.try_sum("term").alias("sum"))
         both = F.expr("try_cast(try_add(walks, coalesce(sum, 0)) as decimal(38,0))")
         late = F.col("k").isNotNull() & (F.coalesce("over", F.lit(False)) | F.col("sum").isNull() | both.isNull())
-        state = cut(
-            state.where("missing > 0").join(come, "node", "left").select("node", (F.col("missing") - F.coalesce("k", F.lit(0))).alias("missing"), F.coalesce(both, zero).alias("walks"), (F.col("big") | late).alias("big"))
+        last = state
+        state = stored(
+            state.where("missing > 0").join(come, "node", "left").select("node", (F.col("missing") - F.coalesce("k", F.lit(0))).alias("missing"), F.coalesce(both, zero).alias("walks"), (F.col("big") | late).alias("big")),
+            "state",
         )
+        discard(last)  # the next state holds all that is still needed of it
     known = spark.createDataFrame([], "node string, walks decimal(38,0)")
     for part in done:
         known = known.unionByName(part)
