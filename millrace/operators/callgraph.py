@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import stored
 from .facts import Facts, is_accessor
 from .types import concrete_subtypes
 
@@ -70,6 +70,21 @@ def dispatches(facts: Facts, subtypes: DataFrame | None = None) -> DataFrame:
     return declared.join(subtypes.withColumnRenamed("name", "iface"), "iface").select("callee", "iface", "class")
 
 
+def _steps(facts: Facts) -> DataFrame:
+    """(caller_class, caller_method, callee, calls, via, plain): each callee of each method and, in ``plain``, where it leads if no interface declares it."""
+    per = facts.calls.groupBy("caller_class", "caller_method", "callee").agg(F.count("*").alias("calls"), F.min_by("target_expr", "site_id").alias("via"))
+    named = facts.classes.select(F.col("name").alias("via"), F.col("name").alias("target")).distinct()
+    some = facts.methods.where("owner_kind = 'class'").groupBy(F.col("method").alias("callee")).agg(F.min("owner").alias("some"))
+    rows = per.join(named, "via", "left").join(some, "callee", "left")
+    return rows.select("caller_class", "caller_method", "callee", "calls", "via", F.coalesce("target", "some").alias("plain"))
+
+
+def _leads(steps: DataFrame, through: DataFrame) -> DataFrame:
+    """``steps`` joined to ``dispatches``, with ``iface`` and ``class`` in place of ``plain``."""
+    rows = steps.join(through.withColumnRenamed("class", "impl"), "callee", "left")
+    return rows.withColumn("class", F.when(F.col("iface").isNotNull(), F.col("impl")).otherwise(F.col("plain"))).drop("impl", "plain")
+
+
 def call_hops(facts: Facts, subtypes: DataFrame | None = None) -> DataFrame:
     """(caller_class, caller_method, callee, calls, via, iface, class): each callee of each method and where it leads.
 
@@ -77,12 +92,7 @@ def call_hops(facts: Facts, subtypes: DataFrame | None = None) -> DataFrame:
     other leads to the class that the call's target names, else to the first class by name that has the method, else
     nowhere (null). ``via`` is the target of the first call.
     """
-    per = facts.calls.groupBy("caller_class", "caller_method", "callee").agg(F.count("*").alias("calls"), F.min_by("target_expr", "site_id").alias("via"))
-    named = facts.classes.select(F.col("name").alias("via"), F.col("name").alias("target")).distinct()
-    some = facts.methods.where("owner_kind = 'class'").groupBy(F.col("method").alias("callee")).agg(F.min("owner").alias("some"))
-    rows = per.join(dispatches(facts, subtypes).withColumnRenamed("class", "impl"), "callee", "left").join(named, "via", "left").join(some, "callee", "left")
-    to = F.when(F.col("iface").isNotNull(), F.col("impl")).otherwise(F.coalesce("target", "some"))
-    return rows.select("caller_class", "caller_method", "callee", "calls", "via", "iface", to.alias("class"))
+    return _leads(_steps(facts), dispatches(facts, subtypes)).select("caller_class", "caller_method", "callee", "calls", "via", "iface", "class")
 
 
 def call_tree(facts: Facts, cls: str, method: str, depth: int = 3) -> DataFrame:
@@ -91,17 +101,21 @@ def call_tree(facts: Facts, cls: str, method: str, depth: int = 3) -> DataFrame:
     ``path`` holds the methods gone through as 'Class.Method', from the start to the caller; see ``call_hops`` for the
     rest. A step back to a method of the same class that the walk has been in since it came into the class is a cycle
     and not followed; a step into another class or through an interface starts anew, so ``depth`` is what ends the walk.
+    Only callees of methods that the walk reaches are led through interfaces; what is stored grows with the calls and
+    the tree, not with all pairs of calls and implementors.
     """
     spark = facts.calls.sparkSession
-    hops = stored(call_hops(facts), "hops")
+    steps, through = stored(_steps(facts), "steps"), stored(dispatches(facts), "dispatches")
     one = f"{cls}.{method}"
     front = spark.createDataFrame([(cls, method, [one], [one])], "caller_class string, caller_method string, path array<string>, seen array<string>")
     out = None
     step = F.concat_ws(".", "class", "callee")
     stays = F.col("iface").isNull() & (F.col("class") == F.col("caller_class"))
     for k in range(1, depth + 1):
-        rows = hops.join(front, ["caller_class", "caller_method"])
-        rows = cut(rows.withColumn("cycle", F.coalesce(stays & F.array_contains("seen", step), F.lit(False))))
+        rows = _leads(steps.join(front, ["caller_class", "caller_method"]), through)
+        rows = rows.withColumn("cycle", F.coalesce(stays & F.array_contains("seen", step), F.lit(False)))
+        if k < depth:
+            rows = stored(rows, "level")
         part = rows.select(F.lit(k).alias("level"), "path", "callee", "calls", "via", "iface", "class", "cycle")
         out = part if out is None else out.unionByName(part)
         front = rows.where("class is not null and not cycle").select(

@@ -161,6 +161,18 @@ def test_call_tree_by_dispatch(spark):
     assert (3, "Other.Help", "Help", None, "Other", True) in rows
 
 
+def test_call_tree_stores_what_it_reaches(spark, monkeypatch):
+    """Calls that the walk does not meet are not led to every implementor."""
+    many = " ".join(f"class Impl{i} : IRun {{ public void Go() {{ }} }} class Far{i} {{ IRun r; void Use() {{ r.Go(); }} }}" for i in range(30))
+    code = f"interface IRun {{ void Go(); }} {many} class Main {{ void Start() {{ Next(); }} void Next() {{ Lib.Do(); }} }}"
+    facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"))).settled()
+    kept = []
+    monkeypatch.setattr(callgraph, "stored", lambda df, name="t": kept.append(df.count()) or df)
+    assert {(r.level, r.callee, r["class"]) for r in callgraph.call_tree(facts, "Main", "Start", 3).collect()} == {(1, "Next", "Main"), (2, "Do", None)}
+    assert max(kept) < 100  # 30 callers and 30 implementors make 900 pairs
+    assert callgraph.call_hops(facts).where("callee = 'Go'").count() == 900
+
+
 def test_inherited_methods_of_interfaces(spark):
     code = "interface IRun { void Go(); void Stop(); } interface INone { void Else(); } class Base { public void Go() { } } class Low : Base, IRun, INone { public void Stop() { } }"
     facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string")))
