@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .facts import Facts, is_accessor
+from .pairs import paired
 from .types import concrete_subtypes
 
 
@@ -79,9 +80,8 @@ def _steps(facts: Facts) -> DataFrame:
     return rows.select("caller_class", "caller_method", "callee", "calls", "via", F.coalesce("target", "some").alias("plain"))
 
 
-def _leads(steps: DataFrame, through: DataFrame) -> DataFrame:
-    """``steps`` joined to ``dispatches``, with ``iface`` and ``class`` in place of ``plain``."""
-    rows = steps.join(through.withColumnRenamed("class", "impl"), "callee", "left")
+def _leads(rows: DataFrame) -> DataFrame:
+    """``_steps`` joined to ``dispatches`` (their class as ``impl``), with ``class`` in place of ``plain`` and ``impl``."""
     return rows.withColumn("class", F.when(F.col("iface").isNotNull(), F.col("impl")).otherwise(F.col("plain"))).drop("impl", "plain")
 
 
@@ -92,7 +92,8 @@ def call_hops(facts: Facts, subtypes: DataFrame | None = None) -> DataFrame:
     other leads to the class that the call's target names, else to the first class by name that has the method, else
     nowhere (null). ``via`` is the target of the first call.
     """
-    return _leads(_steps(facts), dispatches(facts, subtypes)).select("caller_class", "caller_method", "callee", "calls", "via", "iface", "class")
+    through = dispatches(facts, subtypes).withColumnRenamed("class", "impl")
+    return _leads(paired(_steps(facts), through, "callee", "left")).select("caller_class", "caller_method", "callee", "calls", "via", "iface", "class")
 
 
 def call_tree(facts: Facts, cls: str, method: str, depth: int = 3) -> DataFrame:
@@ -105,14 +106,14 @@ def call_tree(facts: Facts, cls: str, method: str, depth: int = 3) -> DataFrame:
     the tree, not with all pairs of calls and implementors.
     """
     spark = facts.calls.sparkSession
-    steps, through = stored(_steps(facts), "steps"), stored(dispatches(facts), "dispatches")
+    steps, through = stored(_steps(facts), "steps"), stored(dispatches(facts).withColumnRenamed("class", "impl"), "dispatches")
     one = f"{cls}.{method}"
     front = spark.createDataFrame([(cls, method, [one], [one])], "caller_class string, caller_method string, path array<string>, seen array<string>")
     out = None
     step = F.concat_ws(".", "class", "callee")
     stays = F.col("iface").isNull() & (F.col("class") == F.col("caller_class"))
     for k in range(1, depth + 1):
-        rows = _leads(steps.join(front, ["caller_class", "caller_method"]), through)
+        rows = _leads(steps.join(front, ["caller_class", "caller_method"]).join(through, "callee", "left"))
         rows = rows.withColumn("cycle", F.coalesce(stays & F.array_contains("seen", step), F.lit(False)))
         if k < depth:
             rows = stored(rows, "level")

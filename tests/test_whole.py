@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from millrace import cli
-from millrace.operators import callgraph, fixpoint, graphs, impact, navigate, resolve
+from millrace.operators import callgraph, fixpoint, graphs, impact, navigate, pairs, resolve
 from millrace.operators.facts import from_tables
 from millrace.operators.orphans import lifetimes
 from millrace.plans import idioms
@@ -173,6 +173,27 @@ def test_call_tree_stores_what_it_reaches(spark, monkeypatch):
     assert callgraph.call_hops(facts).where("callee = 'Go'").count() == 900
 
 
+def _pairs_come_last(df):
+    """Whether rows are made from lists above every join, so that nothing with a row per pair is shuffled."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return "Generate inline" in plan and plan.rindex("Generate inline", 0, plan.index("RepartitionByExpression")) < plan.index("Join")
+
+
+def test_call_hops_pairs_come_last(spark):
+    code = "interface IRun { void Go(); } class A : IRun { public void Go() { } } class B : IRun { public void Go() { } } class Main { IRun r; void Start() { r.Go(); Gone(); } }"
+    facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"))).settled()
+    hops = callgraph.call_hops(facts)
+    assert {(r.callee, r.iface, r["class"]) for r in hops.collect()} == {("Go", "IRun", "A"), ("Go", "IRun", "B"), ("Gone", None, None)}
+    assert _pairs_come_last(hops)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_paired(spark, rows, how):
+    left = spark.createDataFrame([("a", i % 5, "x") for i in range(7)] + [("b", 1, "y"), ("c", 1, None), (None, 1, "z")], "k string, n int, t string")
+    right = spark.createDataFrame([("a", f"r{i}") for i in range(5)] + [("b", None), ("d", "r"), (None, "r")], "k string, r string")
+    assert rows(pairs.paired(left, right, "k", how, size=2), "k", "n", "t", "r") == rows(left.join(right, "k", how), "k", "n", "t", "r")
+
+
 def test_inherited_methods_of_interfaces(spark):
     code = "interface IRun { void Go(); void Stop(); } interface INone { void Else(); } class Base { public void Go() { } } class Low : Base, IRun, INone { public void Stop() { } }"
     facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string")))
