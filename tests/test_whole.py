@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__
 from millrace import cli
-from millrace.operators import callgraph, fixpoint, graphs, impact, navigate, pairs, resolve
+from millrace.operators import callgraph, fixpoint, graphs, impact, navigate, pairs, resolve, types
 from millrace.operators.facts import from_tables
 from millrace.operators.orphans import lifetimes
 from millrace.plans import generated, idioms
@@ -202,6 +202,15 @@ def test_made_project_is_parsed_once(spark):
     assert generated.sources(spark, DATA).rdd.getNumPartitions() > 4
 
 
+def test_abstract_pairs_come_last(spark):
+    code = "interface IRun { void Go(); } class A : IRun { public void Go() { } } class B : IRun { public void Go() { } }"
+    facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"))).settled()
+    targets = spark.createDataFrame([(1, "Abstract", "IRun", "Go"), (2, "Virtual", "A", "Go")], "site_id long, kind string, class string, method string")
+    found = resolve.resolve_abstract(facts, targets, types.concrete_subtypes(facts))
+    assert {tuple(r) for r in found.select("site_id", "confidence", "owner").collect()} == {(1, "CHA", "A"), (1, "CHA", "B")}
+    assert _pairs_come_last(found)
+
+
 def test_inherited_methods_of_interfaces(spark):
     code = "interface IRun { void Go(); void Stop(); } interface INone { void Else(); } class Base { public void Go() { } } class Low : Base, IRun, INone { public void Stop() { } }"
     facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string")))
