@@ -211,6 +211,16 @@ def test_abstract_pairs_come_last(spark):
     assert _pairs_come_last(found)
 
 
+def test_di_pairs_come_last(spark):
+    code = "interface IRun { void Go(); } class A : IRun { public void Go() { } } class B : IRun { public void Go() { } }"
+    facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string"))).settled()
+    targets = spark.createDataFrame([(1, "Abstract", "IRun", "Go"), (2, "Virtual", "A", "Go")], "site_id long, kind string, class string, method string")
+    known = spark.createDataFrame([("IRun", "A", "Scoped", "DiRegistration"), ("IRun", "A", "Scoped", "Reflection"), ("IRun", "B", "Scoped", "Reflection"), ("IRun", "Gone", "Scoped", "Reflection")], "interface_type string, implementation_type string, lifetime string, confidence string")
+    found = resolve.resolve_di(facts, targets, known)
+    assert sorted(tuple(r) for r in found.select("site_id", "confidence", "owner").collect()) == [(1, "DiRegistration", "A"), (1, "DiRegistration", "B")]
+    assert _pairs_come_last(found)
+
+
 def test_inherited_methods_of_interfaces(spark):
     code = "interface IRun { void Go(); void Stop(); } interface INone { void Else(); } class Base { public void Go() { } } class Low : Base, IRun, INone { public void Stop() { } }"
     facts = frontend.facts_of(frontend.parse(spark.createDataFrame([("a.cs", code)], "file string, text string")))
